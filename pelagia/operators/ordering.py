@@ -80,11 +80,14 @@ def numbered(frame: DataFrame, segment: list[str], order: list, out: str, start:
 
 
 def quantiles(frame: DataFrame, segment: list[str], value: str, probs: dict[str, float],
-              hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per segment; nulls are left out."""
-    counts = (frame.filter(F.col(value).isNotNull()).groupBy(*segment, value)
-              .agg(F.count(F.lit(1)).alias("_n")))
-    counts = settle(counts)
+              weight: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per segment; nulls are left out.
+
+    Rows are first counted per value; ``weight`` names a column that already holds counts.
+    """
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = settle(frame.filter(F.col(value).isNotNull()).groupBy(*segment, value)
+                    .agg(times.alias("_n")))
     upto = running_total(counts, segment, [value], F.col("_n"), "_upto", hot_rows)
     totals = counts.groupBy(*segment).agg((F.sum("_n") - 1).alias("_last"))
     totals = totals.select(*[F.col(s).alias(f"_{s}") for s in segment], "_last")

@@ -82,3 +82,15 @@ def read_text(spark: SparkSession, path: str) -> str:
         return bytes(stream.readAllBytes()).decode("utf-8")
     finally:
         stream.close()
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Atomic rename over an existing file."""
+    jvm = spark._jvm
+    rename_type = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename_type, 1)
+    how[0] = rename_type.OVERWRITE
+    root = filesystem(spark, target).makeQualified(_path(spark, target)).toUri()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        root, spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(_path(spark, source), _path(spark, target), how)
