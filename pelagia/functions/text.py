@@ -6,10 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: credential patterns and the texts that replace them -------------------
-# (?iU): case-insensitive, with Unicode word and blank classes.
-BEARER = r"(?iU)\bbearer\s+[^\s,;]+"
-URL_LOGIN = r"(?iU)([a-z][a-z0-9+.-]*://)([^\s/:@]+):([^\s/@]+)@"
-ASSIGNMENT = (r"(?iU)\b(api[-_ ]?key|authorization|client[-_ ]?secret|password|passwd|"
+BEARER = r"\bbearer\s+[^\s,;]+"
+URL_LOGIN = r"([a-z][a-z0-9+.-]*://)([^\s/:@]+):([^\s/@]+)@"
+ASSIGNMENT = (r"\b(api[-_ ]?key|authorization|client[-_ ]?secret|password|passwd|"
               r"access[-_ ]?token|refresh[-_ ]?token|secret)\b(\s*[:=]\s*)([^\s,;&]+)")
 BEARER_TO = "Bearer [REDACTED]"
 URL_LOGIN_TO = "$1[REDACTED]@"
@@ -18,12 +17,15 @@ TEXT_LIMIT = 4_000
 TITLE_LIMIT = 80
 # --- end of fixed values ------------------------------------------------------------------
 
+# Case-insensitive, with Unicode word and blank classes, as Python's ``re.I`` on text.
+JVM_FLAGS = "(?iU)"
+
 
 def redact(text: Column) -> Column:
     """Bearer values, URL logins and ``key=value`` secrets are replaced, in this order."""
-    text = F.regexp_replace(text, BEARER, BEARER_TO)
-    text = F.regexp_replace(text, URL_LOGIN, URL_LOGIN_TO)
-    return F.regexp_replace(text, ASSIGNMENT, ASSIGNMENT_TO)
+    text = F.regexp_replace(text, JVM_FLAGS + BEARER, BEARER_TO)
+    text = F.regexp_replace(text, JVM_FLAGS + URL_LOGIN, URL_LOGIN_TO)
+    return F.regexp_replace(text, JVM_FLAGS + ASSIGNMENT, ASSIGNMENT_TO)
 
 
 def bounded(text: Column, limit: int = TEXT_LIMIT) -> Column:

@@ -127,6 +127,24 @@ def attach_by_value(frame: DataFrame, lookup: DataFrame, value: str, weight: str
     return frame.join(frequent, value).unionByName(kept.join(rare, value))
 
 
+def lookup(frame: DataFrame, table: DataFrame, on: list[tuple[str, str]],
+           hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join with a table unique on its keys; keys frequent in ``frame`` are broadcast."""
+    keys = [a for a, _ in on]
+    hot = (frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+           .filter(F.col("_rows") > hot_rows)
+           .select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)]))
+    condition = [F.col(a) == F.col(b) for a, b in on]
+    if hot.isEmpty():
+        return frame.join(table, condition, "left")
+    hot = F.broadcast(settle(hot))
+    is_hot = [F.col(a).eqNullSafe(F.col(f"_hot_{i}")) for i, a in enumerate(keys)]
+    in_table = [F.col(b) == F.col(f"_hot_{i}") for i, (_, b) in enumerate(on)]
+    few = F.broadcast(table.join(hot, in_table, "left_semi"))
+    return (frame.join(hot, is_hot, "left_semi").join(few, condition, "left")
+            .unionByName(frame.join(hot, is_hot, "left_anti").join(table, condition, "left")))
+
+
 def page(frame: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """One page in a total order; a deep offset is found by position instead of by top-k."""
     if offset + limit <= DEEP_OFFSET:

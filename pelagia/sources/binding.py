@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.cluster import scratch_path
-from pelagia.contracts import CONTEXT_COLUMNS, GENERAL_SCHEMA, STAT_SCHEMA
+from pelagia.contracts import (CONTEXT_COLUMNS, GENERAL_SCHEMA, MARKERS, METADATA_COLUMNS, SOURCES,
+                               STAT_SCHEMA)
 from pelagia.functions.text import title
 from pelagia.operators.ordering import numbered
+from pelagia.plans.preprocess import preprocess
 from pelagia.sources.storage import data_files, exists
-from pelagia.sources.store import of_marker, write_table
+from pelagia.sources.store import Store, of_marker, write_table
+from pelagia.sources.tsv import write_tsv
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events",
           "conversations")
@@ -173,6 +176,63 @@ class Binding:
         pairs = self.table("counts").select("marker", "sample_id").distinct()
         return numbered(pairs, ["marker"], ["sample_id"], "ordinal"), ["marker"], ["ordinal"]
 
+    # -- raw tab-separated sources -------------------------------------------------------
+
+    def tsv_folder(self) -> str:
+        """The four raw sources, written by Spark from the tables; one row per customer or part.
+
+        A matrix has one column per (nation, segment), named after that group's first
+        customer: its width does not grow with the data, as a header line requires.
+        """
+        folder = f"{self.root}/tsv"
+        if not exists(self.spark, f"{folder}/{SOURCES['18s_v9'][0]}/_SUCCESS"):
+            write_tsv(self.general(), f"{folder}/{SOURCES['context_general'][0]}")
+            write_tsv(self.stat(), f"{folder}/{SOURCES['context_stat'][0]}")
+            self._write_matrices(folder)
+        return folder
+
+    def _write_matrices(self, folder: str) -> None:
+        people = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        columns = people.groupBy("c_nationkey", "c_mktsegment").agg(
+            F.expr(SAMPLE_ID.format(key="min(c_custkey)")).alias("sample_id"))
+        names = sorted(r.sample_id for r in columns.select("sample_id").collect())
+        owners = (self.raw("orders").select("o_orderkey", "o_custkey")
+                  .join(people, F.col("o_custkey") == F.col("c_custkey"))
+                  .join(F.broadcast(columns), ["c_nationkey", "c_mktsegment"])
+                  .select("o_orderkey", "sample_id"))
+        counted = (self.raw("lineitem").select(
+            "l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("reads"),
+            F.expr("case l_linestatus when 'O' then 'v4' when 'F' then 'v9' end").alias("marker"))
+            .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("marker", "l_partkey", "sample_id").agg(F.sum("reads").alias("reads")))
+        rows = counted.groupBy("marker", "l_partkey").agg(
+            F.map_from_entries(F.collect_list(F.struct("sample_id", "reads"))).alias("counts"),
+            F.sum("reads").alias("total"), F.count_if(F.col("reads") > 0).alias("spread"))
+        parts = self.raw("part").withColumn(
+            "marker", F.explode(F.array(F.lit("v4"), F.lit("v9"))))
+        full = parts.join(rows, [parts["marker"] == rows["marker"],
+                                 F.col("p_partkey") == F.col("l_partkey")], "left").drop(rows["marker"])
+        cells = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(
+            F.try_element_at("counts", n), F.lit(0)).cast("string"))
+        key = F.md5(F.col("p_partkey").cast("string"))
+        line = F.concat_ws(
+            "\t", key, F.expr("concat('Root;Eukaryota;', p_type, ';', p_brand, ';', p_name)"),
+            F.expr("concat('100;99;98;97;', p_size)"),
+            F.coalesce("total", F.lit(0)).cast("string"), F.coalesce("spread", F.lit(0)).cast("string"),
+            F.translate(key, "0123456789abcdef", "ACGTACGTACGTACGT"), F.array_join(cells, "\t"))
+        header = "\t".join([*METADATA_COLUMNS, *names])
+        lines = full.select("marker", line.alias(header))
+        for marker in MARKERS:
+            (lines.filter(F.col("marker") == marker).select(F.col(f"`{header}`"))
+             .write.mode("overwrite").option("header", "true").option("sep", "\u0001")
+             .option("quote", "").csv(f"{folder}/{SOURCES[f'18s_{marker}'][0]}"))
+
+    def store(self) -> Store:
+        """The published form of the raw sources."""
+        target = f"{self.root}/processed"
+        preprocess(self.spark, self.tsv_folder(), target, enforce_shape=False)
+        return Store(self.spark, target)
+
     # -- conversations and traces --------------------------------------------------------
 
     def sessions(self) -> DataFrame:
