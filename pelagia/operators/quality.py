@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from pelagia.cluster import settle
 from pelagia.contracts import (CONTEXT_ID, EXPECTED_MARKER_ROWS, EXPECTED_MARKER_SAMPLES,
-                               SAMPLE_PREFIX)
+                               METADATA_COLUMNS, SAMPLE_PREFIX)
 from pelagia.functions.taxonomy import path_levels
 from pelagia.operators.envelope import beside
 from pelagia.operators.ordering import quantiles
@@ -185,10 +185,13 @@ def blank_level() -> Column:
     return F.exists(path_levels("taxonomy"), lambda level: F.trim(level) == F.lit(""))
 
 
+def level_counters() -> list[Column]:
+    return [F.count_if(level_mismatch()).alias("level_mismatches"),
+            F.count_if(blank_level()).alias("empty_levels")]
+
+
 def taxonomy_level_checks(metadata: DataFrame) -> DataFrame:
-    return metadata.groupBy("marker").agg(
-        rows_count().alias("row_count"), F.count_if(level_mismatch()).alias("level_mismatches"),
-        F.count_if(blank_level()).alias("empty_levels"))
+    return metadata.groupBy("marker").agg(rows_count().alias("row_count"), *level_counters())
 
 
 def level_histogram(metadata: DataFrame) -> DataFrame:
@@ -201,26 +204,53 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_FORMAT), text.try_cast("double"))
 
 
-def confidence_checks(metadata: DataFrame) -> DataFrame:
-    """Values that are no number within 0..100, and the range of those that are numbers.
-
-    The levels of one row are reduced inside the row, so nothing is exploded.
-    """
+def confidence_counters() -> list[Column]:
+    """The levels of one row are reduced inside the row, so nothing is exploded."""
     values = F.transform(path_levels("confidence"), _number)
     faulty = F.filter(values, lambda v: v.isNull() | (v < 0) | (v > 100))
-    per_row = metadata.select(
-        "marker", F.coalesce(F.size(faulty), F.lit(1)).alias("_bad"),
-        F.coalesce(F.size(values), F.lit(1)).alias("_all"),
-        F.array_min(values).alias("_low"), F.array_max(values).alias("_high"))
-    return per_row.groupBy("marker").agg(
-        F.sum("_all").alias("value_count"), F.sum("_bad").alias("invalid_values"),
-        F.min("_low").alias("lowest"), F.max("_high").alias("highest"))
+    one = F.lit(1)
+    return [F.sum(F.coalesce(F.array_size(values), one)).alias("value_count"),
+            F.sum(F.coalesce(F.array_size(faulty), one)).alias("invalid_values"),
+            F.min(F.array_min(values)).alias("lowest"), F.max(F.array_max(values)).alias("highest")]
+
+
+def confidence_checks(metadata: DataFrame) -> DataFrame:
+    """Values that are no number within 0..100, and the range of those that are numbers."""
+    return metadata.groupBy("marker").agg(*confidence_counters())
+
+
+def pattern_counters() -> list[Column]:
+    return [F.count_if(~F.col("amplicon").rlike(AMPLICON_FORMAT)).alias("invalid_amplicons"),
+            F.count_if(~F.col("sequence").rlike(SEQUENCE_FORMAT)).alias("invalid_sequences")]
 
 
 def pattern_checks(metadata: DataFrame) -> DataFrame:
-    return metadata.groupBy("marker").agg(
-        F.count_if(~F.col("amplicon").rlike(AMPLICON_FORMAT)).alias("invalid_amplicons"),
-        F.count_if(~F.col("sequence").rlike(SEQUENCE_FORMAT)).alias("invalid_sequences"))
+    return metadata.groupBy("marker").agg(*pattern_counters())
+
+
+def metadata_report(metadata: DataFrame) -> DataFrame:
+    """All counters and ranges that need the metadata alone, in one scan.
+
+    Duplicates are found on a table of one row per key, where the counters are already summed.
+    """
+    nulls = F.lit(0)
+    for c in METADATA_COLUMNS:
+        nulls = nulls + F.col(c).isNull().cast("int")
+    per_key = metadata.groupBy("marker", "amplicon").agg(
+        rows_count().alias("_rows"), *level_counters(), *confidence_counters(),
+        *pattern_counters(), F.sum(nulls).alias("metadata_missing_values"),
+        F.min("total").alias("min_total"), F.max("total").alias("max_total"),
+        F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"),
+        F.sum("spread").alias("positive_cells"))
+    lowest, highest = ("lowest", "min_total", "min_spread"), ("highest", "max_total", "max_spread")
+    summed = [c for c in per_key.columns
+              if c not in ("marker", "amplicon", "_rows", *lowest, *highest)]
+    return per_key.groupBy("marker").agg(
+        F.sum("_rows").alias("row_count"),
+        F.sum(F.when(F.col("amplicon").isNotNull(), F.col("_rows") - 1).otherwise(F.col("_rows")))
+        .alias("duplicate_amplicons"),
+        *[F.sum(c).alias(c) for c in summed], *[F.min(c).alias(c) for c in lowest],
+        *[F.max(c).alias(c) for c in highest])
 
 
 def recomputed_totals(cells: DataFrame) -> DataFrame:
@@ -246,29 +276,17 @@ def reconcile_totals(metadata: DataFrame, cells: DataFrame) -> DataFrame:
 
 def marker_report(metadata: DataFrame, cells: DataFrame, marker_samples: DataFrame) -> DataFrame:
     """One row per marker with the error counters and the shape of the matrix."""
-    columns = [c for c in metadata.columns if c != "marker"]
-    nulls = F.lit(0)
-    for c in columns:
-        nulls = nulls + F.col(c).isNull().cast("int")
-    shape = metadata.groupBy("marker").agg(
-        (rows_count() - F.count_distinct("amplicon")).alias("duplicate_amplicons"),
-        F.sum(nulls).alias("metadata_missing_values"),
-        F.min("total").alias("min_total"), F.max("total").alias("max_total"),
-        F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"),
-        F.sum("spread").alias("positive_cells"))
     width = marker_samples.groupBy("marker").agg(rows_count().alias("sample_count"))
     report = (reconcile_totals(metadata, cells)
-              .join(taxonomy_level_checks(metadata).drop("row_count"), "marker")
-              .join(confidence_checks(metadata), "marker").join(pattern_checks(metadata), "marker")
-              .join(shape, "marker").join(width, "marker"))
+              .join(metadata_report(metadata).drop("row_count"), "marker").join(width, "marker"))
     total_cells = F.col("row_count") * F.col("sample_count")
     return (report.withColumn("total_cells", total_cells)
             .withColumn("nonzero_fraction", F.bround(F.col("positive_cells") / total_cells, 8)))
 
 
-MARKER_ERRORS = ("duplicate_amplicons", "metadata_missing_values", "level_mismatches",
-                 "empty_levels", "invalid_values", "invalid_amplicons", "invalid_sequences",
-                 "total_mismatches", "spread_mismatches", "unknown_amplicons")
+METADATA_ERRORS = ("duplicate_amplicons", "metadata_missing_values", "level_mismatches",
+                   "empty_levels", "invalid_values", "invalid_amplicons", "invalid_sequences")
+MARKER_ERRORS = (*METADATA_ERRORS, "total_mismatches", "spread_mismatches", "unknown_amplicons")
 
 
 def shape_expectations(report: DataFrame, rows: dict[str, int] | None = None,

@@ -32,7 +32,7 @@ def message_sequence(turns: DataFrame, session: str = "session_id", order: str =
                      hot_rows: int | None = None) -> DataFrame:
     """Number messages per session from 0; an answer's parent is the question just before it."""
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    rows = settle(numbered(turns, [session], [order], "sequence_no", **extra))
+    rows = numbered(turns, [session], [order], "sequence_no", **extra)
     asked = rows.filter("role = 'user'").select(
         F.col(session).alias("_session"), (F.col("sequence_no") + 1).alias("_next"),
         F.col("sequence_no").alias("parent_sequence_no"))

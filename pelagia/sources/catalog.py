@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pelagia.contracts import METADATA_COLUMNS, SAMPLE_PREFIX, SOURCES
 from pelagia.sources.storage import data_files, exists
-from pelagia.sources.tsv import header_line
+from pelagia.sources.tsv import BOM, header_line
 
 # Files up to this size are hashed byte by byte inside one task.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
@@ -47,18 +47,27 @@ def header_contract(spark: SparkSession, folder: str) -> DataFrame:
                                  AUDIT_SCHEMA)
 
 
-def source_fingerprint(spark: SparkSession, path: str, source: str) -> DataFrame:
+def source_state(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and modification time of every file behind a source; a listing only."""
+    return [(f.path, f.size, f.modified_ms) for f in data_files(spark, path)]
+
+
+def source_fingerprint(spark: SparkSession, path: str, source: str,
+                       line_hashes: DataFrame | None = None) -> DataFrame:
     """One row: bytes, data rows, columns, and an order-independent hash over all lines.
 
+    ``line_hashes`` (column ``line_hash``) saves a scan where the lines were parsed already.
     ``sha256`` over the raw bytes is added where the source is one file small enough for a task.
     """
     files = data_files(spark, path)
     size = sum(f.size for f in files)
     columns = len(header_line(spark, files[0].path).split("\t"))
-    mark = F.xxhash64("value")
-    lines = spark.read.text(path).agg(
-        F.count("*").alias("lines"), F.sum(mark.cast("decimal(28,0)")).alias("hash_sum"),
-        F.bit_xor(mark).alias("hash_xor"))
+    if line_hashes is None:
+        line_hashes = spark.read.text(path).filter("value <> ''").select(
+            F.xxhash64(F.regexp_replace("value", f"^{BOM}", "")).alias("line_hash"))
+    lines = line_hashes.agg(
+        F.count("*").alias("lines"), F.sum(F.col("line_hash").cast("decimal(28,0)")).alias("hash_sum"),
+        F.bit_xor("line_hash").alias("hash_xor"))
     row = lines.select(
         F.lit(source).alias("source"), F.lit(path.rsplit("/", 1)[-1]).alias("filename"),
         F.lit(size).cast("long").alias("size_bytes"),
@@ -73,12 +82,6 @@ def source_fingerprint(spark: SparkSession, path: str, source: str) -> DataFrame
     return row.withColumn("sha256", F.lit(None).cast("string"))
 
 
-def source_records(spark: SparkSession, folder: str) -> dict[str, dict]:
-    """Records of all expected sources, for the manifest."""
-    return {s: source_fingerprint(spark, f"{folder.rstrip('/')}/{SOURCES[s][0]}", s)
-            .first().asDict() for s in SOURCES}
-
-
 def generation_name(sources: dict[str, dict], version: str) -> str:
     """A name that changes with the pipeline version or the content of any source."""
     identity = {"pipeline_version": version,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,40 +53,55 @@ def write_tsv(frame: DataFrame, path: str) -> None:
      .option("quote", "").option("nullValue", "").option("emptyValue", "").csv(path))
 
 
-@dataclass
+@dataclass(frozen=True)
 class WideMatrix:
-    """A parsed matrix: one row per variant, its counts still in one array column."""
+    """A parsed matrix: one row per line, the counts of a variant still in one array column."""
 
     marker: str
-    samples: list[str]
-    rows: DataFrame
-    header_lines: DataFrame
+    samples: tuple[str, ...]
+    parsed: DataFrame
+
+    def stored(self, path: str) -> "WideMatrix":
+        """Write the parsed lines and go on from there: the text is split only once."""
+        self.parsed.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return replace(self, parsed=self.parsed.sparkSession.read.parquet(path))
+
+    def rows(self) -> DataFrame:
+        return self.parsed.filter("not is_header")
 
     def marker_samples(self) -> DataFrame:
         """The header's sample columns in header order; bounded by the width of one line."""
-        spark = self.rows.sparkSession
+        spark = self.parsed.sparkSession
         return spark.createDataFrame(
             [(self.marker, s, i) for i, s in enumerate(self.samples)],
             "marker string, sample_id string, ordinal long")
 
     def metadata(self) -> DataFrame:
-        return self.rows.select("marker", *METADATA_COLUMNS)
+        return self.rows().select("marker", *METADATA_COLUMNS)
+
+    def row_faults(self) -> DataFrame:
+        """One row: lines that break the format, and rows whose counts do not fit their totals.
 
-    def row_checks(self) -> DataFrame:
-        """Metadata plus what the row's counts say; all computed inside the row."""
+        Everything is computed inside the row, before any count is exploded or shuffled.
+        """
         filled = F.filter("counts", lambda c: c.isNotNull())
-        return self.rows.select(
-            "marker", *METADATA_COLUMNS, "malformed_cells", "extra_fields",
-            F.exists("counts", lambda c: c.isNull()).alias("has_missing"),
-            F.aggregate(filled, F.lit(0).cast("long"), lambda a, c: a + c).alias("found_total"),
-            F.size(F.filter(filled, lambda c: c > 0)).cast("long").alias("found_spread"),
-            F.array_max("counts").alias("found_max"))
+        total = F.aggregate(filled, F.lit(0).cast("long"), lambda a, c: a + c)
+        spread = F.size(F.filter(filled, lambda c: c > 0))
+        data = ~F.col("is_header")
+        return self.parsed.agg(
+            F.count_if("is_header").alias("header_lines"),
+            F.count_if(data & F.exists("counts", lambda c: c.isNull()))
+            .alias("rows_with_missing_counts"),
+            F.coalesce(F.sum("malformed_cells"), F.lit(0)).alias("malformed_cells"),
+            F.count_if(F.col("extra_fields") > 0).alias("rows_with_extra_fields"),
+            F.count_if(data & (F.col("total") != total)).alias("total_mismatches"),
+            F.count_if(data & (F.col("spread") != spread)).alias("spread_mismatches"))
 
     def cells(self) -> DataFrame:
         """Positive counts in long form; zeros are dropped before the explode."""
         places = F.transform("counts", lambda c, i: F.struct(i.cast("long").alias("ordinal"),
                                                              c.alias("reads")))
-        positive = self.rows.select("marker", "amplicon", F.inline(
+        positive = self.rows().select("marker", "amplicon", F.inline(
             F.filter(places, lambda p: p["reads"] > 0)))
         names = F.broadcast(self.marker_samples().drop("marker"))
         return positive.join(names, "ordinal").select("marker", "amplicon", "sample_id", "reads")
@@ -116,28 +131,21 @@ def read_wide(spark: SparkSession, path: str, marker: str) -> WideMatrix:
         raise ContractError(f"invalid sample ids in {path}: {foreign[:3]}")
 
     line = F.regexp_replace("value", f"^{BOM}", "")
-    text = spark.read.text(path).select(line.alias("line"), F.col("_metadata.file_path").alias("file"))
-    head = F.lit("\t".join(header))
     fields = F.split("line", "\t", -1)
-    body = text.filter((F.col("line") != head) & (F.col("line") != F.lit(""))).select(
-        fields.alias("fields"))
     values = F.slice("fields", fixed + 1, len(samples))
     # A short line leaves its last counts missing.
     padded = F.concat(values, F.array_repeat(F.lit(""), F.lit(len(samples)) - F.size(values)))
-    part = lambda i: F.nullif(F.get("fields", F.lit(i)), F.lit(""))
-    rows = body.withColumn("cells", padded).select(
-        F.lit(marker).alias("marker"), part(0).alias("amplicon"), part(1).alias("taxonomy"),
-        part(2).alias("confidence"), _count(part(3)).alias("total"),
+    text = spark.read.text(path).select(line.alias("line")).filter("line <> ''").select(
+        "line", F.xxhash64("line").alias("line_hash"),
+        (F.col("line") == F.lit("\t".join(header))).alias("is_header"),
+        fields.alias("fields")).withColumn("cells", padded)
+    data = lambda value: F.when(~F.col("is_header"), value)
+    part = lambda i: data(F.nullif(F.get("fields", F.lit(i)), F.lit("")))
+    parsed = text.select(
+        F.lit(marker).alias("marker"), "is_header", "line_hash", part(0).alias("amplicon"),
+        part(1).alias("taxonomy"), part(2).alias("confidence"), _count(part(3)).alias("total"),
         _count(part(4)).alias("spread"), part(5).alias("sequence"),
-        F.transform("cells", _count).alias("counts"),
-        F.size(F.filter("cells", _malformed)).alias("malformed_cells"),
-        F.greatest(F.size("fields") - (fixed + len(samples)), F.lit(0)).alias("extra_fields"))
-    return WideMatrix(marker, samples, rows, text.filter(F.col("line") == head))
-
-
-def check_headers(matrix: WideMatrix, spark: SparkSession, path: str) -> None:
-    """Every file starts with the header and no line repeats it."""
-    found = matrix.header_lines.count()
-    files = len(data_files(spark, path))
-    if found != files:
-        raise ContractError(f"{found} header lines in {files} files of {path}")
+        data(F.transform("cells", _count)).alias("counts"),
+        data(F.size(F.filter("cells", _malformed))).alias("malformed_cells"),
+        data(F.greatest(F.size("fields") - (fixed + len(samples)), F.lit(0))).alias("extra_fields"))
+    return WideMatrix(marker, tuple(samples), parsed)
