@@ -51,7 +51,7 @@ def spearman(points: DataFrame, x: str, y: str) -> DataFrame:
                       F.sum(dy * dy).alias("_yy"))
     usable = (F.col("sample_count") >= MIN_SAMPLES) & (F.col("distinct_x") >= 2) \
         & (F.col("distinct_y") >= 2)
-    ratio = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")))
+    ratio = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))
     rho = beside(sums, left.agg(F.count(F.lit(1)).alias("distinct_x")),
                  right.agg(F.count(F.lit(1)).alias("distinct_y"))).withColumn(

@@ -15,7 +15,7 @@ from pelagia.cluster import all_null_safe, broadcast_if_small, settle
 
 HOT_ROWS = 2_000_000
 DEEP_OFFSET = 100_000
-_SLICE, _OFFSET = "_slice", "_offset"
+_SLICE, _SLICE_AT, _OFFSET = "_slice", "_slice_at", "_slice_offset"
 
 
 def _order(columns: list) -> list[Column]:
@@ -59,17 +59,17 @@ def _by_slices(frame, segment, order, weight, out):
     offsets = (parts.withColumn(_OFFSET, F.sum("_part").over(before))
                .filter(F.col(_OFFSET).isNotNull())
                .select(*[F.col(s).alias(f"_{s}") for s in segment],
-                       F.col(_SLICE).alias("_at"), _OFFSET))
+                       F.col(_SLICE).alias(_SLICE_AT), _OFFSET))
     # A segment continues into a slice at most once per slice, so offsets stay below the
     # number of shuffle partitions.
     offsets = F.broadcast(offsets)
-    on = sliced[_SLICE] == offsets["_at"]
+    on = sliced[_SLICE] == offsets[_SLICE_AT]
     if segment:
         on = on & all_null_safe(sliced, offsets, [(s, f"_{s}") for s in segment])
     joined = sliced.join(offsets, on, "left")
     total = F.sum("_weight").over(local) + F.coalesce(F.col(_OFFSET), F.lit(0))
     return (joined.withColumn(out, total)
-            .drop("_weight", _SLICE, _OFFSET, "_at", *[f"_{s}" for s in segment]))
+            .drop("_weight", _SLICE, _OFFSET, _SLICE_AT, *[f"_{s}" for s in segment]))
 
 
 def numbered(frame: DataFrame, segment: list[str], order: list, out: str, start: int = 0,
