@@ -11,7 +11,7 @@ from pelagia.functions.taxonomy import taxon_match
 from pelagia.operators.envelope import Answer, beside, filters_map, warning, warning_rows
 from pelagia.operators.ordering import page
 from pelagia.operators.taxa import matching_cells
-from pelagia.sources.store import check_ids
+from pelagia.sources.store import check_ids, of_samples
 
 
 def resolve_samples(marker_samples: DataFrame, context: DataFrame, requested=None) -> DataFrame:
@@ -35,8 +35,7 @@ def _restrict(cells: DataFrame, requested) -> DataFrame:
     if requested is None:
         return cells
     if isinstance(requested, DataFrame):
-        wanted = id_frame(cells.sparkSession, requested, "_wanted")
-        return cells.join(wanted, F.col("sample_id") == F.col("_wanted"), "left_semi")
+        return of_samples(cells, requested)
     return cells.filter(F.col("sample_id").isin(list(requested)))
 
 

@@ -70,6 +70,12 @@ def beside(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
+def beside_by(key: str, *frames: DataFrame) -> DataFrame:
+    """The same for frames of numbers with one row per key."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in stacked.columns if c != key])
+
+
 def filters_map(values: dict[str, object]) -> Column:
     pairs: list[Column] = []
     for key, value in values.items():

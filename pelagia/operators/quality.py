@@ -14,7 +14,7 @@ from pelagia.cluster import settle
 from pelagia.contracts import (CONTEXT_ID, EXPECTED_MARKER_ROWS, EXPECTED_MARKER_SAMPLES,
                                METADATA_COLUMNS, SAMPLE_PREFIX)
 from pelagia.functions.taxonomy import path_levels
-from pelagia.operators.envelope import beside
+from pelagia.operators.envelope import beside, beside_by
 from pelagia.operators.ordering import quantiles
 
 # --- fixed values: formats of the stored columns -------------------------------------------
@@ -228,29 +228,35 @@ def pattern_checks(metadata: DataFrame) -> DataFrame:
     return metadata.groupBy("marker").agg(*pattern_counters())
 
 
-def metadata_report(metadata: DataFrame) -> DataFrame:
-    """All counters and ranges that need the metadata alone, in one scan.
-
-    Duplicates are found on a table of one row per key, where the counters are already summed.
-    """
+def _per_variant(metadata: DataFrame) -> DataFrame:
+    """Counters of one (marker, amplicon); more than one row only where keys repeat."""
     nulls = F.lit(0)
     for c in METADATA_COLUMNS:
         nulls = nulls + F.col(c).isNull().cast("int")
-    per_key = metadata.groupBy("marker", "amplicon").agg(
+    return metadata.groupBy("marker", "amplicon").agg(
         rows_count().alias("_rows"), *level_counters(), *confidence_counters(),
         *pattern_counters(), F.sum(nulls).alias("metadata_missing_values"),
         F.min("total").alias("min_total"), F.max("total").alias("max_total"),
         F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"),
         F.sum("spread").alias("positive_cells"))
-    lowest, highest = ("lowest", "min_total", "min_spread"), ("highest", "max_total", "max_spread")
-    summed = [c for c in per_key.columns
-              if c not in ("marker", "amplicon", "_rows", *lowest, *highest)]
-    return per_key.groupBy("marker").agg(
-        F.sum("_rows").alias("row_count"),
-        F.sum(F.when(F.col("amplicon").isNotNull(), F.col("_rows") - 1).otherwise(F.col("_rows")))
-        .alias("duplicate_amplicons"),
-        *[F.sum(c).alias(c) for c in summed], *[F.min(c).alias(c) for c in lowest],
-        *[F.max(c).alias(c) for c in highest])
+
+
+LOWEST, HIGHEST = ("lowest", "min_total", "min_spread"), ("highest", "max_total", "max_spread")
+
+
+def _per_marker(variants: DataFrame, *also: Column) -> DataFrame:
+    summed = ("level_mismatches", "empty_levels", "value_count", "invalid_values",
+              "invalid_amplicons", "invalid_sequences", "metadata_missing_values", "positive_cells")
+    repeated = F.when(F.col("amplicon").isNotNull(), F.col("_rows") - 1).otherwise(F.col("_rows"))
+    return variants.groupBy("marker").agg(
+        F.sum("_rows").alias("row_count"), F.sum(repeated).alias("duplicate_amplicons"),
+        *[F.sum(c).alias(c) for c in summed], *[F.min(c).alias(c) for c in LOWEST],
+        *[F.max(c).alias(c) for c in HIGHEST], *also)
+
+
+def metadata_report(metadata: DataFrame) -> DataFrame:
+    """All counters and ranges that need the metadata alone, in one scan and one shuffle."""
+    return _per_marker(_per_variant(metadata))
 
 
 def recomputed_totals(cells: DataFrame) -> DataFrame:
@@ -275,10 +281,23 @@ def reconcile_totals(metadata: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def marker_report(metadata: DataFrame, cells: DataFrame, marker_samples: DataFrame) -> DataFrame:
-    """One row per marker with the error counters and the shape of the matrix."""
+    """One row per marker with the error counters and the shape of the matrix.
+
+    Metadata counters and recomputed totals meet on the key that both are grouped by, so each
+    table is read and shuffled once.
+    """
+    both = _per_variant(metadata).join(recomputed_totals(cells), ["marker", "amplicon"], "full")
+    zero, stored = F.lit(0), F.col("_rows").isNotNull()
+    checked = _per_marker(
+        both,
+        F.count_if(stored & (F.col("min_total") != F.coalesce("found_total", zero)))
+        .alias("total_mismatches"),
+        F.count_if(stored & (F.col("min_spread") != F.coalesce("found_spread", zero)))
+        .alias("spread_mismatches"),
+        F.count_if(~stored).alias("unknown_amplicons"),
+        F.coalesce(F.max("found_max"), zero).alias("max_read_count"))
     width = marker_samples.groupBy("marker").agg(rows_count().alias("sample_count"))
-    report = (reconcile_totals(metadata, cells)
-              .join(metadata_report(metadata).drop("row_count"), "marker").join(width, "marker"))
+    report = beside_by("marker", checked, width)
     total_cells = F.col("row_count") * F.col("sample_count")
     return (report.withColumn("total_cells", total_cells)
             .withColumn("nonzero_fraction", F.bround(F.col("positive_cells") / total_cells, 8)))

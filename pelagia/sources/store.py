@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pelagia.cluster import broadcast_if_small
 from pelagia.contracts import MARKERS, ContractError, id_frame
 from pelagia.operators.ordering import page
 from pelagia.sources.storage import data_files, exists, read_text
 
 MANIFEST = "manifest.json"
 UNKNOWN_SHOWN = 5
+# Metadata rows carry a taxonomy path and a sequence, hence a lower broadcast bound.
+WIDE_ROWS = 100_000
 
 
 def write_table(frame: DataFrame, path: str, partition_by: list[str], order: list[str]) -> None:
@@ -176,6 +179,12 @@ def abundance_slice(cells: DataFrame, marker_samples: DataFrame, ids) -> DataFra
     """Counts of the requested samples; ids are checked against the marker's own samples."""
     wanted = id_frame(cells.sparkSession, ids, "_wanted")
     check_ids(wanted, marker_samples.select("sample_id"))
+    return of_samples(cells, wanted)
+
+
+def of_samples(cells: DataFrame, ids: DataFrame) -> DataFrame:
+    """Cells of some samples; the ids are broadcast when a count shows that they fit."""
+    wanted = broadcast_if_small(id_frame(cells.sparkSession, ids, "_wanted"))
     return cells.join(wanted, F.col("sample_id") == F.col("_wanted"), "left_semi")
 
 
@@ -184,4 +193,4 @@ def marker_data(metadata: DataFrame, cells: DataFrame,
     """Metadata joined with counts; ``taxonomy_contains`` is literal and case-sensitive."""
     if taxonomy_contains is not None:
         metadata = metadata.filter(F.contains("taxonomy", F.lit(taxonomy_contains)))
-    return metadata.join(cells, ["marker", "amplicon"])
+    return cells.join(broadcast_if_small(metadata, WIDE_ROWS), ["marker", "amplicon"])
