@@ -11,7 +11,7 @@ from pelagia.functions.stats import correlation_p_value
 from pelagia.operators.abundance import (abundance_counts, abundance_warning_list, resolve_samples,
                                          taxon_abundance)
 from pelagia.operators.envelope import Answer, beside, filters_map, warning, warning_rows
-from pelagia.operators.ordering import attach_by_value, average_ranks, page
+from pelagia.operators.ordering import HOT_ROWS, attach_by_value, average_ranks, page, window_rank
 
 MIN_SAMPLES = 3
 CAUTION_UP_TO = 500
@@ -30,33 +30,39 @@ def association_points(observations: DataFrame, context: DataFrame, variable: st
         "sample_id", "environment_value", "relative_abundance")
 
 
-def spearman(points: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: complete pairs, distinct values on both sides, rho and its p-value.
+def _ranked(kept: DataFrame, n: int, hot_rows: int) -> DataFrame:
+    """Points with their ranks ``_rx`` and ``_ry``.
 
-    Each side is ranked over its distinct values with their counts, so that neither a common
-    value nor the whole set passes through one task.  The points are checkpointed, because
-    ranks and pairs must come from the same rows.
+    Above ``hot_rows`` points each side is ranked over its distinct values with their counts,
+    so that neither a common value nor the whole set passes through one task.
+    """
+    if n <= hot_rows:
+        return kept.withColumns({"_rx": window_rank("_x"), "_ry": window_rank("_y")})
+    left = settle(average_ranks(kept, "_x", "_rx", hot_rows).withColumnRenamed("_ties", "_tx"))
+    right = settle(average_ranks(kept, "_y", "_ry", hot_rows).withColumnRenamed("_ties", "_ty"))
+    return attach_by_value(attach_by_value(kept, left, "_x", "_tx"), right, "_y", "_ty")
+
+
+def spearman(points: DataFrame, x: str, y: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row: complete pairs, whether each side varies, rho and its p-value.
+
+    The points are checkpointed, because ranks and pairs must come from the same rows.
     """
     kept = settle(points.select(F.col(x).cast("double").alias("_x"),
                                 F.col(y).cast("double").alias("_y")))
-    left = average_ranks(kept, "_x", "_rx").withColumnRenamed("_ties", "_tx")
-    right = average_ranks(kept, "_y", "_ry").withColumnRenamed("_ties", "_ty")
-    left, right = settle(left), settle(right)
     n = kept.count()
-    ranked = attach_by_value(attach_by_value(kept, left, "_x", "_tx"), right, "_y", "_ty")
-    # Ranks have mean (n + 1) / 2; centring first keeps the sums of products small.
+    # Ranks have mean (n + 1) / 2; centring first keeps the sums of products exact.
     middle = F.lit((n + 1) / 2.0)
     dx, dy = F.col("_rx") - middle, F.col("_ry") - middle
-    sums = ranked.agg(F.sum(dx * dy).alias("_xy"), F.sum(dx * dx).alias("_xx"),
-                      F.sum(dy * dy).alias("_yy"))
-    usable = (F.col("sample_count") >= MIN_SAMPLES) & (F.col("distinct_x") >= 2) \
-        & (F.col("distinct_y") >= 2)
+    sums = _ranked(kept, n, hot_rows).agg(
+        F.sum(dx * dy).alias("_xy"), F.sum(dx * dx).alias("_xx"), F.sum(dy * dy).alias("_yy"),
+        (F.min("_rx") < F.max("_rx")).alias("varied_x"), (F.min("_ry") < F.max("_ry")).alias("varied_y"))
+    varied = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("varied_x", "varied_y")]
+    usable = (F.lit(n) >= MIN_SAMPLES) & varied[0] & varied[1]
     ratio = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))
-    rho = beside(sums, left.agg(F.count(F.lit(1)).alias("distinct_x")),
-                 right.agg(F.count(F.lit(1)).alias("distinct_y"))).withColumn(
-        "sample_count", F.lit(n).cast("long")).select(
-        "sample_count", "distinct_x", "distinct_y", F.when(usable, bounded).alias("rho"))
+    rho = sums.select(F.lit(n).cast("long").alias("sample_count"), *varied,
+                      F.when(usable, bounded).alias("rho"))
     return rho.withColumn("p_value", correlation_p_value("rho", "sample_count"))
 
 
@@ -82,7 +88,7 @@ def association_answer(cells: DataFrame, metadata: DataFrame, marker_samples: Da
                      "missing_values": "pairwise_complete",
                      "multiple_testing_correction": "not_applied_single_test"}).alias("filters"))
     few = F.col("sample_count") < MIN_SAMPLES
-    constant = ~few & ((F.col("distinct_x") < 2) | (F.col("distinct_y") < 2))
+    constant = ~few & ~(F.col("varied_x") & F.col("varied_y"))
     undefined = ~few & ~constant & (F.col("rho").isNull() | F.isnan("rho"))
     warnings = warning_rows(counts, [
         *abundance_warning_list(),

@@ -83,11 +83,17 @@ def quantiles(frame: DataFrame, segment: list[str], value: str, probs: dict[str,
               weight: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per segment; nulls are left out.
 
-    Rows are first counted per value; ``weight`` names a column that already holds counts.
+    ``weight`` names a column of counts.  Up to ``hot_rows`` rows the built-in aggregate holds
+    each segment's values; above, positions are found along a distributed order.
     """
+    kept = frame.filter(F.col(value).isNotNull())
+    if kept.count() <= hot_rows:
+        share = F.array(*[F.lit(float(p)) for p in probs.values()])
+        found = F.percentile(value, share, F.lit(1) if weight is None else F.col(weight))
+        rows = kept.groupBy(*segment).agg(found.alias("_q"))
+        return rows.select(*segment, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     times = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = settle(frame.filter(F.col(value).isNotNull()).groupBy(*segment, value)
-                    .agg(times.alias("_n")))
+    counts = settle(kept.groupBy(*segment, value).agg(times.alias("_n")))
     upto = running_total(counts, segment, [value], F.col("_n"), "_upto", hot_rows)
     totals = counts.groupBy(*segment).agg((F.sum("_n") - 1).alias("_last"))
     totals = totals.select(*[F.col(s).alias(f"_{s}") for s in segment], "_last")
@@ -115,6 +121,12 @@ def average_ranks(frame: DataFrame, value: str, out: str, hot_rows: int = HOT_RO
                        (F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(out))
 
 
+def window_rank(value: str) -> Column:
+    """Tie-averaged 1-based rank over a frame small enough for one ordered window."""
+    ties = F.count(F.lit(1)).over(W.partitionBy(value))
+    return F.rank().over(W.orderBy(value)) + (ties - 1) / F.lit(2.0)
+
+
 def attach_by_value(frame: DataFrame, lookup: DataFrame, value: str, weight: str,
                     share_of: int = 1000) -> DataFrame:
     """Inner join on a value whose frequent entries (known from ``weight``) are broadcast."""

@@ -287,6 +287,14 @@ ORACLE = {
         from marker_samples s left join cells c on c.marker = s.marker and c.sample_id = s.sample_id
           left join metadata m on m.marker = c.marker and m.amplicon = c.amplicon
         where s.marker = 'v4' and s.ordinal < 8 group by 1"""),
+    "benchmark_raw_and_stored": sql("wide", """
+        select s.sample_id, cast(coalesce(sum(reads), 0) as bigint) as raw_reads,
+          cast(coalesce(sum(reads), 0) as bigint) as stored_reads
+        from (select distinct sample_id from (select concat('TARA_', lpad(cast(min(c_custkey) as varchar), 10, '0'))
+                as sample_id from customer group by c_nationkey, c_mktsegment) order by 1 limit 8) s
+          left join (select sample_id, reads from wide join part on md5(cast(p_partkey as varchar)) = amplicon
+            where marker = 'v4' and contains(concat(p_type, ';', p_brand, ';', p_name), 'ECONOMY')) w using (sample_id)
+        group by 1"""),
     "key_contract": sql("context cells", """
         select label, count(*) as row_count, count(*) - count(id) as null_ids,
           count(id) - count(distinct id) as duplicate_ids,
@@ -378,6 +386,8 @@ ORACLE = {
         from (select id, bool_or(w = 'c') as c, bool_or(w = 'v4') as a, bool_or(w = 'v9') as b
               from (select sample_id_pangaea as id, 'c' as w from context union all
                     select sample_id, marker from marker_samples) group by 1)"""),
+    "fingerprint_agreement": sql("wide", """select marker, count(*) as row_count, true as equal from wide
+        where reads > 0 group by 1"""),
     "artifact_records": sql("width wide", f"""select artifact, row_count, column_count,
         cast(sample_column_count as integer) as sample_column_count from {STORED}"""),
     "dataset_status": sql("width", f"""select source, filename, true as ready, row_count, column_count,
@@ -457,7 +467,7 @@ ORACLE = {
     "association_points": sql("points", """select sample_id, environment_value,
         round(relative_abundance, 9) as relative_abundance from points"""),
     "association_rho": sql("ranked points", """select count(*) as sample_count,
-        count(distinct rx) as distinct_x, count(distinct ry) as distinct_y, round(corr(rx, ry), 9) as rho from ranked"""),
+        count(distinct rx) > 1 as varied_x, count(distinct ry) > 1 as varied_y, round(corr(rx, ry), 9) as rho from ranked"""),
     "association_pvalue": sql("tested", """select sample_count, round(rho, 9) as rho,
         round(p_value, 9) as p_value from tested"""),
     "environment_association": sql("tested abundance metadata", f"""
@@ -496,6 +506,14 @@ ORACLE = {
         select m.session_id, m.turn, m.role, m.sequence_no, p.sequence_no as parent_sequence_no
         from messages m left join messages p on m.role = 'assistant' and p.role = 'user'
           and p.session_id = m.session_id and p.sequence_no = m.sequence_no - 1"""),
+    "append_runs": sql("messages traces sessions", """
+        , placed as (select t.session_id, trace_id, question, coalesce(last, -1) + 1
+              + 2 * (row_number() over (partition by t.session_id order by started_at, trace_id) - 1) as first
+            from traces t join sessions s using (session_id)
+              left join (select session_id, max(sequence_no) as last from messages group by 1) m using (session_id))
+        select session_id, trace_id, first as sequence_no, 'user' as role, question as content,
+          cast(null as bigint) as parent_sequence_no from placed
+        union all select session_id, trace_id, first + 1, 'assistant', '', first from placed"""),
     "session_messages": sql("messages traces spans", """
         select session_id, sequence_no, role, content, trace_id, response, coalesce(result, tool_output) as result
         from messages left join (

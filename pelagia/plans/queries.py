@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.cluster import scratch_path, settle
-from pelagia.contracts import (GENERAL_SCHEMA, MARKERS, SAMPLE_SUMMARY, SOURCES, AbundanceRequest,
-                               AssociationRequest, DiversityRequest, SampleSearch, TaxaSearch)
+from pelagia.cluster import scratch_path
+from pelagia.contracts import GENERAL_SCHEMA, MARKERS, SAMPLE_SUMMARY, SOURCES, SampleSearch
 from pelagia.functions import text
 from pelagia.functions.taxonomy import taxon_match
 from pelagia.operators import (abundance, association, charts, diversity, quality, redaction,
@@ -113,6 +112,25 @@ def benchmark_taxon_sums(b):
         "sample_id", F.coalesce("found", F.lit(0)).alias("reads"))
 
 
+def taxon_sums(cells: DataFrame, metadata: DataFrame, name: str) -> DataFrame:
+    hits = taxa.matching_cells(cells, metadata.filter(F.contains("taxonomy", F.lit("ECONOMY"))),
+                               "ECONOMY", "contains")
+    return hits.groupBy("sample_id").agg(F.sum("reads").alias(name))
+
+
+@query
+def benchmark_raw_and_stored(b):
+    """The same sums from the raw text and from the published tables, side by side."""
+    published = b.store()
+    matrix = read_wide(b.spark, f"{b.tsv_folder()}/{SOURCES['18s_v4'][0]}", "v4")
+    raw = taxon_sums(matrix.cells(), matrix.metadata(), "raw_reads")
+    stored = taxon_sums(published.cells("v4"), published.metadata("v4"), "stored_reads")
+    chosen = page(published.marker_samples("v4"), ["ordinal"], 0, 8).select("sample_id")
+    return chosen.join(raw, "sample_id", "left").join(stored, "sample_id", "left").select(
+        "sample_id", F.coalesce("raw_reads", F.lit(0)).alias("raw_reads"),
+        F.coalesce("stored_reads", F.lit(0)).alias("stored_reads"))
+
+
 # -- checks and reports ----------------------------------------------------------------------------
 
 def flawed_metadata(b: Binding) -> DataFrame:
@@ -242,6 +260,22 @@ def content_fingerprint(b):
     return snapshot.content_fingerprint(b.cells())
 
 
+@query
+def fingerprint_agreement(b):
+    """Counts parsed from text and counts read back from the store have one fingerprint."""
+    rows = None
+    for marker in MARKERS:
+        raw = read_wide(b.spark, f"{b.tsv_folder()}/{SOURCES[f'18s_{marker}'][0]}", marker).cells()
+        kept = b.store().cells(marker).select(*raw.columns)
+        one, two = (snapshot.content_fingerprint(f).withColumn("marker", F.lit(marker))
+                    for f in (raw, kept))
+        pair = one.unionByName(two).groupBy("marker").agg(
+            F.max("row_count").alias("row_count"),
+            (F.count_distinct(F.struct("row_count", "hash_sum", "hash_xor")) == 1).alias("equal"))
+        rows = pair if rows is None else rows.unionByName(pair)
+    return rows
+
+
 @query
 def artifact_records(b):
     records = snapshot.artifact_records(b.spark, b.store().manifest)
@@ -419,7 +453,7 @@ def tested(b: Binding) -> DataFrame:
 
 @query
 def association_rho(b):
-    return digits(tested(b), "rho").select("sample_count", "distinct_x", "distinct_y", "rho")
+    return digits(tested(b), "rho").select("sample_count", "varied_x", "varied_y", "rho")
 
 
 @query
@@ -490,6 +524,14 @@ def message_sequence(b):
     return traces.message_sequence(turns)
 
 
+@query
+def append_runs(b):
+    runs = b.traces().join(b.sessions().select("session_id"), "session_id").select(
+        "session_id", "trace_id", traces.question_of().alias("question"), "started_at")
+    rows = traces.append_runs(b.messages(), runs)
+    return rows.drop("status")
+
+
 @query
 def session_messages(b):
     rows = traces.session_messages(b.messages(), b.traces(), b.spans())

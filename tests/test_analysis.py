@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pelagia.contracts import ContractError, NotFound, SampleSearch
 from pelagia.operators.abundance import sample_reads, taxon_abundance
+from pelagia.operators.association import spearman
 from pelagia.operators.charts import abundance_bars, diversity_bars
 from pelagia.operators.diversity import diversity
 from pelagia.operators.samples import find_samples
@@ -217,7 +218,12 @@ def test_random_matrix_against_plain_formulas(spark):
     import pandas as pd
     pairs = pd.DataFrame([(env[s], ratio[s]) for s in ids if env[s] is not None and ratio[s] is not None])
     assert row.sample_count == len(pairs)
-    assert row.rho == pytest.approx(pairs[0].rank().corr(pairs[1].rank()), abs=1e-12)
+    want = pairs[0].rank().corr(pairs[1].rank())
+    assert row.rho == pytest.approx(want, abs=1e-12)
+    pairs = spark.createDataFrame(pairs.set_axis(["x", "y"], axis=1))
+    small, large = (spearman(pairs, "x", "y", hot_rows=h).first() for h in (1000, 3))
+    assert tuple(small) == tuple(large) and small.rho == row.rho
+    assert spearman(pairs, "y", "x").first().rho == row.rho
 
 
 def test_large_match_sets_take_the_same_result_without_a_broadcast(store):
