@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +75,14 @@ def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(frame) if fits_broadcast(frame, rows) else frame
 
 
+def in_parallel(spark: SparkSession, *jobs: Callable[[], Any]) -> list:
+    """Run independent Spark jobs side by side; the first failure in list order is raised."""
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inherit(job)) for job in jobs]
+        return [r.result() for r in running]
+
+
 def all_null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """``left.a <=> right.b`` for every pair, joined with AND."""
     condition = F.lit(True)

@@ -21,6 +21,7 @@ from pelagia.operators.ordering import quantiles
 AMPLICON_FORMAT = "^[0-9a-f]{32}$"
 SEQUENCE_FORMAT = "^[ACGTN]+$"
 NUMBER_FORMAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+DATE_FORMAT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?$"
 COORDINATE_TOLERANCE = 1e-9
 OUTLIER_REACH = 1.5
 # --- end of fixed values ----------------------------------------------------------------------
@@ -60,7 +61,9 @@ def id_set_equality(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
 
 def parsed_date(column: str) -> Column:
-    return F.col(column).try_cast("timestamp_ntz")
+    """An ISO date or date-time, or null: Spark's own cast would also take a bare year."""
+    text = F.col(column)
+    return F.when(text.rlike(DATE_FORMAT), text.try_cast("timestamp_ntz"))
 
 
 def date_parse_errors(frame: DataFrame, column: str) -> DataFrame:
@@ -344,3 +347,12 @@ def coverage(context: DataFrame, marker_samples: DataFrame) -> DataFrame:
         F.count_if(v9 & ~v4).alias("v9_only_samples"),
         F.count_if(c & ~v4 & ~v9).alias("context_without_marker_samples"),
         F.count_if(~c).alias("marker_samples_missing_context"))
+
+
+def coverage_ids(context: DataFrame, marker_samples: DataFrame) -> DataFrame:
+    """The ids behind the coverage numbers, one row per id that is not shared by both markers."""
+    c, v4, v9 = F.col("in_context"), F.col("in_v4"), F.col("in_v9")
+    place = (F.when(~c, "missing_context").when(v4 & ~v9, "v4_only").when(v9 & ~v4, "v9_only")
+             .when(~v4 & ~v9, "without_marker"))
+    return sample_presence(context, marker_samples).select(
+        place.alias("coverage"), "sample_id").filter("coverage is not null")

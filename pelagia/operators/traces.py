@@ -150,10 +150,19 @@ def running_span(spans: DataFrame) -> DataFrame:
         F.max("sequence_no").alias("sequence_no"))
 
 
+def _said(path: str) -> Column:
+    """Text of the output document at a path; blank text counts as none."""
+    said = F.get_json_object("output_data", path)
+    return F.when(F.trim(said) != F.lit(""), said)
+
+
 def trace_overview(traces: DataFrame, spans: DataFrame) -> DataFrame:
-    """What a trace used, one row per entry: source files, filters, methods and conclusion.
+    """What a trace did, one row per entry: understanding, source files, filters, methods and
+    conclusion.
 
     Filters come from the tool spans; a trace without any falls back to those in its response.
+    The understanding is the response's tool summary, else what the first model span that has
+    a rationale or summary says.
     """
     tools = spans.filter("span_kind = 'tool' or tool_name is not null")
     nothing = F.lit(None).cast("string")
@@ -176,9 +185,17 @@ def trace_overview(traces: DataFrame, spans: DataFrame) -> DataFrame:
     methods = tools.select("trace_id", F.col("tool_name").alias("m")).unionByName(
         traces.select("trace_id", F.get_json_object("output_data", "$.tool.name").alias("m")))
     methods = entries(methods.filter("m <> ''").distinct(), "method", value=F.col("m"))
-    answers = traces.select("trace_id", F.get_json_object("output_data", "$.answer").alias("a"))
+    answers = traces.select("trace_id", _said("$.answer").alias("a"))
     conclusion = entries(answers.filter("a is not null"), "conclusion", value=F.col("a"))
-    return sources.unionByName(filters).unionByName(methods).unionByName(conclusion)
+    models = spans.filter("span_kind = 'llm'").select(
+        "trace_id", "sequence_no", F.coalesce(_said("$.rationale"), _said("$.summary")).alias("m"))
+    first = models.filter("m is not null").groupBy("trace_id").agg(
+        F.min_by("m", "sequence_no").alias("m"))
+    stated = traces.select("trace_id", _said("$.tool.summary").alias("s"))
+    meant = stated.join(first, "trace_id", "left").withColumn("u", F.coalesce("s", "m"))
+    understanding = entries(meant.filter("u is not null"), "understanding", value=F.col("u"))
+    return (sources.unionByName(filters).unionByName(methods).unionByName(conclusion)
+            .unionByName(understanding))
 
 
 def _glue(value: Column) -> Column:

@@ -386,6 +386,11 @@ ORACLE = {
         from (select id, bool_or(w = 'c') as c, bool_or(w = 'v4') as a, bool_or(w = 'v9') as b
               from (select sample_id_pangaea as id, 'c' as w from context union all
                     select sample_id, marker from marker_samples) group by 1)"""),
+    "coverage_ids": sql("context marker_samples", """
+        select case when a then 'v4_only' when b then 'v9_only' else 'without_marker' end as coverage, id as sample_id
+        from (select sample_id_pangaea as id, coalesce(a, false) as a, coalesce(b, false) as b from context
+              left join (select sample_id, bool_or(marker = 'v4') as a, bool_or(marker = 'v9') as b
+                from marker_samples group by 1) on sample_id = sample_id_pangaea) where not (a and b)"""),
     "fingerprint_agreement": sql("wide", """select marker, count(*) as row_count, true as equal from wide
         where reads > 0 group by 1"""),
     "artifact_records": sql("width wide", f"""select artifact, row_count, column_count,

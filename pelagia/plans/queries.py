@@ -255,6 +255,11 @@ def coverage(b):
     return quality.coverage(b.context(), b.marker_samples())
 
 
+@query
+def coverage_ids(b):
+    return quality.coverage_ids(b.context(), b.marker_samples())
+
+
 @query
 def content_fingerprint(b):
     return snapshot.content_fingerprint(b.cells())

@@ -107,6 +107,11 @@ class Store:
         item = self.manifest.artifacts[name]
         return self.spark.read.parquet(self._inside(self.generation, item.path))
 
+    def report(self, name: str) -> DataFrame:
+        """A stored report: missing_values, numeric_profile, categories, level_counts or
+        coverage_ids."""
+        return self.spark.read.parquet(self._inside(self.generation, f"reports/{name}"))
+
     def context(self) -> DataFrame:
         return self.scan("context")
 

@@ -34,6 +34,9 @@ def test_life_cycle_processed_skipped_verified(spark, source, tmp_path):
     assert [r.reads for r in part.collect()] == [2]
     assert marker_data(store.metadata("v4"), store.cells("v4"), "dinoflagellata").count() == 0
     assert marker_data(store.metadata("v4"), store.cells("v4"), "Dinoflagellata").count() == 2
+    assert store.report("missing_values").count() == 0 and store.report("coverage_ids").count() == 0
+    assert {(r.column_name, r.value) for r in store.report("categories").collect()} == {
+        ("depth", "SRF"), ("polar", "Non polar")}
 
 
 def test_changed_source_replaces_generation(spark, source, tmp_path):
@@ -84,6 +87,7 @@ def test_target_inside_source_is_refused(spark, source):
 
 @pytest.mark.parametrize("file, old, new, message", [
     ("context_general", "2010-01-01T12:00:00", "someday", "parse_errors"),
+    ("context_general", "2010-01-01T12:00:00", "2010", "parse_errors"),
     ("context_general", "TARA_TEST_002\t", "TARA_TEST_001\t", "general_key_errors"),
     ("context_stat", "TARA_TEST_002", "OTHER_002", "stat_key_errors"),
     ("context_general", "\t10.0\t-20.0\t", "\t91.0\t-20.0\t", "coordinate_errors"),

@@ -230,13 +230,16 @@ def test_overview_falls_back_to_stated_filters(spark):
          ("u", '{"result":{"metadata":{"provenance":{"filters":{"lost":"1"}}}}}')],
         "trace_id string, output_data string")
     tools = spark.createDataFrame(
-        [("u", "9", "tool", "find_samples", {"polar": "true"}, ["a.tsv", "a.tsv"]), ("t", "1", "llm", None, {}, [])],
+        [("u", "9", "tool", "find_samples", {"polar": "true"}, ["a.tsv", "a.tsv"], 3, None),
+         ("u", "8", "llm", None, {}, [], 2, '{"rationale":"later"}'),
+         ("u", "7", "llm", None, {}, [], 1, '{"rationale":"","summary":"first"}'),
+         ("t", "1", "llm", None, {}, [], 0, '{"text":"x"}')],
         "trace_id string, span_id string, span_kind string, tool_name string, filters map<string,string>, "
-        "source_files array<string>")
+        "source_files array<string>, sequence_no long, output_data string")
     got = {(r.trace_id, r.entry, r.span_id, r.key, r.value) for r in traces.trace_overview(runs, tools).collect()}
     assert got == {("t", "filter", "t", "taxon", "x"), ("t", "method", None, None, "find_taxa"),
                    ("t", "conclusion", None, None, "yes"), ("u", "filter", "9", "polar", "true"),
-                   ("u", "method", None, None, "find_samples"), ("u", "source", None, None, "a.tsv")}
+                   ("u", "method", None, None, "find_samples"), ("u", "source", None, None, "a.tsv"), ("u", "understanding", None, None, "first")}
 
 
 def test_cascade_keeps_other_users_rows(spark):
