@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after a count proved that it holds no more rows than this.
 BROADCAST_ROWS = 1_000_000
+# The bound for rows that carry texts such as sequences, questions or error messages.
+WIDE_ROWS = 100_000
 
 
 def local_session(app: str = "pelagia", cores: int | str = "*", shuffle_partitions: int = 8,

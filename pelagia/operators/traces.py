@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.cluster import settle
+from pelagia.cluster import WIDE_ROWS, broadcast_if_small, settle
 from pelagia.contracts import SPAN_KINDS
 from pelagia.functions.text import millis_between, safe_text
 from pelagia.operators.ordering import lookup, numbered, page
@@ -82,7 +82,7 @@ def owned_traces(traces: DataFrame, sessions: DataFrame, user_id, session_id=Non
     own = sessions.filter(F.col("user_id") == F.lit(user_id))
     if session_id is not None:
         own = own.filter(F.col("session_id") == F.lit(session_id))
-    return traces.join(own.select("session_id"), "session_id")
+    return traces.join(broadcast_if_small(own.select("session_id")), "session_id")
 
 
 def question_of(column: str = "input_data") -> Column:
@@ -106,7 +106,7 @@ def trace_detail(traces: DataFrame, sessions: DataFrame, spans: DataFrame, user_
         spans = spans.filter(F.col("trace_id") == F.lit(trace_id))
     head = own.select("trace_id", F.col("status").alias("trace_status"),
                       question_of().alias("question"))
-    return spans.join(head, "trace_id")
+    return spans.join(broadcast_if_small(head, WIDE_ROWS), "trace_id")
 
 
 def trace_tree(spans: DataFrame, hot_rows: int | None = None) -> DataFrame:
@@ -257,12 +257,17 @@ def span_violations(spans: DataFrame) -> DataFrame:
     orphans = (spans.filter("parent_span_id is not null")
                .join(ids, ["trace_id", "parent_span_id"], "left_anti")
                .select("trace_id", "span_id", F.lit("unknown_parent").alias("violation")))
-    none = F.lit(None).cast("string").alias("span_id")
-    roots = (spans.groupBy("trace_id").agg(F.count_if(F.col("parent_span_id").isNull()).alias("n"))
-             .filter("n > 1").select("trace_id", none, F.lit("several_roots").alias("violation")))
-    doubled = (spans.groupBy("trace_id", "sequence_no").agg(F.count("*").alias("n"))
-               .filter("n > 1").select("trace_id", none, F.lit("duplicate_sequence").alias("violation")))
-    return own.unionByName(orphans).unionByName(roots).unionByName(doubled)
+    # Numbers first, traces second: a long trace is already reduced when its rows meet.
+    numbers = spans.groupBy("trace_id", "sequence_no").agg(
+        F.count("*").alias("n"), F.count_if(F.col("parent_span_id").isNull()).alias("roots"))
+    whole = numbers.groupBy("trace_id").agg(F.count_if(F.col("n") > 1).alias("doubled"),
+                                            F.sum("roots").alias("roots"))
+    labels = F.concat(
+        F.when(F.col("roots") > 1, F.array(F.lit("several_roots"))).otherwise(F.array()),
+        F.array_repeat(F.lit("duplicate_sequence"), F.col("doubled").cast("int")))
+    of_trace = whole.select("trace_id", F.lit(None).cast("string").alias("span_id"),
+                            F.explode(labels).alias("violation"))
+    return own.unionByName(orphans).unionByName(of_trace)
 
 
 def span_merge(updates: DataFrame, keys: list[str], order: str, values: list[str],
@@ -286,7 +291,7 @@ def close_open_spans(spans: DataFrame, failures: DataFrame) -> DataFrame:
     """
     ends = failures.select("trace_id", "failed_at", F.col("error_code").alias("_code"),
                            safe_text(F.col("error_message")).alias("_message"))
-    rows = spans.join(ends, "trace_id", "left")
+    rows = spans.join(broadcast_if_small(ends, WIDE_ROWS), "trace_id", "left")
     hit = (F.col("status") == "running") & F.col("failed_at").isNotNull()
     changes = {
         "status": F.lit("failed"), "ended_at": F.col("failed_at"),
@@ -304,9 +309,9 @@ def cascade_delete(sessions: DataFrame, messages: DataFrame, traces: DataFrame,
     """
     own = sessions.filter(F.col("user_id") == F.lit(user_id)).select("session_id")
     deleted = requested.join(own, "session_id", "left_semi")
-    gone = deleted.select("session_id").distinct()
+    gone = broadcast_if_small(deleted.select("session_id").distinct())
     kept_traces = traces.join(gone, "session_id", "left_anti")
-    gone_traces = traces.join(gone, "session_id", "left_semi").select("trace_id")
+    gone_traces = broadcast_if_small(traces.join(gone, "session_id", "left_semi").select("trace_id"))
     return {
         "deleted": deleted.orderBy("position"),
         "sessions": sessions.join(gone, "session_id", "left_anti"),

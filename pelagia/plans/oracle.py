@@ -611,7 +611,10 @@ ORACLE = {
         e'\n[TRUNCATED ', length(text) - 4000, ' CHARACTERS]') else text end as bounded from documents""",
     "sanitize_payload": f"""select conv_id, turn, '[REDACTED]' as authorization, '[REDACTED]' as api_key,
         {REDACTED} as message, turn as max_tokens, '[REDACTED]' as session_token,
-        case when conv_id > 10 then conv_id - 10 end as omitted from conversations""",
+        case when conv_id % 1000 > 10 then conv_id % 1000 - 10 end as omitted from conversations""",
+    "sanitize_stream": f"""select conv_id, turn, '[REDACTED]' as authorization, '[REDACTED]' as api_key,
+        {REDACTED} as message, turn as max_tokens, '[REDACTED]' as session_token,
+        case when conv_id % 1000 > 10 then conv_id % 1000 - 10 end as omitted from conversations""",
     "cap_sample_ids": """select event_id, (select string_agg(concat('S', event_id + i), ',' order by i)
           from range(1, 101) r(i) where i <= 90 + event_id % 30) as kept_ids,
         case when event_id % 30 > 10 then event_id % 30 - 10 end as omitted from events""",

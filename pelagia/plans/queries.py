@@ -20,6 +20,7 @@ from pelagia.sources.binding import Binding
 from pelagia.sources.tsv import read_wide, scan_typed_tsv
 from pelagia.streaming import spans as streams
 
+TURN_SCHEMA = "conv_id long, turn long, role string, text string"
 TAXON, VARIABLE = "economy", "temperature"
 SEARCH = {"ocean_region_contains": "asia", "polar": False, "depths": ["SRF", "DCM"],
           "size_fractions": ["0.8-5", "5-20"], "temperature_min": 0.0, "limit": 50}
@@ -649,13 +650,15 @@ def truncate_text(b):
     return b.raw("documents").select("doc_id", text.bounded(F.col("text")).alias("bounded"))
 
 
-@query
-def sanitize_payload(b):
-    payloads = b.raw("conversations").select("conv_id", "turn", F.to_json(F.expr(
+def payloads(turns: DataFrame) -> DataFrame:
+    """Nested documents with secrets in keys and texts."""
+    return turns.select("conv_id", "turn", F.to_json(F.expr(
         "named_struct('headers', named_struct('Authorization', text, 'X-Api-Key', role), "
         f"'message', {SECRETS}, 'max_tokens', turn, 'deep', named_struct('session_token', text, "
-        "'numbers', sequence(1, 90 + conv_id)))")).alias("payload"))
-    safe = redaction.sanitize_payloads(payloads, ["payload"])
+        "'numbers', sequence(1, 90 + conv_id % 1000)))")).alias("payload"))
+
+
+def payload_fields(safe: DataFrame) -> DataFrame:
     at = lambda path: F.get_json_object("payload", path)
     return safe.select(
         "conv_id", "turn", at("$.headers.Authorization").alias("authorization"),
@@ -665,6 +668,18 @@ def sanitize_payload(b):
         at("$.deep.numbers[100]._trace_truncated.omitted_items").cast("long").alias("omitted"))
 
 
+@query
+def sanitize_payload(b):
+    return payload_fields(redaction.sanitize_payloads(payloads(b.raw("conversations")), ["payload"]))
+
+
+@query
+def sanitize_stream(b):
+    source = streams.event_stream(b.spark, b.folder, "conversations.parquet", TURN_SCHEMA)
+    safe = streams.run_available(streams.safe_stream(payloads(source), ["payload"]), "sanitize-stream")
+    return payload_fields(safe)
+
+
 @query
 def cap_sample_ids(b):
     asked = b.raw("events").selectExpr(
@@ -774,8 +789,7 @@ def span_sequence(b):
 @query
 def answer_stream(b):
     """Answers of conversations that fell silent; a conversation's turns are seconds apart."""
-    schema = "conv_id long, turn long, role string, text string"
-    source = streams.event_stream(b.spark, b.folder, "conversations.parquet", schema)
+    source = streams.event_stream(b.spark, b.folder, "conversations.parquet", TURN_SCHEMA)
     parts = source.selectExpr(
         "cast(conv_id as string) as trace_id", "turn as seq",
         "if(role = 'assistant', 'answer', 'reasoning') as kind", "concat(' ', text) as content",

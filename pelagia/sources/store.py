@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelagia.cluster import broadcast_if_small
+from pelagia.cluster import WIDE_ROWS, broadcast_if_small
 from pelagia.contracts import MARKERS, ContractError, id_frame
 from pelagia.operators.ordering import page
 from pelagia.sources.storage import data_files, exists, read_text
 
 MANIFEST = "manifest.json"
 UNKNOWN_SHOWN = 5
-# Metadata rows carry a taxonomy path and a sequence, hence a lower broadcast bound.
-WIDE_ROWS = 100_000
 
 
 def write_table(frame: DataFrame, path: str, partition_by: list[str], order: list[str]) -> None:

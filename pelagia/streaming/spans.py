@@ -15,7 +15,7 @@ from pelagia.functions.text import millis_between
 from pelagia.operators.ordering import numbered
 from pelagia.operators.redaction import sanitize_payloads
 from pelagia.operators.traces import glue_chunks, glue_texts, life_aggregates, life_rows
-from pelagia.sources.storage import exists
+from pelagia.sources.storage import exists, remove
 
 IDLE = "1 hour"
 LATENESS = "1 hour"
@@ -110,6 +110,9 @@ class SequenceAssigner:
         if newest is not None:
             merged = merged.filter(F.col("last_seen") >= F.lit(newest) - F.expr(f"interval {self.keep}"))
         merged.write.mode("overwrite").parquet(f"{self.path}/next/{batch_id}")
+        # A repeat needs the state before this batch only.
+        if exists(spark, f"{self.path}/next/{batch_id - 2}"):
+            remove(spark, f"{self.path}/next/{batch_id - 2}")
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/spans").drop("batch")
