@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.cluster import scratch_path
+from pelagia.cluster import scratch_path, settle
 from pelagia.contracts import (CONTEXT_COLUMNS, GENERAL_SCHEMA, MARKERS, METADATA_COLUMNS, SOURCES,
                                STAT_SCHEMA)
 from pelagia.functions.text import title
@@ -193,33 +193,38 @@ class Binding:
 
     def _write_matrices(self, folder: str) -> None:
         people = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        columns = people.groupBy("c_nationkey", "c_mktsegment").agg(
+        groups = people.groupBy("c_nationkey", "c_mktsegment").agg(
             F.expr(SAMPLE_ID.format(key="min(c_custkey)")).alias("sample_id"))
-        names = sorted(r.sample_id for r in columns.select("sample_id").collect())
+        columns = settle(numbered(groups, [], ["sample_id"], "place"))
+        names = [r.sample_id for r in columns.orderBy("place").collect()]  # one header line
         owners = (self.raw("orders").select("o_orderkey", "o_custkey")
                   .join(people, F.col("o_custkey") == F.col("c_custkey"))
                   .join(F.broadcast(columns), ["c_nationkey", "c_mktsegment"])
-                  .select("o_orderkey", "sample_id"))
+                  .select("o_orderkey", "place"))
         counted = (self.raw("lineitem").select(
             "l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("reads"),
             F.expr("case l_linestatus when 'O' then 'v4' when 'F' then 'v9' end").alias("marker"))
             .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("marker", "l_partkey", "sample_id").agg(F.sum("reads").alias("reads")))
+            .groupBy("marker", "l_partkey", "place").agg(F.sum("reads").alias("reads")))
         rows = counted.groupBy("marker", "l_partkey").agg(
-            F.map_from_entries(F.collect_list(F.struct("sample_id", "reads"))).alias("counts"),
+            F.array_sort(F.collect_list(F.struct("place", "reads"))).alias("counts"),
             F.sum("reads").alias("total"), F.count_if(F.col("reads") > 0).alias("spread"))
         parts = self.raw("part").withColumn(
             "marker", F.explode(F.array(F.lit("v4"), F.lit("v9"))))
         full = parts.join(rows, [parts["marker"] == rows["marker"],
                                  F.col("p_partkey") == F.col("l_partkey")], "left").drop(rows["marker"])
-        cells = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(
-            F.try_element_at("counts", n), F.lit(0)).cast("string"))
+        # Each count is preceded by a zero for every column that it skips.
+        text = F.expr(f"""concat(
+            array_join(transform(coalesce(counts, array()), (c, i) -> concat(
+              repeat('\t0', cast(c.place - coalesce(get(counts, i - 1).place, -1) - 1 as int)),
+              '\t', c.reads)), ''),
+            repeat('\t0', cast({len(names)} - 1 - coalesce(array_max(counts).place, -1) as int)))""")
         key = F.md5(F.col("p_partkey").cast("string"))
-        line = F.concat_ws(
+        line = F.concat(F.concat_ws(
             "\t", key, F.expr("concat('Root;Eukaryota;', p_type, ';', p_brand, ';', p_name)"),
             F.expr("concat('100;99;98;97;', p_size)"),
             F.coalesce("total", F.lit(0)).cast("string"), F.coalesce("spread", F.lit(0)).cast("string"),
-            F.translate(key, "0123456789abcdef", "ACGTACGTACGTACGT"), F.array_join(cells, "\t"))
+            F.translate(key, "0123456789abcdef", "ACGTACGTACGTACGT")), text)
         header = "\t".join([*METADATA_COLUMNS, *names])
         lines = full.select("marker", line.alias(header))
         for marker in MARKERS:

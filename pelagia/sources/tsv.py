@@ -98,11 +98,12 @@ class WideMatrix:
             F.count_if(data & (F.col("spread") != spread)).alias("spread_mismatches"))
 
     def cells(self) -> DataFrame:
-        """Positive counts in long form; zeros are dropped before the explode."""
-        places = F.transform("counts", lambda c, i: F.struct(i.cast("long").alias("ordinal"),
-                                                             c.alias("reads")))
-        positive = self.rows().select("marker", "amplicon", F.inline(
-            F.filter(places, lambda p: p["reads"] > 0)))
+        """Positive counts in long form.
+
+        The explode and the filter run in one generated loop, so zeros leave it at once.
+        """
+        positive = self.rows().select("marker", "amplicon", F.posexplode("counts").alias(
+            "ordinal", "reads")).filter("reads > 0")
         names = F.broadcast(self.marker_samples().drop("marker"))
         return positive.join(names, "ordinal").select("marker", "amplicon", "sample_id", "reads")
 
@@ -138,14 +139,18 @@ def read_wide(spark: SparkSession, path: str, marker: str) -> WideMatrix:
     text = spark.read.text(path).select(line.alias("line")).filter("line <> ''").select(
         "line", F.xxhash64("line").alias("line_hash"),
         (F.col("line") == F.lit("\t".join(header))).alias("is_header"),
-        fields.alias("fields")).withColumn("cells", padded)
+        fields.alias("fields")).withColumn("cells", padded).withColumn(
+        "counts", F.col("cells").try_cast("array<long>"))
+    # Most lines hold plain numbers only; just the others are looked at cell by cell.
+    plain = ~F.concat_ws("", "cells").rlike("[^0-9]") \
+        & (F.coalesce(F.array_max("counts"), F.lit(0)) <= MAX_COUNT)
+    malformed = F.when(plain, 0).otherwise(F.size(F.filter("cells", _malformed)))
     data = lambda value: F.when(~F.col("is_header"), value)
     part = lambda i: data(F.nullif(F.get("fields", F.lit(i)), F.lit("")))
     parsed = text.select(
         F.lit(marker).alias("marker"), "is_header", "line_hash", part(0).alias("amplicon"),
         part(1).alias("taxonomy"), part(2).alias("confidence"), _count(part(3)).alias("total"),
         _count(part(4)).alias("spread"), part(5).alias("sequence"),
-        data(F.transform("cells", _count)).alias("counts"),
-        data(F.size(F.filter("cells", _malformed))).alias("malformed_cells"),
+        data(F.col("counts")).alias("counts"), data(malformed).alias("malformed_cells"),
         data(F.greatest(F.size("fields") - (fixed + len(samples)), F.lit(0))).alias("extra_fields"))
     return WideMatrix(marker, tuple(samples), parsed)
