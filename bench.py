@@ -27,8 +27,6 @@ HEADLINE = [
     "cascade_delete", "redact_text", "sanitize_payload", "trace_finalise", "span_fold",
     "span_stream", "span_sequence",
 ]
-PREPARED = ("context", "counts", "metadata", "marker_samples", "sessions", "messages", "spans",
-            "traces")
 
 
 def main() -> None:
@@ -39,10 +37,7 @@ def main() -> None:
     seconds: dict[str, float] = {}
 
     started = time.perf_counter()
-    binding = Binding(spark, folder)
-    for table in PREPARED:
-        binding.location(table)
-    binding.tsv_folder()
+    Binding(spark, folder).prepare()
     seconds["prepare"] = round(time.perf_counter() - started, 3)
 
     for name in names:

@@ -3,15 +3,6 @@
 from __future__ import annotations
 
 import math
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Workers get the helpers by value, so the package need not be installed on executors.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _log_beta_half(a: float) -> float:
@@ -57,10 +48,3 @@ def correlation_p(rho: float | None, n: int | None) -> float | None:
         return min(1.0, front * _beta_fraction(a, b, x) / a)
     return max(0.0, 1.0 - front * _beta_fraction(b, a, square) / b)
 
-
-@F.pandas_udf(T.DoubleType())
-def correlation_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
-    """Column form; meant for the one-row-per-test result, never for raw rows."""
-    return pd.Series([correlation_p(None if pd.isna(r) else float(r),
-                                    None if pd.isna(k) else int(k))
-                      for r, k in zip(rho, n)], dtype="float64")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.cluster import settle
 from pelagia.contracts import CONTEXT_ID, AssociationRequest
-from pelagia.functions.stats import correlation_p_value
+from pelagia.functions.stats import correlation_p
 from pelagia.operators.abundance import (abundance_counts, abundance_warning_list, resolve_samples,
                                          taxon_abundance)
 from pelagia.operators.envelope import Answer, beside, filters_map, warning, warning_rows
@@ -57,13 +59,15 @@ def spearman(points: DataFrame, x: str, y: str, hot_rows: int = HOT_ROWS) -> Dat
     sums = _ranked(kept, n, hot_rows).agg(
         F.sum(dx * dy).alias("_xy"), F.sum(dx * dx).alias("_xx"), F.sum(dy * dy).alias("_yy"),
         (F.min("_rx") < F.max("_rx")).alias("varied_x"), (F.min("_ry") < F.max("_ry")).alias("varied_y"))
-    varied = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("varied_x", "varied_y")]
-    usable = (F.lit(n) >= MIN_SAMPLES) & varied[0] & varied[1]
-    ratio = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))
-    rho = sums.select(F.lit(n).cast("long").alias("sample_count"), *varied,
-                      F.when(usable, bounded).alias("rho"))
-    return rho.withColumn("p_value", correlation_p_value("rho", "sample_count"))
+    # Five numbers decide the test; the rest is arithmetic on one row.
+    row = sums.first()
+    varied_x, varied_y = bool(row.varied_x), bool(row.varied_y)
+    rho = None
+    if n >= MIN_SAMPLES and varied_x and varied_y:
+        rho = max(-1.0, min(1.0, row["_xy"] / math.sqrt(row["_xx"] * row["_yy"])))
+    return points.sparkSession.createDataFrame(
+        [(n, varied_x, varied_y, rho, correlation_p(rho, n))],
+        "sample_count long, varied_x boolean, varied_y boolean, rho double, p_value double")
 
 
 def association_answer(cells: DataFrame, metadata: DataFrame, marker_samples: DataFrame,
@@ -72,7 +76,7 @@ def association_answer(cells: DataFrame, metadata: DataFrame, marker_samples: Da
     seen = settle(taxon_abundance(cells, metadata, marker_samples, context, query.taxon,
                                   query.match_mode, query.sample_ids))
     points = association_points(seen, context, query.environment_variable)
-    test = settle(spearman(points, "environment_value", "relative_abundance"))
+    test = spearman(points, "environment_value", "relative_abundance")
     lost = with_environment(seen, context, query.environment_variable).agg(
         F.count_if(F.col("environment_value").isNull()).alias("missing"))
     counts = beside(abundance_counts(seen, metadata, samples, query.taxon, query.match_mode),

@@ -149,28 +149,49 @@ def categorical_domain(frame: DataFrame, columns: list[str]) -> DataFrame:
             .orderBy("column_name", "value"))
 
 
+def _per_id(frame: DataFrame, prefix: str, *faults: Column) -> DataFrame:
+    """Rows, repeated rows and given faults per sample id, from one scan.
+
+    Equal rows are merged first, so an id with very many copies is small when its rows meet.
+    """
+    equal = frame.groupBy(*[F.col(f"`{c}`") for c in frame.columns]).agg(rows_count().alias("_n"))
+    return equal.groupBy(F.col(CONTEXT_ID).alias(f"{prefix}_id")).agg(
+        F.sum("_n").alias(f"{prefix}_rows"), F.sum(F.col("_n") - 1).alias(f"{prefix}_copies"), *faults)
+
+
+def _key_errors(prefix: str) -> Column:
+    """Rows with a null or foreign id, and rows beyond the first of an id."""
+    key, n = F.col(f"{prefix}_id"), F.col(f"{prefix}_rows")
+    foreign = F.when(F.startswith(key, F.lit(SAMPLE_PREFIX)), F.lit(0)).otherwise(n)
+    return F.coalesce(F.sum(F.when(key.isNull(), n).otherwise(n - 1 + foreign)), F.lit(0))
+
+
 def context_report(general: DataFrame, stat: DataFrame) -> DataFrame:
     """One row of counters over both context sources; every error counter must be zero."""
     context = settle(context_join(general, stat))
-    numeric = numeric_profile(context)
-    ids = id_set_equality(general, stat, CONTEXT_ID, CONTEXT_ID)
-    keys = key_contract(general, CONTEXT_ID, "general").select(
-        (F.col("null_ids") + F.col("duplicate_ids") + F.col("invalid_ids")).alias("general_key_errors"))
-    stat_keys = key_contract(stat, CONTEXT_ID, "stat").select(
-        (F.col("null_ids") + F.col("duplicate_ids") + F.col("invalid_ids")).alias("stat_key_errors"))
+    text = F.col("event_date")
+    lost_date = text.isNotNull() & parsed_date("event_date").isNull()
+    sides = _per_id(general, "general", F.sum(F.when(lost_date, F.col("_n")).otherwise(0)).alias("_dates")) \
+        .join(_per_id(stat, "stat"), F.col("general_id").eqNullSafe(F.col("stat_id")), "full")
+    only_one = F.col("general_rows").isNull() | F.col("stat_rows").isNull()
+    nulls = F.lit(0).cast("long")
+    for c in context.columns:
+        nulls = nulls + F.col(f"`{c}`").isNull().cast("long")
+    zero = F.lit(0)
     return beside(
         context.agg(rows_count().alias("row_count"),
                     F.count_if(coordinate_fault()).alias("coordinate_errors"),
                     F.count_distinct("depth").alias("depth_values"),
-                    F.count_distinct("polar").alias("polar_values")),
-        keys, stat_keys,
-        ids.select((F.col("left_only") + F.col("right_only")).alias("unmatched_ids")),
-        date_parse_errors(general, "event_date").select("parse_errors"),
-        duplicate_rows(general, "general").select(F.col("duplicate_rows").alias("general_duplicates")),
-        duplicate_rows(stat, "stat").select(F.col("duplicate_rows").alias("stat_duplicates")),
-        missing_values(context).agg(F.coalesce(F.sum("null_count"), F.lit(0)).alias("missing_values")),
-        numeric.agg(F.sum("non_finite_count").alias("non_finite_values"),
-                    F.sum("iqr_outlier_count").alias("outlier_values")),
+                    F.count_distinct("polar").alias("polar_values"),
+                    F.coalesce(F.sum(nulls), zero).alias("missing_values")),
+        sides.agg(_key_errors("general").alias("general_key_errors"),
+                  _key_errors("stat").alias("stat_key_errors"),
+                  F.count_if(only_one).alias("unmatched_ids"),
+                  F.coalesce(F.sum("_dates"), zero).alias("parse_errors"),
+                  F.coalesce(F.sum("general_copies"), zero).alias("general_duplicates"),
+                  F.coalesce(F.sum("stat_copies"), zero).alias("stat_duplicates")),
+        numeric_profile(context).agg(F.sum("non_finite_count").alias("non_finite_values"),
+                                     F.sum("iqr_outlier_count").alias("outlier_values")),
     ).withColumn("column_count", F.lit(len(context.columns)))
 
 

@@ -8,10 +8,12 @@ read from there by every query.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.cluster import scratch_path, settle
+from pelagia.cluster import in_parallel, scratch_path, settle
 from pelagia.contracts import (CONTEXT_COLUMNS, GENERAL_SCHEMA, MARKERS, METADATA_COLUMNS, SOURCES,
                                STAT_SCHEMA)
 from pelagia.functions.text import title
@@ -109,6 +111,13 @@ class Binding:
             write_table(frame, path, by, order)
         return path
 
+    def prepare(self) -> None:
+        """Write all derived tables, those that do not depend on each other side by side."""
+        for wave in (("context", "counts", "sessions", "messages", "spans"),
+                     ("metadata", "marker_samples", "traces")):
+            in_parallel(self.spark, *[partial(self.location, name) for name in wave])
+        self.tsv_folder()
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.location(name))
 

@@ -1,8 +1,5 @@
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
-
 from pelagia.operators import traces
 from pelagia.streaming import spans as streams
 

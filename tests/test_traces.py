@@ -36,6 +36,19 @@ def test_both_redactions_agree(spark, value):
     assert column(spark, value, text.redact) == redaction.redact_string(value)
 
 
+def test_both_redactions_agree_on_random_texts(spark):
+    import random
+    rng = random.Random(11)
+    tokens = ["password", "PassWd", "api_key", "API-key", "apikey", "client secret", "access token",
+              "refresh_token", "ſecret", "secrets", "bearer", "Bearer", "beareR", "authorization", "=", ":",
+              " = ", "\t:\n", " ", "\u00a0", "\u3000", ",", ";", "&", "x1", "é", "http://", "s3+x://", "a:b@",
+              "пароль", "u:p@host/x", "_", "-", "."]
+    values = ["".join(rng.choice(tokens) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    frame = spark.createDataFrame([(v,) for v in values], "t string")
+    got = [(r.t, r.s) for r in frame.select("t", text.redact(F.col("t")).alias("s")).collect()]
+    assert [g for g in got if g[1] != redaction.redact_string(g[0])] == []
+
+
 def test_bounded_text_and_title(spark):
     assert column(spark, "x" * 4000, text.bounded) == "x" * 4000
     assert column(spark, "x" * 4007, text.bounded) == "x" * 4000 + "\n[TRUNCATED 7 CHARACTERS]"
@@ -180,6 +193,19 @@ def test_runs_append_a_question_and_a_pending_answer(spark):
     assert [g[5] for g in got if g[2] == "assistant"] == [0, 2, 4]
 
 
+@pytest.mark.parametrize("hot_rows", [5, 1000])
+def test_messages_are_numbered_in_long_sessions(spark, hot_rows):
+    roles = ["system", "user", "assistant", "user", "user", "assistant", "assistant"] * 4
+    rows = [("long", i * 3, r) for i, r in enumerate(roles)] + [("short", 0, "assistant")]
+    frame = spark.createDataFrame(rows, "session_id string, turn long, role string").repartition(3)
+    got = {(r.session_id, r.turn): (r.sequence_no, r.parent_sequence_no)
+           for r in traces.message_sequence(frame, hot_rows=hot_rows).collect()}
+    for i, role in enumerate(roles):
+        asked = role == "assistant" and roles[i - 1] == "user"
+        assert got[("long", i * 3)] == (i, i - 1 if asked else None)
+    assert got[("short", 0)] == (0, None)
+
+
 def test_messages_take_responses_and_first_tool_output(spark):
     messages = spark.createDataFrame([("s", 0, "user", "t"), ("s", 1, "assistant", "t"), ("s", 3, "assistant", "u")],
                                      "session_id string, sequence_no long, role string, trace_id string")
