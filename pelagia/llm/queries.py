@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pelagia.llm import exact_dedup, packing, token_files
+from pelagia.llm import decontaminate, exact_dedup, packing, token_files
 from pelagia.llm.tables import table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = decontaminate.hit_words(F.col("starts"), F.col("ends"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+                        (n_hit > 0).alias("contaminated"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY, end=1, capacity=4096)
     return packed.drop("ids")
@@ -29,6 +38,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_files": op10_token_files,
