@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, packing, token_files
+from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, token_files
 from pelagia.llm.tables import table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
@@ -28,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
+    return parity_join.similarity_classes(table(spark, folder, "documents"), n=3, percent=90)
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), longest=True).drop("chars")
 
@@ -40,6 +44,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_parity_sketch_join": op4_parity_sketch_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_files": op10_token_files,
 }
