@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, token_files
-from pelagia.llm.tables import table
+from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, quality, token_files
+from pelagia.llm.tables import held_out, table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+QUALITY_THRESHOLD = 0.3
+
+
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    labels = table(spark, folder, "labels").where(~out).select("doc_id", F.col("quality").alias("label"))
+    vectors, network = quality.fit(docs, labels)
+    scored = docs.select("doc_id", out.alias("held_out"), quality.scorer(docs, vectors, network)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     n_hit = decontaminate.hit_words(F.col("starts"), F.col("ends"))
@@ -42,6 +54,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_parity_sketch_join": op4_parity_sketch_join,
