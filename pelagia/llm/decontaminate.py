@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pelagia.llm.tables import stored
 from pelagia.llm.words import ALNUM, Texts, Words, find_words, grams, texts_of
@@ -184,7 +185,7 @@ def hit_words(starts: Column, ends: Column) -> Column:
     return F.aggregate(F.zip_with(starts, ends, lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
 
 
-@F.arrow_udf("struct<starts: array<int>, ends: array<int>>")
+@F.arrow_udf(T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
 def united(starts: pa.Array, ends: pa.Array) -> pa.Array:
     """Runs that overlap or touch, joined."""
     out = []

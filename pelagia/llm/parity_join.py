@@ -261,3 +261,10 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     ids = stored(named.join(smallest, "label").select("a", "component_id"), "components")
     linked = rows.where("size > 0").select("doc_id", "size", "a").join(ids, "a").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose component has a smaller id; null ids stay."""
+    found = similarity_classes(docs, n, percent)
+    gone = stored(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(small_side(gone, 16), "doc_id", "left_anti").select(docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, quality, token_files
+from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, pii, quality, token_files
 from pelagia.llm.tables import held_out, table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
@@ -44,6 +44,13 @@ def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.similarity_classes(table(spark, folder, "documents"), n=3, percent=90)
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", pii.spans("text").alias("found"))
+    plain = F.filter("found", lambda s: s["plain"])
+    counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(plain), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), longest=True).drop("chars")
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_parity_sketch_join": op4_parity_sketch_join,
+    "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_files": op10_token_files,
 }

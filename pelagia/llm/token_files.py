@@ -23,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ from pelagia.llm.words import texts_of
 
 BLOCK, FOOTER = b"PTB1", b"PTF1"
 BLOCK_IDS = 1 << 18
-FILE_BYTES = 16 << 20
+#: Bytes of text whose ids a file holds, on average.
+FILE_TEXT_BYTES = 32 << 20
 
 
 def width(vocabulary_size: int) -> int:
@@ -123,12 +124,30 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, bits: int) -> DataFrame:
     return arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n long, crc long, packed binary")
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: int, end: int) -> None:
-    """The ids of all documents in ascending order of doc_id, in files of about FILE_BYTES each."""
+def bucket_of(value: Column, limits: Column) -> Column:
+    """How many of the ascending limits are at or below the value, by halving."""
+    step = F.struct(F.lit(0).alias("low"), F.size(limits).alias("high"))
+
+    def halve(s, _):
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(limits, middle) <= value
+        done = s["low"] >= s["high"]
+        return F.struct(F.when(done | ~below, s["low"]).otherwise(middle + 1).alias("low"),
+                        F.when(done | below, s["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), step, halve)["low"]
+
+
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: int, end: int,
+                      file_text: int = FILE_TEXT_BYTES) -> None:
+    """The ids of all documents in ascending order of doc_id, in files of about equal numbers of documents."""
     bits = width(max(vocabulary_size, end + 1))
-    rows = stored(encoded(docs, vocabulary, end, bits), "encoded")
-    total = rows.agg(F.sum(F.length("packed") + 24)).first()[0] or 0
-    files = int(total // FILE_BYTES) + 1
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = int(size // file_text) + 1
+    # Bounds of equal shares of the ids, so that the ids' own bytes are moved once and not stored besides.
+    shares = [i / files for i in range(1, files)]
+    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 20 * files))).first()[0] if shares else []
+    rows = encoded(docs, vocabulary, end, bits)
 
     def work(batches):
         from pyspark import TaskContext
@@ -161,8 +180,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, vocabulary_si
             tail = FOOTER + struct.pack("<Q", len(index) // 3) + np.array([*index, TaskContext.get().partitionId(), place, first], "<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([tail + struct.pack("<Q", len(tail))], pa.binary())], names=["value"])
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("crc").asc()]
-    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    limits = F.array(*map(F.lit, bounds or [])).cast("array<bigint>")
+    file = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket_of(F.col("doc_id"), limits))
+    dealt = rows.repartitionById(files, file).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
     arrow(dealt.select("doc_id", "n", "packed"), work, "value binary").select(F.col("value").cast("string").alias("value")) \
         .write.option("lineSep", "\n").text(path)
 
@@ -207,7 +227,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(shift), "part").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, vocabulary_size: int, end: int) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, vocabulary_size: int, end: int, file_text: int = FILE_TEXT_BYTES) -> DataFrame:
     path = scratch_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, vocabulary, vocabulary_size, end)
+    write_token_files(docs, path, vocabulary, vocabulary_size, end, file_text)
     return read_token_files(docs.sparkSession, path)
