@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, pii, quality, token_files
+from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, pii, quality, token_files, warc
 from pelagia.llm.tables import held_out, table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
@@ -55,6 +55,11 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), longest=True).drop("chars")
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.round_trip(table(spark, folder, "pages"), least=0)
+    return read.where("quarantined is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     read = token_files.round_trip(table(spark, folder, "documents"), BYTE_VOCABULARY, BYTE_IDS, end=2)
     return read.drop("ids")
@@ -67,10 +72,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_parity_sketch_join": op4_parity_sketch_join,
     "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_warc": """
+        with payload as (
+            select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+        named as (
+            select page_id, html, max(page_id) over (partition by hex) as largest,
+                   array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       ((('0x' || substr(hex, (k // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (k % 4))) & 31)::int + 1, 1)), '') as digest
+            from payload)
+        select page_id, strlen(html) as payload_bytes, digest as payload_digest,
+               case when page_id < largest then 'revisit' else 'response' end as record_type,
+               case when page_id < largest then largest end as refers_to
+        from named
+    """,
     "op7_exact_dedup": r"""
         with bare as (
             select doc_id, length(coalesce(text, '')) as chars,
