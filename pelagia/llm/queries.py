@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, packing, parity_join, pii, quality, token_files, warc
+from pelagia.llm import decontaminate, exact_dedup, licences, packing, parity_join, pii, quality, token_files, warc
 from pelagia.llm.tables import held_out, table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
@@ -60,9 +60,15 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read.where("quarantined is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", licences.scan("text").alias("found"))
+    names = F.transform("found.matches", lambda m: m["licence"])
+    return found.select("doc_id", F.size("found.matches").cast("long").alias("n_matches"), F.col("found.unknown").alias("n_unknown"),
+                        F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("licences"), licences.listed(F.col("found.matches")).alias("spans"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    read = token_files.round_trip(table(spark, folder, "documents"), BYTE_VOCABULARY, BYTE_IDS, end=2)
-    return read.drop("ids")
+    return token_files.round_trip(table(spark, folder, "documents"), BYTE_VOCABULARY, BYTE_IDS, end=2, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
+    "op9_licences": op9_licences,
     "op10_token_files": op10_token_files,
 }
 
