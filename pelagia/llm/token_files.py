@@ -35,7 +35,7 @@ from pelagia.llm.words import texts_of
 BLOCK, FOOTER = b"PTB1", b"PTF1"
 BLOCK_IDS = 1 << 18
 #: Bytes of text whose ids a file holds, on average.
-FILE_TEXT_BYTES = 32 << 20
+FILE_TEXT_BYTES = 16 << 20
 
 
 def width(vocabulary_size: int) -> int:
@@ -187,34 +187,35 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, vocabulary_si
         .write.option("lineSep", "\n").text(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document: doc_id, start, n_tokens, ids, ids_crc32; start counts the ids before it."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document: doc_id, start, n_tokens, ids (if wanted), ids_crc32; start counts the ids before it."""
     def work(batches):
         for batch in batches:
             for content in batch.column("content"):
                 file = File(content.as_py())
-                names, sizes, pieces = [], [], []
+                place, held, name = 0, [], None
                 for i in range(len(file.offsets)):
-                    bits, (ids, nulls, counts), n, goes_on, _, packed = file.block(i)
-                    tokens = unpack_bits(packed, 0, n, bits)
+                    bits, (ids, nulls, counts), n, goes_on, open_end, packed = file.block(i)
+                    tokens = unpack_bits(packed, 0, n, bits).astype("<u4")
                     cuts = np.split(tokens, np.cumsum(counts)[:-1])
-                    own = [None if null else int(x) for x, null in zip(ids, nulls)]
+                    named = [None if null else int(x) for x, null in zip(ids, nulls)]
                     if goes_on:
-                        pieces[-1] = np.concatenate([pieces[-1], cuts.pop(0)])
-                        own.pop(0)
-                    names += own
-                    pieces += cuts
-                sizes = np.array([len(p) for p in pieces], np.int64)
-                tokens = np.concatenate(pieces).astype("<u4")
-                ends = np.cumsum(sizes)
-                crc = [zlib.crc32(tokens[b - n:b]) for b, n in zip(ends.tolist(), sizes.tolist())]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens.view(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sizes), file.part, np.int32)), pa.array(names, pa.int64()), pa.array(ends - sizes), pa.array(sizes), lists, pa.array(crc, pa.int64())],
-                    names=["part", "doc_id", "inner", "n_tokens", "ids", "ids_crc32"])
+                        cuts[0] = np.concatenate([*held, cuts[0]])
+                        named[0] = name
+                    held = [cuts.pop()] if open_end else []
+                    name = named.pop() if open_end else None
+                    sizes = np.array([len(c) for c in cuts], np.int64)
+                    ends = np.cumsum(sizes)
+                    columns = [pa.array(np.full(len(cuts), file.part, np.int32)), pa.array(named, pa.int64()), pa.array(place + ends - sizes),
+                               pa.array(sizes), pa.array([zlib.crc32(c) for c in cuts], pa.int64())]
+                    if with_ids:
+                        flat = np.concatenate([*cuts, np.zeros(0, "<u4")])
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32))))
+                    place += int(sizes.sum())
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "inner", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    rows = arrow(files.select("content"), work, "part int, doc_id long, inner long, n_tokens long, ids array<int>, ids_crc32 long")
+    rows = arrow(files.select("content"), work, "part int, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
     def totals(batches):
         for batch in batches:
@@ -224,10 +225,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     sums = stored(arrow(files.select("content"), totals, "part int, total long"), "file-totals")
     shift = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(shift), "part").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids", "ids_crc32")
+    return rows.join(F.broadcast(shift), "part").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, vocabulary_size: int, end: int, file_text: int = FILE_TEXT_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, vocabulary_size: int, end: int, with_ids: bool = True,
+               file_text: int = FILE_TEXT_BYTES) -> DataFrame:
     path = scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, vocabulary, vocabulary_size, end, file_text)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, with_ids)
