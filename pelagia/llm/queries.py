@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, licences, packing, parity_join, pii, quality, token_files, warc
+from pelagia.llm import decontaminate, exact_dedup, licences, lm, packing, parity_join, pii, quality, token_files, warc
 from pelagia.llm.tables import held_out, table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
@@ -44,6 +44,11 @@ def op4_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.similarity_classes(table(spark, folder, "documents"), n=3, percent=90)
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lm.scores(docs, held_out(F.col("doc_id"), 7, 2), BYTE_VOCABULARY, BYTE_IDS, end=BYTE_IDS - 1)
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "documents").select("doc_id", pii.spans("text").alias("found"))
     plain = F.filter("found", lambda s: s["plain"])
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_parity_sketch_join": op4_parity_sketch_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
