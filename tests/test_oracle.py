@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pelagia.plans.oracle import ORACLE
+from pelagia.plans.queries import QUERIES
 from tests.conftest import SMALL
 
 duckdb = pytest.importorskip("duckdb")
@@ -34,8 +36,8 @@ def types(table):
 
 
 def test_registry_and_sql_name_the_same_queries():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert not set(oracle_sql()) - set(queries())
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert not set(ORACLE) - set(QUERIES)
 
 
 def test_entry_returns_rows(spark):
@@ -44,10 +46,10 @@ def test_entry_returns_rows(spark):
     assert frame.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sql, name):
-    found = queries()[name](spark, SMALL).toArrow()
-    wanted = sql.sql(oracle_sql()[name]).to_arrow_table()
+    found = QUERIES[name](spark, SMALL).toArrow()
+    wanted = sql.sql(ORACLE[name]).to_arrow_table()
     assert types(found) == types(wanted)
     assert rows(found) == rows(wanted)
 
