@@ -651,21 +651,15 @@ ORACLE = {
           on p.trace_id = c.trace_id and p.span_id = c.parent_span_id and p.event_id % 37 <> 0
             and p.began <= c.began and (p.done is null or p.done >= c.began)
         where c.event_id % 37 <> 0 and c.parent_span_id is not null and p.span_id is null"""),
-    # Silent for an hour before the final watermark, which is an hour behind the latest event.
-    "span_stream": sql("life", """
-        select trace_id, span_id, parent_span_id, name, span_kind, case when kept then final else 'failed' end as status,
-          began as started_at, case when kept then done else began + interval 1 hour end as ended_at,
-          case when kept then life_ms else 3600000 end as duration_ms,
-          case when kept then code else 'SpanTimeout' end as error_code
-        from (select *, coalesce(done <= began + interval 1 hour, false) as kept from life),
-          (select greatest(max(began), max(done)) as latest from life)
-        where case when kept then done else began end + interval 2 hour <= latest"""),
+    "span_stream": sql("life", """select trace_id, span_id, parent_span_id, name, span_kind,
+        case when done is null then 'running' else final end as status, began as started_at, done as ended_at,
+        life_ms as duration_ms, case when done is not null then code end as error_code from life"""),
     "span_sequence": sql("life", """select trace_id, span_id,
         row_number() over (partition by trace_id order by began, span_id) - 1 as sequence_no from life"""),
     "answer_stream": f"""
         select cast(conv_id as varchar) as trace_id,
-          {TRIMMED.format("coalesce(string_agg(concat(' ', text), '' order by turn) filter (role <> 'assistant'), '')")} as reasoning,
-          {TRIMMED.format("coalesce(string_agg(concat(' ', text), '' order by turn) filter (role = 'assistant'), '')")} as answer
-        from conversations, (select max(conv_id) as latest from conversations) where conv_id < latest
-        group by conv_id""",
+          {TRIMMED.format("coalesce(string_agg(concat(' ', text), '' order by turn) filter (role = 'user'), '')")} as reasoning,
+          {TRIMMED.format("coalesce(string_agg(concat(' ', text), '' order by turn) filter (role = 'assistant'), '')")} as answer,
+          max_by(concat(' ', text), turn) filter (role = 'system') as usage
+        from conversations group by conv_id""",
 }

@@ -771,15 +771,29 @@ def fold_violations(b):
     return traces.fold_violations(events)
 
 
+def in_batches(b, table, schema, key, parts=3):
+    """A table in parts in the order of ``key``, an SQL number, with about a part for each micro-batch."""
+    path = scratch_path(b.spark, f"{table}-files")
+    rows = b.raw(table)
+    bounds = rows.agg(F.percentile_approx(F.expr(key), [i / parts for i in range(1, parts)])).first()[0]
+    at = F.expr(key)
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        mine = rows.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        mine.write.mode("append").parquet(path)
+    return streams.event_stream(b.spark, path, "*.parquet", schema, files=max(1, len(rows.inputFiles())))
+
+
 @query
 def span_stream(b):
-    source = streams.event_stream(b.spark, b.folder, "events.parquet", LIFE_SCHEMA)
-    return plain_times(streams.run_available(streams.fold_stream(life_events(source)), "span-stream"))
+    path = scratch_path(b.spark, "span-stream")
+    log = streams.span_log(path)
+    log.run(life_events(in_batches(b, "events", LIFE_SCHEMA, "event_id")), f"{path}-progress")
+    return plain_times(streams.folded_spans(log, b.spark))
 
 
 @query
 def span_sequence(b):
-    source = streams.event_stream(b.spark, b.folder, "events.parquet", LIFE_SCHEMA)
+    source = in_batches(b, "events", LIFE_SCHEMA, "cast(cast(ts as timestamp) as bigint)")
     starts = life_events(source).filter("phase = 'started'").select("trace_id", "span_id", "occurred_at")
     path = scratch_path(b.spark, "span-sequence")
     rows = streams.number_available(starts, path, f"{path}-progress")
@@ -788,12 +802,13 @@ def span_sequence(b):
 
 @query
 def answer_stream(b):
-    """Answers of conversations that fell silent; a conversation's turns are seconds apart."""
-    source = streams.event_stream(b.spark, b.folder, "conversations.parquet", TURN_SCHEMA)
-    parts = source.selectExpr(
+    """Answers of all conversations, whose turns come in several batches."""
+    source = in_batches(b, "conversations", TURN_SCHEMA, "turn")
+    deltas = source.selectExpr(
         "cast(conv_id as string) as trace_id", "turn as seq",
-        "if(role = 'assistant', 'answer', 'reasoning') as kind", "concat(' ', text) as content",
-        "timestamp_seconds(conv_id * 10800 + turn) as occurred_at")
-    chunks = streams.run_available(streams.delta_stream(parts), "answer-stream")
-    return streams.assemble(chunks)
-
+        "case role when 'assistant' then 'answer' when 'system' then 'usage' else 'reasoning' end as kind",
+        "concat(' ', text) as content")
+    path = scratch_path(b.spark, "answer-stream")
+    log = streams.answer_log(path)
+    log.run(deltas, f"{path}-progress")
+    return streams.answers(log, b.spark)

@@ -1,62 +1,109 @@
 """Structured Streaming over span life-cycle events and answer deltas.
 
-The folds are the batch ones.  A session window per key bounds the state: a key that stays
-silent for ``IDLE`` is closed and leaves the state once the watermark has passed it.
+A span or an answer may stay open for any time, so nothing here depends on a watermark. Each
+micro-batch combines its own events and writes them under its batch id; a repeated batch writes
+the same folder again. Readers fold what the batches left, with the batch operators, so that open
+spans are there as running and an answer is there as far as it came.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pelagia.cluster import scratch_path, settle
-from pelagia.functions.text import millis_between
 from pelagia.operators.ordering import numbered
 from pelagia.operators.redaction import sanitize_payloads
-from pelagia.operators.traces import glue_chunks, glue_texts, life_aggregates, life_rows
-from pelagia.sources.storage import exists, remove
+from pelagia.operators.traces import answer_assembly, life_aggregates, life_rows
+from pelagia.sources.storage import children, exists, remove
 
-IDLE = "1 hour"
-LATENESS = "1 hour"
+# Batches whose folders are merged into one.
+MERGED = 32
 
 
-def event_stream(spark: SparkSession, folder: str, file_name: str, schema) -> DataFrame:
-    """A Parquet file source over files of one name or pattern in a folder."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-            .parquet(folder))
+def event_stream(spark: SparkSession, folder: str, file_name: str, schema, files: int | None = None) -> DataFrame:
+    """A Parquet file source over files of one name or pattern; ``files`` bounds those of a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(folder)
 
 
-def fold_stream(events: DataFrame, idle: str = IDLE, lateness: str = LATENESS) -> DataFrame:
-    """Closed spans; one that got no finish within ``idle`` fails, as in a broken run.
+class BatchLog:
+    """What each micro-batch left, as ``rows/batch=<id>``, written once more if a batch is repeated."""
 
-    ``occurred_at`` must be a TIMESTAMP: watermarks do not take the zoneless type.
-    """
-    folded = (events.withWatermark("occurred_at", lateness)
-              .groupBy("trace_id", "span_id", F.session_window("occurred_at", idle))
-              .agg(*life_aggregates()))
-    rows = life_rows(folded)
-    lost = F.col("status") == "running"
-    ended = F.when(lost, F.col("started_at") + F.expr(f"interval {idle}")).otherwise(F.col("ended_at"))
-    return rows.select(
-        "trace_id", "span_id", "parent_span_id", "name", "span_kind",
-        F.when(lost, "failed").otherwise(F.col("status")).alias("status"), "started_at",
-        ended.alias("ended_at"), millis_between(F.col("started_at"), ended).alias("duration_ms"),
-        F.when(lost, "SpanTimeout").otherwise(F.col("error_code")).alias("error_code"))
-
-
-def delta_stream(deltas: DataFrame, idle: str = IDLE, lateness: str = LATENESS) -> DataFrame:
-    """Chunks of answer text per trace and kind, emitted when the trace falls silent.
-
-    Deltas hold trace_id, seq, kind, content and occurred_at.  ``assemble`` joins the chunks.
-    """
-    return glue_chunks(deltas.filter("kind <> 'usage'").withWatermark("occurred_at", lateness),
-                       F.session_window("occurred_at", idle))
+    def __init__(self, path: str, schema: str, made: Callable[[DataFrame], DataFrame],
+                 merged: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.path, self.schema, self.made, self.merged = path, schema, made, merged
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.made(batch).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+        if self.merged and batch_id and batch_id % MERGED == 0:
+            self._merge(batch.sparkSession, batch_id)
+
+    def _merge(self, spark: SparkSession, before: int) -> None:
+        """One folder for all batches before this one; the folders it stands for go afterwards."""
+        settle(self.merged(self.read(spark, before))).write.mode("overwrite").parquet(f"{self.path}/merged/before={before}")
+        for name in ("rows/batch", "merged/before"):
+            for number in self._numbers(spark, name):
+                if number < before:
+                    remove(spark, f"{self.path}/{name}={number}")
+
+    def _numbers(self, spark: SparkSession, name: str) -> list[int]:
+        folder, key = f"{self.path}/{name}".rsplit("/", 1)
+        if not exists(spark, folder):
+            return []
+        return sorted(int(f.name.partition("=")[2]) for f in children(spark, folder) if f.name.startswith(f"{key}="))
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """What the batches (those before ``before``) left."""
+        base = max((n for n in self._numbers(spark, "merged/before") if before is None or n <= before), default=0)
+        paths = [f"{self.path}/rows/batch={n}" for n in self._numbers(spark, "rows/batch")
+                 if n >= base and (before is None or n < before)]
+        if base:
+            paths.append(f"{self.path}/merged/before={base}")
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+
+    def run(self, frame: DataFrame, checkpoint: str) -> None:
+        """Take in what the stream holds now."""
+        (frame.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
+
+
+PARTIAL = ("trace_id string, span_id string, "
+           "_start struct<occurred_at:timestamp,parent_span_id:string,name:string,span_kind:string>, "
+           "_end struct<occurred_at:timestamp,phase:string,error_code:string>")
 
 
-def assemble(chunks: DataFrame) -> DataFrame:
-    """Whole texts from the chunks that the stream has written."""
-    return glue_texts(chunks)
+def _merge_lives(partial: DataFrame) -> DataFrame:
+    """The first start and the first finish of each span over several folds."""
+    return partial.groupBy("trace_id", "span_id").agg(F.min("_start").alias("_start"), F.min("_end").alias("_end"))
+
+
+def span_log(path: str) -> BatchLog:
+    """Takes in life-cycle events; a span's start and finish may be any number of batches apart."""
+    return BatchLog(path, PARTIAL, lambda events: events.groupBy("trace_id", "span_id").agg(*life_aggregates()), _merge_lives)
+
+
+def folded_spans(log: BatchLog, spark: SparkSession) -> DataFrame:
+    """Every span seen so far, running ones too; the same rows as ``span_fold`` over all events."""
+    return life_rows(_merge_lives(log.read(spark)))
+
+
+DELTA = "trace_id string, seq long, kind string, content string"
+
+
+def answer_log(path: str) -> BatchLog:
+    """Takes in answer deltas as they come; their order is that of ``seq``, not of arrival."""
+    return BatchLog(path, DELTA, lambda deltas: deltas.select("trace_id", "seq", "kind", "content"))
+
+
+def answers(log: BatchLog, spark: SparkSession) -> DataFrame:
+    """Reasoning, answer and last usage of every trace, as far as its deltas came."""
+    return answer_assembly(log.read(spark))
 
 
 def safe_stream(events: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,37 +129,28 @@ def run_available(frame: DataFrame, label: str) -> DataFrame:
 class SequenceAssigner:
     """Numbers the spans of each trace 0, 1, 2, ... across micro-batches, in start order.
 
-    Each batch writes its rows and the traces' next numbers under its own batch id, so a
-    repeated batch overwrites the same folders and gives the same numbers.  Traces silent for
-    ``keep`` leave the state.
+    A batch reads how many spans its own traces had in earlier batches and adds its counts under
+    its batch id. Counts are never dropped, only merged, so that a trace goes on after any silence.
     """
 
-    def __init__(self, path: str, keep: str = "1 day") -> None:
+    def __init__(self, path: str) -> None:
         self.path = path
-        self.keep = keep
+        self.counts = BatchLog(f"{path}/counts", "trace_id string, n long", self._counted, self._counted)
+
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
+        n = F.sum("n") if "n" in rows.columns else F.count("*")
+        return rows.groupBy("trace_id").agg(n.alias("n"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = f"{self.path}/next/{batch_id - 1}"
         placed = settle(numbered(batch, ["trace_id"], ["occurred_at", "span_id"], "sequence_no"))
-        if exists(spark, before):
-            known = spark.read.parquet(before)
-        else:
-            known = spark.createDataFrame([], "trace_id string, next_no long, last_seen timestamp")
-        shifted = placed.join(known.select("trace_id", "next_no"), "trace_id", "left").withColumn(
-            "sequence_no", F.col("sequence_no") + F.coalesce("next_no", F.lit(0))).drop("next_no")
+        earlier = self.counts.read(batch.sparkSession, batch_id).join(
+            placed.select("trace_id").distinct(), "trace_id", "left_semi")
+        known = self._counted(earlier).withColumnRenamed("n", "_before")
+        shifted = placed.join(known, "trace_id", "left").withColumn(
+            "sequence_no", F.col("sequence_no") + F.coalesce("_before", F.lit(0))).drop("_before")
         shifted.write.mode("overwrite").parquet(f"{self.path}/spans/batch={batch_id}")
-        seen = placed.groupBy("trace_id").agg(F.count("*").alias("next_no"),
-                                              F.max("occurred_at").alias("last_seen"))
-        merged = known.unionByName(seen).groupBy("trace_id").agg(
-            F.sum("next_no").alias("next_no"), F.max("last_seen").alias("last_seen"))
-        newest = seen.agg(F.max("last_seen")).first()[0]
-        if newest is not None:
-            merged = merged.filter(F.col("last_seen") >= F.lit(newest) - F.expr(f"interval {self.keep}"))
-        merged.write.mode("overwrite").parquet(f"{self.path}/next/{batch_id}")
-        # A repeat needs the state before this batch only.
-        if exists(spark, f"{self.path}/next/{batch_id - 2}"):
-            remove(spark, f"{self.path}/next/{batch_id - 2}")
+        self.counts(placed, batch_id)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/spans").drop("batch")

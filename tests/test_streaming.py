@@ -56,15 +56,30 @@ def feed(spark, folder, batches, schema):
             .option("recursiveFileLookup", "true").parquet(str(folder)))
 
 
-def test_stream_equals_batch_for_closed_spans(spark, tmp_path):
-    later = [event("flush", None, "started", 4 * 3600, trace="z")]
-    open_span = [event("lost", None, "started", 10, trace="u")]
-    source = feed(spark, tmp_path / "in", [BRANCHES[:4], BRANCHES[4:] + open_span, later, later], EVENT)
-    got = {r.span_id: r for r in streams.run_available(streams.fold_stream(source), "t").collect()}
-    want = {r.span_id: r for r in traces.span_fold(spark.createDataFrame(BRANCHES, EVENT)).collect()}
-    lost = got.pop("lost")
+def test_stream_equals_batch_whatever_a_span_lasts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "MERGED", 2)
+    late = [event("op-3", "root", "started", 10), event("lost", None, "started", 10, trace="u")]
+    days = [event("op-3", "root", "completed", 5 * 86_400), event("op-3", "root", "failed", 6 * 86_400, "Late")]
+    batches = [BRANCHES[:4], late, BRANCHES[4:], days, [event("z", None, "completed", 7 * 86_400)]]
+    log = streams.span_log(str(tmp_path / "log"))
+    log.run(feed(spark, tmp_path / "in", batches, EVENT), str(tmp_path / "progress"))
+    got = {r.span_id: r for r in streams.folded_spans(log, spark).collect()}
+    want = {r.span_id: r for r in traces.span_fold(spark.createDataFrame(sum(batches, []), EVENT)).collect()}
     assert got == want
-    assert (lost.status, lost.error_code, lost.duration_ms) == ("failed", "SpanTimeout", 3_600_000)
+    assert (got["lost"].status, got["lost"].ended_at) == ("running", None)
+    assert (got["op-3"].status, got["op-3"].duration_ms) == ("completed", (5 * 86_400 - 10) * 1000)
+    log(spark.createDataFrame(batches[4], EVENT), 4)  # a repeat
+    assert {r.span_id: r for r in streams.folded_spans(log, spark).collect()} == want
+
+
+def test_numbers_go_on_after_days_of_silence(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "MERGED", 2)
+    starts = "trace_id string, span_id string, occurred_at timestamp"
+    row = lambda t, s, day: (t, s, T0 + timedelta(days=day))
+    batches = [[row("a", "1", 0)], [row("a", "2", 1), row("b", "3", 1)], [row("b", "4", 9)], [row("c", "5", 20)], [row("a", "6", 90)]]
+    source = feed(spark, tmp_path / "in", batches, starts)
+    rows = streams.number_available(source, str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert {r.span_id: r.sequence_no for r in rows.collect()} == {"1": 0, "2": 1, "3": 0, "4": 1, "5": 0, "6": 2}
 
 
 def test_numbers_continue_over_batches_and_survive_a_repeat(spark, tmp_path):
@@ -83,15 +98,14 @@ def test_numbers_continue_over_batches_and_survive_a_repeat(spark, tmp_path):
     assert {r.span_id: r.sequence_no for r in again.rows(spark).collect()} == want
 
 
-def test_answers_are_assembled_once_a_trace_falls_silent(spark, tmp_path, monkeypatch):
+def test_answers_keep_usage_and_the_order_of_seq(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(traces, "CHUNK", 2)
-    delta = "trace_id string, seq long, kind string, content string, occurred_at timestamp"
-    parts = [("t", i, "answer", f"{i} ", T0 + timedelta(seconds=i)) for i in range(7)]
-    flush = [("z", 0, "answer", "x", T0 + timedelta(hours=5))]
-    source = feed(spark, tmp_path / "in", [parts[:3], parts[3:], flush, flush], delta)
-    chunks = streams.run_available(streams.delta_stream(source), "d")
-    got = {r.trace_id: r.answer for r in streams.assemble(chunks).collect()}
-    assert got == {"t": "0 1 2 3 4 5 6"}
+    parts = [("t", i, "answer", f"{i} ") for i in range(7)] + [("t", 7, "usage", "{1}"), ("t", 9, "usage", "{2}")]
+    batches = [parts[::2], parts[1::2], [("z", 0, "reasoning", "x")]]
+    log = streams.answer_log(str(tmp_path / "log"))
+    log.run(feed(spark, tmp_path / "in", batches, streams.DELTA), str(tmp_path / "progress"))
+    got = {r.trace_id: tuple(r)[1:] for r in streams.answers(log, spark).collect()}
+    assert got == {"t": ("", "0 1 2 3 4 5 6", "{2}"), "z": ("x", "", None)}
 
 
 def test_payloads_are_safe_before_they_are_stored(spark, tmp_path):
