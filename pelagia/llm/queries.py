@@ -52,8 +52,11 @@ def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "documents").select("doc_id", pii.spans("text").alias("found"))
     plain = F.filter("found", lambda s: s["plain"])
-    counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(plain), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+    def number(kind: str):
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(pii.listed(plain), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Personal data, licences and archives against plain versions."""
 
 import gzip
+import hashlib
 import random
 import re
 
@@ -61,7 +62,18 @@ def test_spans_column(spark):
     rows = [(1, None), (2, ""), (3, "a@b.cc"), (3, "a@b.cc"), (None, "x at y dot org"), (4, "9" * 200_000 + "@" * 1000 + "a" * 100_000)]
     found = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", pii.listed(pii.spans("text")).alias("s")).collect()
     assert sorted(map(tuple, found), key=repr) == sorted([(1, ""), (2, ""), (3, "email:0:6"), (3, "email:0:6"), (None, "email:0:14"), (4, "")], key=repr)
-    assert QUERIES["op6_pii"](spark, SMALL).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
+def test_pii_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = QUERIES["op6_pii"](spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        plain = naive(texts[r.doc_id])
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in plain)
+        assert tuple(r)[1:5] == tuple(sum(k == kind for k, _, _ in plain) for kind in pii.KINDS)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
 
 
 # -- licences ----------------------------------------------------------------------------------
