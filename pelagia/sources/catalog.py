@@ -1,90 +1,116 @@
-"""Readiness and identity of the source files."""
+"""Readiness and identity of the source files, as Spark jobs over files and lines."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections import Counter
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.contracts import METADATA_COLUMNS, SAMPLE_PREFIX, SOURCES
-from pelagia.sources.storage import data_files, exists
+from pelagia.sources.storage import data_files
 from pelagia.sources.tsv import BOM, header_line
 
-# Files up to this size are hashed byte by byte inside one task.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+NO_SAMPLES = "<no sample columns>"
 
-AUDIT_SCHEMA = ("source string, filename string, exists boolean, size_bytes long, "
-                "column_count int, sample_column_count int, missing_columns array<string>, "
-                "duplicate_columns array<string>, invalid_sample_columns array<string>, "
-                "ready boolean")
 
+def expected_sources(spark: SparkSession) -> DataFrame:
+    """source, filename, required columns, and whether sample columns follow them."""
+    return spark.createDataFrame([(key, *spec) for key, spec in SOURCES.items()],
+                                 "source string, filename string, required array<string>, repeated boolean")
 
-def _audit(spark: SparkSession, folder: str, source: str) -> tuple:
-    filename, required, repeated = SOURCES[source]
-    path = f"{folder}/{filename}"
-    if not exists(spark, path):
-        return (source, filename, False, 0, 0, 0, [], [], [], False)
-    files = data_files(spark, path)
-    header = header_line(spark, files[0].path).split("\t") if files else []
-    size = sum(f.size for f in files)
-    missing = [c for c in required if c not in header]
-    doubled = sorted(c for c, n in Counter(header).items() if n > 1)
-    samples = header[len(METADATA_COLUMNS):] if repeated else []
-    invalid = [c for c in samples if not c.startswith(SAMPLE_PREFIX)]
-    if repeated and not samples:
-        invalid = ["<no sample columns>"]
-    ready = size > 0 and bool(header) and not (missing or doubled or invalid)
-    return (source, filename, True, size, len(header), len(samples), missing, doubled, invalid,
-            ready)
 
+def _same_form(path: str):
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
-def header_contract(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per expected source: its header against the required columns."""
-    return spark.createDataFrame([_audit(spark, folder.rstrip("/"), s) for s in SOURCES],
-                                 AUDIT_SCHEMA)
 
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """source, file, size_bytes of every file with content that belongs to a source; contents aren't read."""
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+             .select(_same_form("path").alias("file"), F.col("length").alias("size_bytes")))
+    names = F.broadcast(expected_sources(spark).select("source", "filename"))  # four rows
+    return found.join(names, F.array_contains(F.split("file", "/"), F.col("filename"))).drop("filename")
+
+
+def header_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """file and header: the first line of every file that belongs to a source."""
+    names = [spec[0] for spec in SOURCES.values()]
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(
+        "_metadata.file_path", "_metadata.file_block_start", "value")
+    mine = lines.where(F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, names))))
+
+    def first_of_each(batches):
+        last = None
+        for batch in batches:  # a task's files come one after another
+            for path, start, value in zip(*(batch.column(i) for i in range(3))):
+                if path.as_py() != last:
+                    last = path.as_py()
+                    if start.as_py() == 0:
+                        yield pa.RecordBatch.from_pydict({"file": [last], "header": [value.as_py()]})
 
-def source_state(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """Name, size and modification time of every file behind a source; a listing only."""
-    return [(f.path, f.size, f.modified_ms) for f in data_files(spark, path)]
+    found = mine.mapInArrow(first_of_each, "file string, header string")
+    return found.select(_same_form("file").alias("file"), F.regexp_replace("header", f"^{BOM}", "").alias("header"))
+
+
+def header_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per expected source: the headers of all its files against the required columns.
+
+    A source of several files is ready when each of them is. Counts are those of its widest file.
+    """
+    folder = folder.rstrip("/")
+    expected = F.broadcast(expected_sources(spark))
+    files = files_of(spark, folder).join(header_lines(spark, folder), "file", "left").join(expected, "source")
+    named = files.withColumn("columns", F.when(F.coalesce("header", F.lit("")) == "", F.array().cast("array<string>"))
+                             .otherwise(F.split("header", "\t")))
+    samples = F.when(F.col("repeated"), F.slice("columns", len(METADATA_COLUMNS) + 1, 1 << 30)).otherwise(F.array().cast("array<string>"))
+    cells = named.select("source", "file", F.explode_outer("columns").alias("name"))
+    doubled = (cells.groupBy("source", "file", "name").agg(F.count("*").alias("n")).where("n > 1")
+               .groupBy("source").agg(F.array_sort(F.collect_set("name")).alias("duplicate_columns")))
+    checked = named.withColumn("samples", samples).select(
+        "source", "size_bytes", "columns", "samples",
+        F.array_except("required", "columns").alias("missing"),
+        F.when(F.col("repeated") & (F.size("samples") == 0), F.array(F.lit(NO_SAMPLES)))
+        .otherwise(F.filter("samples", lambda c: ~c.startswith(SAMPLE_PREFIX))).alias("invalid"))
+    per_source = checked.groupBy("source").agg(
+        F.sum("size_bytes").alias("size_bytes"), F.max(F.size("columns")).alias("column_count"),
+        F.max(F.size("samples")).alias("sample_column_count"), F.min("size_bytes").alias("least"),
+        F.array_distinct(F.flatten(F.collect_list("missing"))).alias("missing_columns"),
+        F.array_distinct(F.flatten(F.collect_list("invalid"))).alias("invalid_sample_columns"))
+    rows = expected.join(per_source, "source", "left").join(doubled, "source", "left")
+    none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(c, none) for c in ("missing_columns", "duplicate_columns", "invalid_sample_columns")}
+    faults = F.size(F.concat(*lists.values()))
+    return rows.select(
+        "source", "filename", F.col("size_bytes").isNotNull().alias("exists"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("size_bytes", "column_count", "sample_column_count")],
+        *[v.alias(c) for c, v in lists.items()],
+        F.coalesce((F.col("least") > 0) & (F.col("column_count") > 0) & (faults == 0), F.lit(False)).alias("ready"))
 
 
 def source_fingerprint(spark: SparkSession, path: str, source: str,
                        line_hashes: DataFrame | None = None) -> DataFrame:
-    """One row: bytes, data rows, columns, and an order-independent hash over all lines.
+    """One row: bytes, data rows, columns, and a hash over the header and all data lines.
 
+    Equal data has an equal hash at every size, in any order, and in any number of files.
     ``line_hashes`` (column ``line_hash``) saves a scan where the lines were parsed already.
-    ``sha256`` over the raw bytes is added where the source is one file small enough for a task.
     """
     files = data_files(spark, path)
-    size = sum(f.size for f in files)
-    columns = len(header_line(spark, files[0].path).split("\t"))
+    header = header_line(spark, files[0].path)
     if line_hashes is None:
         line_hashes = spark.read.text(path).filter("value <> ''").select(
             F.xxhash64(F.regexp_replace("value", f"^{BOM}", "")).alias("line_hash"))
+    of_header = F.xxhash64(F.lit(header))
     lines = line_hashes.agg(
-        F.count("*").alias("lines"), F.sum(F.col("line_hash").cast("decimal(28,0)")).alias("hash_sum"),
-        F.bit_xor("line_hash").alias("hash_xor"))
-    row = lines.select(
+        F.count("*").alias("lines"),
+        F.coalesce(F.sum(F.col("line_hash").cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")).alias("all_sum"),
+        F.coalesce(F.bit_xor("line_hash"), F.lit(0).cast("long")).alias("all_xor"))
+    # Every file repeats the header, which counts once in the identity.
+    rows = F.greatest(F.col("lines") - len(files), F.lit(0))
+    hash_sum = F.col("all_sum") - of_header.cast("decimal(28,0)") * len(files)
+    hash_xor = F.col("all_xor").bitwiseXOR(of_header) if len(files) % 2 else F.col("all_xor")
+    identity = F.concat_ws("|", F.lit(header), rows.cast("string"), hash_sum.cast("string"), hash_xor.cast("string"))
+    return lines.select(
         F.lit(source).alias("source"), F.lit(path.rsplit("/", 1)[-1]).alias("filename"),
-        F.lit(size).cast("long").alias("size_bytes"),
+        F.lit(sum(f.size for f in files)).cast("long").alias("size_bytes"),
         F.lit(max(f.modified_ms for f in files)).cast("long").alias("modified_ms"),
-        F.greatest(F.col("lines") - len(files), F.lit(0)).alias("row_count"),
-        F.lit(columns).alias("column_count"),
-        F.sha2(F.concat_ws("|", "lines", "hash_sum", "hash_xor"), 256).alias("content_hash"))
-    if len(files) == 1 and size <= WHOLE_FILE_BYTES:
-        whole = spark.read.format("binaryFile").load(files[0].path)
-        digest = whole.select(F.sha2("content", 256)).first()[0]
-        return row.withColumn("sha256", F.lit(digest))
-    return row.withColumn("sha256", F.lit(None).cast("string"))
-
-
-def generation_name(sources: dict[str, dict], version: str) -> str:
-    """A name that changes with the pipeline version or the content of any source."""
-    identity = {"pipeline_version": version,
-                "sources": {k: v["sha256"] or v["content_hash"] for k, v in sources.items()}}
-    digest = hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()
-    return f"generation-{digest[:16]}"
+        rows.alias("row_count"), F.lit(header.count("\t") + 1).alias("column_count"),
+        F.sha2(identity, 256).alias("content_hash"))

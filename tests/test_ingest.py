@@ -1,5 +1,3 @@
-import hashlib
-
 import pytest
 
 from pelagia.contracts import GENERAL_SCHEMA, SOURCES, ContractError
@@ -26,7 +24,7 @@ def test_life_cycle_processed_skipped_verified(spark, source, tmp_path):
     assert states(source) == before
     assert {k: a.fingerprint for k, a in first.manifest.artifacts.items()} == \
         {k: a.fingerprint for k, a in forced.manifest.artifacts.items()}
-    assert not [p for p in target.iterdir() if p.name.startswith(".staging")]
+    assert not [p for p in target.iterdir() if p.name.startswith(".build")]
     store = Store(spark, str(target))
     assert context_by_ids(store.context(), ["TARA_TEST_001"]).count() == 1
     assert dict(store.context().dtypes)["event_date"] == "timestamp_ntz"
@@ -121,7 +119,7 @@ def test_typed_scan_refuses_other_headers(spark, source):
 
 
 def test_header_audit(spark, source):
-    rows = header_contract(spark, str(source)).collect()
+    rows = sorted(header_contract(spark, str(source)).collect(), key=lambda r: list(SOURCES).index(r.source))
     assert [r.ready for r in rows] == [True] * 4
     assert [r.sample_column_count for r in rows] == [0, 0, 2, 2]
     (source / SOURCES["context_general"][0]).write_text("sample_id_pangaea\tunexpected\nTARA_1\t1\n")
@@ -135,13 +133,41 @@ def test_header_audit(spark, source):
     assert not rows["18s_v9"].exists and not rows["18s_v9"].ready
 
 
-def test_fingerprint_is_the_file_hash(spark, source):
+def test_equal_lines_have_one_identity_in_any_files(spark, source, tmp_path):
     path = source / V4
     row = source_fingerprint(spark, str(path), "18s_v4").first()
-    assert row.sha256 == hashlib.sha256(path.read_bytes()).hexdigest()
     assert (row.row_count, row.column_count, row.size_bytes) == (1, 8, path.stat().st_size)
-    path.write_bytes(path.read_bytes().rstrip(b"\n"))
-    assert source_fingerprint(spark, str(path), "18s_v4").first().row_count == 1
+    header, line = path.read_text(encoding="utf-8").splitlines()
+    other = line.replace(VARIANT_A, VARIANT_A[::-1])
+    marks = set()
+    for name, files in (("one", [[header, line, other]]), ("turned", [[header, other, line]]), ("two", [[header, other], [header, line]]),
+                        ("three", [[header], [header, line], [header, other]])):
+        (tmp_path / name).mkdir()
+        for i, lines in enumerate(files):
+            (tmp_path / name / f"{i}.tsv").write_text("\n".join(lines) + "\n" * (i != 1), encoding="utf-8")
+        found = source_fingerprint(spark, str(tmp_path / name), "18s_v4").first()
+        assert found.row_count == 2
+        marks.add(found.content_hash)
+    assert len(marks) == 1 and row.content_hash not in marks
+
+
+def test_every_file_of_a_source_is_audited(spark, source):
+    path = source / V4
+    text = path.read_text(encoding="utf-8")
+    path.unlink()
+    path.mkdir()
+    (path / "a.tsv").write_text(text, encoding="utf-8")
+    (path / "b.tsv").write_text(text, encoding="utf-8")
+    ready = {r.source: r.ready for r in header_contract(spark, str(source)).collect()}
+    assert ready == dict.fromkeys(SOURCES, True)
+    (path / "b.tsv").write_text(text.replace("taxonomy\t", "taxa\t").replace("TARA_TEST_002", "X_2"), encoding="utf-8")
+    row = {r.source: r for r in header_contract(spark, str(source)).collect()}["18s_v4"]
+    assert (row.missing_columns, row.invalid_sample_columns, row.ready) == (["taxonomy"], ["X_2"], False)
+    (path / "b.tsv").write_text("")  # an empty file has neither header nor rows and is left out
+    assert {r.source: r.ready for r in header_contract(spark, str(source)).collect()}["18s_v4"]
+    (path / "a.tsv").write_text("")
+    row = {r.source: r for r in header_contract(spark, str(source)).collect()}["18s_v4"]
+    assert (row.exists, row.size_bytes, row.ready) == (False, 0, False)
 
 
 def test_wide_to_long_drops_zeros_but_keeps_samples(spark, tmp_path):
