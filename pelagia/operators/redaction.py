@@ -8,6 +8,7 @@ import re
 import sys
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -54,93 +55,152 @@ class Limits:
     characters: int = 100_000
 
 
-def is_sensitive(key: str) -> bool:
-    bare = re.sub("[^a-z0-9]", "", key.lower())
-    return bare in SENSITIVE_KEYS or bare.endswith(SENSITIVE_ENDINGS)
+def names_secret(key: str) -> bool:
+    """Whether a key, letters and digits only, is that of a secret."""
+    letters = re.sub("[^a-z0-9]", "", key.lower())
+    return letters in SENSITIVE_KEYS or letters.endswith(SENSITIVE_ENDINGS)
+
+
+_RULES = [(re.compile(pattern, re.I), re.sub(r"\$(\d)", r"\\\1", to)) for pattern, to in (
+    (rules.BEARER, rules.BEARER_TO), (rules.URL_LOGIN, rules.URL_LOGIN_TO), (rules.ASSIGNMENT, rules.ASSIGNMENT_TO))]
 
 
 def redact_string(value: str) -> str:
-    for pattern, to in ((rules.BEARER, rules.BEARER_TO), (rules.URL_LOGIN, rules.URL_LOGIN_TO),
-                        (rules.ASSIGNMENT, rules.ASSIGNMENT_TO)):
-        value = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", to), value, flags=re.I)
+    for pattern, to in _RULES:
+        value = pattern.sub(to, value)
     return value
 
 
-class Cleaner:
-    """One payload's walk; the value and character budgets run down in reading order."""
-
-    def __init__(self, limits: Limits) -> None:
-        self.limits = limits
-        self.values = limits.values
-        self.characters = limits.characters
-
-    def clean(self, node, depth: int = 0):
-        if self.values < 1:
-            return VALUE_NOTICE
-        self.values -= 1
-        match node:
-            case str():
-                return self.text(node)
-            case float() if not math.isfinite(node):
-                return str(node)
-            case dict() | list():
-                if depth >= self.limits.depth:
-                    return DEPTH_NOTICE
-                walk = self.mapping if isinstance(node, dict) else self.sequence
-                return walk(node, depth + 1)
-        return node
-
-    def text(self, value: str) -> str:
-        value = redact_string(value)
-        room = max(0, min(self.limits.text, self.characters))
-        kept, rest = value[:room], len(value) - room
-        self.characters -= len(kept)
-        return f"{kept}\n[TRUNCATED {rest} CHARACTERS]" if rest > 0 else kept
-
-    def mapping(self, node: dict, depth: int) -> dict:
-        out = {}
-        for key in list(node)[:self.limits.items]:
-            name = key[:KEY_LENGTH]
-            out[name] = REDACTED if is_sensitive(name) else self.clean(node[key], depth)
-        if len(node) > self.limits.items:
-            notice = OMITTED_KEY
-            while notice in out:
-                notice = f"_{notice}"
-            out[notice] = {"omitted_items": len(node) - self.limits.items}
-        return out
-
-    def sequence(self, node: list, depth: int) -> list:
-        out = [self.clean(item, depth) for item in node[:self.limits.items]]
-        if len(node) > self.limits.items:
-            out.append({OMITTED_KEY: {"omitted_items": len(node) - self.limits.items}})
-        return out
+class Uncounted(str):
+    """Text that stands for another value and takes nothing from the budget of characters."""
+
+
+@dataclass
+class Tokens:
+    """Payloads as one flat list in reading order: for each value its row, its parent's place and its label.
+
+    A container is an empty dict or list that its values are put into later. ``fixed`` values are
+    notices, which no budget counts.
+    """
+
+    row: list[int]
+    parent: list[int]
+    label: list[str | None]
+    value: list
+    fixed: list[bool]
+
+    def add(self, row: int, parent: int, label: str | None, value, fixed: bool = False) -> int:
+        for column, entry in zip((self.row, self.parent, self.label, self.value, self.fixed),
+                                 (row, parent, label, value, fixed)):
+            column.append(entry)
+        return len(self.row) - 1
+
+
+def flattened(payloads: list, limits: Limits) -> Tokens:
+    """All values within the limits of depth and items; what lies beyond them is a notice."""
+    tokens = Tokens([], [], [], [], [])
+    waiting = [(row, -1, None, payload, 0, False) for row, payload in enumerate(payloads)][::-1]
+    while waiting:
+        row, parent, label, node, depth, fixed = waiting.pop()
+        container = isinstance(node, (dict, list)) and not fixed
+        if not container or depth >= limits.depth:
+            if isinstance(node, float) and not math.isfinite(node):
+                node = Uncounted(node)
+            tokens.add(row, parent, label, Uncounted(DEPTH_NOTICE) if container else node, fixed)
+            continue
+        place = tokens.add(row, parent, label, type(node)())
+        entries = list(node.items() if isinstance(node, dict) else ((None, v) for v in node))
+        inner = []
+        for key, value in entries[:limits.items]:
+            name = None if key is None else key[:KEY_LENGTH]
+            secret = name is not None and names_secret(name)
+            inner.append((row, place, name, REDACTED if secret else value, depth + 1, secret))
+        if len(entries) > limits.items:
+            omitted = {"omitted_items": len(entries) - limits.items}
+            if isinstance(node, dict):
+                notice = OMITTED_KEY
+                while notice in {i[2] for i in inner}:
+                    notice = f"_{notice}"
+                inner.append((row, place, notice, omitted, depth + 1, True))
+            else:
+                inner.append((row, place, None, {OMITTED_KEY: omitted}, depth + 1, True))
+        waiting += reversed(inner)
+    return tokens
+
+
+def within_rows(rows: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    """Running sums, each row's from its own first entry."""
+    total = np.cumsum(amounts)
+    first = np.searchsorted(rows, rows)
+    return total - (total[first] - amounts[first])
+
+
+def sanitize_batch(payloads: list, limits: Limits = Limits()) -> list[dict]:
+    """Payloads with secrets and excess replaced; one that is no object is wrapped.
+
+    The budgets of values and characters are running sums over the flat list.
+    """
+    tokens = flattened(payloads, limits)
+    rows, fixed = np.array(tokens.row), np.array(tokens.fixed, dtype=bool)
+    over = ~fixed & (within_rows(rows, (~fixed).astype(int)) > limits.values)
+    gone = np.zeros(len(rows), dtype=bool)
+    for i in np.flatnonzero(over | fixed):  # what stands inside a replaced container
+        up = tokens.parent[i]
+        gone[i] = up >= 0 and (over[up] or gone[up])
+    texts = [redact_string(v) if type(v) is str and not f else "" for v, f in zip(tokens.value, fixed | over)]
+    whole = np.array([len(t) for t in texts])
+    most = np.minimum(whole, limits.text)
+    spent = within_rows(rows, most) - most
+    room = np.clip(limits.characters - spent, 0, most)
+    roots: dict[int, object] = {}
+    for i, value in enumerate(tokens.value):
+        if gone[i]:
+            continue
+        if over[i]:
+            value = VALUE_NOTICE
+        elif type(value) is str and not fixed[i]:
+            rest = whole[i] - room[i]
+            value = f"{texts[i][:room[i]]}\n[TRUNCATED {rest} CHARACTERS]" if rest else texts[i]
+        up, label = tokens.parent[i], tokens.label[i]
+        if up < 0:
+            roots[tokens.row[i]] = value
+        elif label is None:
+            tokens.value[up].append(value)
+        else:
+            tokens.value[up][label] = value
+    return [roots[r] if isinstance(roots[r], dict) else {"value": roots[r]} for r in range(len(payloads))]
 
 
 def sanitize_mapping(payload, limits: Limits = Limits()) -> dict | None:
-    """Payload with secrets and excess replaced; a payload that is no object is wrapped."""
-    if payload is None:
-        return None
-    cleaned = Cleaner(limits).clean(payload)
-    return cleaned if isinstance(cleaned, dict) else {"value": cleaned}
-
-
-@F.pandas_udf(T.StringType())
-def sanitize_json(payloads: pd.Series) -> pd.Series:
-    """Row by row over an Arrow batch: the walk depends on each row's own nesting."""
-    def one(text):
-        if text is None:
-            return None
-        try:
-            payload = json.loads(text)
-        except ValueError:
-            payload = text
-        return json.dumps(sanitize_mapping(payload), ensure_ascii=False, separators=(",", ":"))
-    return payloads.map(one, na_action="ignore")
-
-
-def sanitize_payloads(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """One payload in its safe form."""
+    return None if payload is None else sanitize_batch([payload], limits)[0]
+
+
+def _parsed(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
+def sanitizer(limits: Limits = Limits()):
+    """A column function over JSON texts; a batch of payloads is flattened together."""
+    @F.pandas_udf(T.StringType())
+    def sanitize_json(payloads: pd.Series) -> pd.Series:
+        given = payloads.dropna()
+        payload = [_parsed(t) for t in given]
+        # JSON's null stays null.
+        live = [i for i, p in enumerate(payload) if p is not None]
+        safe = dict(zip(live, sanitize_batch([payload[i] for i in live], limits)))
+        out = [json.dumps(safe.get(i), ensure_ascii=False, separators=(",", ":")) for i in range(len(payload))]
+        return pd.Series(out, index=given.index, dtype=object).reindex(payloads.index)
+    return sanitize_json
+
+
+def sanitize_payloads(frame: DataFrame, columns: list[str], limits: Limits = Limits()) -> DataFrame:
     """Replace JSON text columns by their safe form; works on tables and streams alike."""
-    return frame.withColumns({c: sanitize_json(F.col(c)) for c in columns})
+    safe = sanitizer(limits)
+    return frame.withColumns({c: safe(F.col(c)) for c in columns})
 
 
 def cap_ids(ids: Column, kept: int = KEPT_IDS) -> tuple[Column, Column]:
