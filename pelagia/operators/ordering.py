@@ -164,3 +164,9 @@ def page(frame: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     placed = numbered(frame, [], order, "_at", hot_rows=DEEP_OFFSET)
     inside = placed.filter(F.col("_at").between(offset, offset + limit - 1))
     return inside.orderBy("_at").drop("_at")
+
+
+def page_summary(frame: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One row beside a page: its offset and limit, and the number of all rows."""
+    return frame.agg(F.count("*").alias("total")).select(
+        F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), "total")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelagia.cluster import settle
-from pelagia.contracts import (CONTEXT_ID, EXPECTED_MARKER_ROWS, EXPECTED_MARKER_SAMPLES,
+from pelagia.contracts import (CONTEXT_ID, ContractError, EXPECTED_MARKER_ROWS, EXPECTED_MARKER_SAMPLES,
                                METADATA_COLUMNS, SAMPLE_PREFIX)
 from pelagia.functions.taxonomy import path_levels
 from pelagia.operators.envelope import beside, beside_by
@@ -75,8 +75,17 @@ def date_parse_errors(frame: DataFrame, column: str) -> DataFrame:
         F.count_if(text.isNotNull() & parsed_date(column).isNull()).alias("parse_errors"))
 
 
+def require_unique(frame: DataFrame, keys: list[str], label: str) -> None:
+    """Raise if a key occurs twice or is null; only the first such key comes to the driver."""
+    bad = frame.groupBy(*keys).count().filter(" or ".join(["count > 1", *[f"`{k}` is null" for k in keys]])).head(1)
+    if bad:
+        raise ContractError(f"{label}: {bad[0].asDict()}")
+
+
 def context_join(general: DataFrame, stat: DataFrame) -> DataFrame:
-    """General columns with the measured columns; both sides must have unique ids."""
+    """General columns with the measured columns; ids that aren't unique on either side raise first."""
+    require_unique(general, [CONTEXT_ID], "general_key_errors")
+    require_unique(stat, [CONTEXT_ID], "stat_key_errors")
     return general.join(stat, CONTEXT_ID)
 
 
@@ -168,7 +177,7 @@ def _key_errors(prefix: str) -> Column:
 
 def context_report(general: DataFrame, stat: DataFrame) -> DataFrame:
     """One row of counters over both context sources; every error counter must be zero."""
-    context = settle(context_join(general, stat))
+    context = settle(general.join(stat, CONTEXT_ID))  # repeated ids are counted below, so they don't raise here
     text = F.col("event_date")
     lost_date = text.isNotNull() & parsed_date("event_date").isNull()
     sides = _per_id(general, "general", F.sum(F.when(lost_date, F.col("_n")).otherwise(0)).alias("_dates")) \

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pelagia.cluster import WIDE_ROWS, broadcast_if_small, settle
 from pelagia.contracts import SPAN_KINDS
 from pelagia.functions.text import millis_between, safe_text
-from pelagia.operators.ordering import lookup, numbered, page
+from pelagia.operators.ordering import lookup, numbered, page, page_summary
 
 CHUNK = 4096
 MAX_NAME = 200
@@ -24,8 +24,16 @@ def _desc(*columns: str) -> list[Column]:
 
 def session_list(sessions: DataFrame, user_id, offset: int = 0, limit: int = 30) -> DataFrame:
     """One user's sessions: pinned first, then latest, then by id."""
-    own = sessions.filter(F.col("user_id") == F.lit(user_id))
-    return page(own, _desc("pinned_at", "updated_at", "session_id"), offset, limit)
+    return page(own_sessions(sessions, user_id), _desc("pinned_at", "updated_at", "session_id"), offset, limit)
+
+
+def own_sessions(sessions: DataFrame, user_id) -> DataFrame:
+    return sessions.filter(F.col("user_id") == F.lit(user_id))
+
+
+def session_list_summary(sessions: DataFrame, user_id, offset: int = 0, limit: int = 30) -> DataFrame:
+    """The page's place among all of the user's sessions."""
+    return page_summary(own_sessions(sessions, user_id), offset, limit)
 
 
 def message_sequence(turns: DataFrame, session: str = "session_id", order: str = "turn",
@@ -97,6 +105,12 @@ def trace_list(traces: DataFrame, sessions: DataFrame, user_id, session_id=None,
                 _desc("started_at", "trace_id"), offset, limit)
 
 
+def trace_list_summary(traces: DataFrame, sessions: DataFrame, user_id, session_id=None,
+                       offset: int = 0, limit: int = 30) -> DataFrame:
+    """The page's place among all of the user's traces."""
+    return page_summary(owned_traces(traces, sessions, user_id, session_id), offset, limit)
+
+
 def trace_detail(traces: DataFrame, sessions: DataFrame, spans: DataFrame, user_id,
                  trace_id: str | None = None) -> DataFrame:
     """One row per span of the user's traces; sort by trace and sequence to read them."""

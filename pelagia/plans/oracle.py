@@ -504,6 +504,8 @@ ORACLE = {
         sample_id as label from points order by sample_id limit 200"""),
     "session_list": sql("sessions", """select * from sessions where user_id = 0
         order by pinned_at desc nulls last, updated_at desc, session_id desc limit 30"""),
+    "session_list_summary": sql("sessions", """select 0 as "offset", 30 as "limit", count(*) as total
+        from sessions where user_id = 0"""),
     "session_titles": r"""select conv_id, turn, case when length(line) <= 80 then line
         else concat(substr(line, 1, 79), '…') end as title
         from (select conv_id, turn, regexp_replace(trim(text, e' \t\n\r'), '\s+', ' ', 'g') as line from conversations)""",
@@ -533,6 +535,8 @@ ORACLE = {
         select trace_id, session_id, t.status, started_at, ended_at, question
         from traces t join sessions s using (session_id) where user_id = 0
         order by started_at desc, trace_id desc limit 30"""),
+    "trace_list_summary": sql("traces sessions", """select 30 as "offset", 30 as "limit", count(*) as total
+        from traces join sessions using (session_id) where user_id = 0"""),
     "trace_detail": sql("traces sessions spans", """
         select trace_id, t.status as trace_status, question, span_id, parent_span_id, sequence_no, name, span_kind,
           p.status, p.started_at, p.ended_at, duration_ms

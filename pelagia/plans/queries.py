@@ -518,6 +518,11 @@ def session_list(b):
     return traces.session_list(b.sessions(), USER)
 
 
+@query
+def session_list_summary(b):
+    return traces.session_list_summary(b.sessions(), USER)
+
+
 @query
 def session_titles(b):
     turns = b.raw("conversations")
@@ -551,6 +556,11 @@ def trace_list(b):
     return traces.trace_list(b.traces(), b.sessions(), USER)
 
 
+@query
+def trace_list_summary(b):
+    return traces.trace_list_summary(b.traces(), b.sessions(), USER, offset=30)
+
+
 @query
 def trace_detail(b):
     rows = traces.trace_detail(b.traces(), b.sessions(), b.spans(), USER)

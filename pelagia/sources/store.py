@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pelagia.cluster import WIDE_ROWS, broadcast_if_small
 from pelagia.contracts import MARKERS, ContractError, id_frame
 from pelagia.operators.ordering import page
+from pelagia.operators.quality import require_unique
 from pelagia.sources.storage import data_files, exists, read_text
 
 MANIFEST = "manifest.json"
@@ -191,9 +192,17 @@ def of_samples(cells: DataFrame, ids: DataFrame) -> DataFrame:
     return cells.join(wanted, F.col("sample_id") == F.col("_wanted"), "left_semi")
 
 
-def marker_data(metadata: DataFrame, cells: DataFrame,
-                taxonomy_contains: str | None = None) -> DataFrame:
-    """Metadata joined with counts; ``taxonomy_contains`` is literal and case-sensitive."""
+def marker_data(metadata: DataFrame, cells: DataFrame, taxonomy_contains: str | None = None,
+                sample_ids=None, marker_samples: DataFrame | None = None) -> DataFrame:
+    """Metadata joined with counts; ``taxonomy_contains`` is literal and case-sensitive.
+
+    A variant that has two metadata rows raises before anything is joined. ``sample_ids`` keeps
+    some samples; with ``marker_samples`` they are checked against the marker's own.
+    """
     if taxonomy_contains is not None:
         metadata = metadata.filter(F.contains("taxonomy", F.lit(taxonomy_contains)))
+    require_unique(metadata, ["marker", "amplicon"], "metadata_key_errors")
+    if sample_ids is not None:
+        cells = (of_samples(cells, sample_ids) if marker_samples is None
+                 else abundance_slice(cells, marker_samples, sample_ids))
     return cells.join(broadcast_if_small(metadata, WIDE_ROWS), ["marker", "amplicon"])

@@ -1,6 +1,7 @@
 import pytest
 
 from pelagia.contracts import GENERAL_SCHEMA, SOURCES, ContractError
+from pelagia.operators.quality import context_join
 from pelagia.plans.preprocess import preprocess
 from pelagia.sources.catalog import header_contract, source_fingerprint
 from pelagia.sources.store import Store, abundance_slice, context_by_ids, marker_data
@@ -187,3 +188,22 @@ def test_store_checks_ids_and_artifacts(spark, store, tmp_path):
     with pytest.raises(ContractError, match="manifest"):
         Store(spark, str(tmp_path))
     assert store.integrity().filter("present and size_matches").count() == 4
+
+
+def test_joins_refuse_doubled_keys_before_they_join(spark, store):
+    context = store.context().select("sample_id_pangaea", "station")
+    stat = store.context().select("sample_id_pangaea", "temperature")
+    assert context_join(context, stat).count() == 2
+    with pytest.raises(ContractError, match="stat_key_errors"):
+        context_join(context, stat.unionByName(stat.limit(1)))
+    with pytest.raises(ContractError, match="general_key_errors"):
+        context_join(context.unionByName(context), stat)
+    with pytest.raises(ContractError, match="metadata_key_errors"):
+        marker_data(store.metadata("v4").unionByName(store.metadata("v4")), store.cells("v4"))
+
+
+def test_marker_data_of_some_samples(spark, store):
+    rows = marker_data(store.metadata("v4"), store.cells("v4"), sample_ids=["TARA_TEST_001"]).collect()
+    assert {r.sample_id for r in rows} == {"TARA_TEST_001"} and len(rows) == 2
+    with pytest.raises(ContractError, match="Unknown sample IDs"):
+        marker_data(store.metadata("v4"), store.cells("v4"), sample_ids=["TARA_NONE"], marker_samples=store.marker_samples("v4"))
