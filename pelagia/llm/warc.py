@@ -69,10 +69,9 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    size = pages.agg(F.sum(F.octet_length("html") + 600)).first()[0] or 0
-    files = int(size // FILE_BYTES) + 1
-    rows = records(pages, least).repartition(files, F.xxhash64("page_id", "record"))
-    rows.select(F.col("record").alias("value")).write.option("lineSep", END).text(path)
+    size = pages.agg(F.avg(F.octet_length("html") + 600)).first()[0] or 1
+    rows = records(pages, least).select(F.col("record").alias("value"))
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES // size))).text(path)
 
 
 @dataclass
