@@ -52,21 +52,25 @@ def buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (mixed(hashes)[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.searchsorted(starts[order], texts.offsets)
 
 
+def index_places() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two places with a sign for each bucket, given by its number."""
+    rows = np.arange(1 << BUCKET_BITS, dtype=np.uint64)
+    hashes = [mixed(rows + np.uint64((turn + 1) << 32)) for turn in range(2)]
+    return [((h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)) for h in hashes]
+
+
 def index_vectors() -> np.ndarray:
-    """Two signs for each bucket, at places given by its number."""
-    rows = np.arange(1 << BUCKET_BITS)
-    vectors = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for turn in range(2):
-        h = mixed(rows.astype(np.uint64) + np.uint64((turn + 1) << 32))
-        vectors[rows, (h % np.uint64(DIMENSIONS)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1)
+    vectors = np.zeros((1 << BUCKET_BITS, DIMENSIONS), np.float32)
+    for place, sign in index_places():
+        vectors[np.arange(len(vectors)), place] += sign
     return vectors
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """A word vector for every bucket, from the neighbourhoods of all documents."""
     def work(batches):
-        index = index_vectors()
-        total = np.zeros_like(index, dtype=np.float64)
+        places = index_places()
+        total = np.zeros((1 << BUCKET_BITS) * DIMENSIONS)
         for batch in batches:
             for texts in texts_of(batch.column("text")):
                 found, pointer = buckets(texts)
@@ -74,11 +78,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 for step in NEAR:
                     same = text[step:] == text[:-step]
                     a, b = found[step:][same], found[:-step][same]
-                    pair, count = np.unique(np.concatenate([a << BUCKET_BITS | b, b << BUCKET_BITS | a]), return_counts=True)
-                    left, right = pair >> BUCKET_BITS, pair & (1 << BUCKET_BITS) - 1
-                    heads = np.flatnonzero(np.diff(left, prepend=-1))
-                    if len(heads):
-                        total[left[heads]] += np.add.reduceat(index[right] * count[:, None], heads, axis=0)
+                    for word, near in ((a, b), (b, a)):
+                        for place, sign in places:
+                            total += np.bincount(word * DIMENSIONS + place[near], weights=sign[near], minlength=len(total))
+        total = total.reshape(-1, DIMENSIONS)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         flat = pa.array(total[used].reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.FixedSizeListArray.from_arrays(flat, DIMENSIONS).cast(pa.list_(pa.float64()))], names=["bucket", "vector"])
