@@ -23,6 +23,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,8 +60,17 @@ def differences(size: int, percent: int) -> int:
     return (100 - percent) * size // (100 + percent)
 
 
-def bands(size: int, percent: int) -> list[tuple[int, int]]:
-    """The size bands of a set, as (band, number of blocks); bands without differences need none."""
+def spare_blocks(blocks: int, least: int) -> int:
+    """Blocks beyond the pigeonhole's, so that a set of the band's least size rarely has more empty ones."""
+    spare = 0
+    while (empty := (blocks + spare) * math.exp(-least / (blocks + spare))) >= 0.3 and spare < 1.5 * empty:
+        spare += 1
+    return spare
+
+
+@lru_cache(maxsize=1 << 16)
+def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """The size bands of a set, as (band, blocks, spare ones among them); bands without differences need none."""
     found, low, band = [], 1, 0
     most = size * 100 // percent  # the largest similar set
     while low <= most:
@@ -66,7 +78,8 @@ def bands(size: int, percent: int) -> list[tuple[int, int]]:
         if low <= size < high or size < low <= most:
             blocks = differences(2 * (high - 1), percent) + 1
             if blocks > 1:
-                found.append((band, blocks + blocks // 32))
+                spare = spare_blocks(blocks, -(-low * percent // 100))
+                found.append((band, blocks + spare, spare))
         low, band = high, band + 1
     return found
 
@@ -74,7 +87,7 @@ def bands(size: int, percent: int) -> list[tuple[int, int]]:
 def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """A hash of every block that isn't empty."""
     out = []
-    for band, blocks in bands(len(tokens), percent):
+    for band, blocks, spare in bands(len(tokens), percent):
         seed = 0
         while True:
             dealt = mixed(tokens ^ np.uint64((band * 64 + seed + 1) * BASE_2 & (1 << 64) - 1))
@@ -84,7 +97,7 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             order = np.argsort(block, kind="stable")
             heads = np.flatnonzero(np.diff(block[order], prepend=np.uint64(1 << 63)))
             out.append(mixed(np.bitwise_xor.reduceat(bit[order], heads) ^ mixed(salt[order[heads]])))
-            if blocks - len(heads) <= blocks // 32 or seed == 63:
+            if blocks - len(heads) <= spare or seed == 63:
                 break
             seed += 1
     return np.concatenate(out) if out else tokens[:0]
