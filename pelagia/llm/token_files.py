@@ -106,7 +106,7 @@ class File:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end: int, bits: int) -> DataFrame:
-    """Whole texts as packed ids with the end id."""
+    """Whole texts as packed ids with the end id, deflated for the way to their files."""
     def work(batches):
         encode = encoder(vocabulary).encode
         for batch in batches:
@@ -116,7 +116,7 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, bits: int) -> DataFrame:
                 rows, sizes, crcs = [], [], []
                 for i in range(len(texts)):
                     own = np.append(ids[begin[i]:begin[i + 1]], end).astype("<u4")
-                    rows.append(pack_bits(own, bits))
+                    rows.append(zlib.compress(pack_bits(own, bits), 1))
                     sizes.append(len(own))
                     crcs.append(zlib.crc32(own))
                 yield pa.RecordBatch.from_arrays([names.slice(texts.first, len(texts)), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(rows, pa.binary())],
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, vocabulary_si
 
         for batch in batches:
             for name, n, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "packed"))):
-                done = 0
+                done, packed = 0, zlib.decompress(packed)
                 while done < n:
                     here = min(n - done, BLOCK_IDS - held)
                     names.append(name or 0)
