@@ -12,7 +12,7 @@ few blocks to spare, and a document with more empty blocks than that is dealt ag
 
 **Join.** Documents with equal sets are one class. Blocks are stored as 64-bit hashes of their bits and grouped;
 blocks with one class fall away. In a star round, each block's class that shares most of its blocks is verified against the
-block's other classes, and what is similar gets one label. Stars leave pairs of different labels: in the last
+block's other classes (for each class only its nearest such centre by the folded sketch), and what is similar gets one label. Stars leave pairs of different labels: in the last
 round these are compared by folded parity sketches (1,024 bits), in chunks of bounded size, never within the block's largest label, and only pairs that pass are verified
 on their sets. Pairs within one label need no look for the components, and all others are looked at, so that no link
 between different labels is lost.
@@ -24,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.llm.components import components
-from pelagia.llm.tables import arrow, small_side, stored
+from pelagia.llm.tables import KEY_BYTES, arrow, small_side, stored
 from pelagia.llm.words import BASE_2, NOT_WHITE, SLICE_BYTES, Texts, find_words, grams, mixed, texts_of
 
 GROWTH = 1.5
@@ -112,52 +113,52 @@ def folded(tokens: np.ndarray) -> bytes:
 def sketched(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """One row per document: doc_id, size, the set's two fingerprints, block hashes and folded sketch."""
     def work(batches):
-        turn = np.uint64(mixed(np.array([seed + 1], np.uint64))[0])
         for batch in batches:
             names = batch.column("doc_id")
             for texts in texts_of(batch.column("text")):
                 sets = shingles(texts, n)
-                a = [int(np.bitwise_xor.reduce(mixed(s + turn))) for s in sets]
-                b = [int(mixed(s ^ turn).sum(dtype=np.uint64)) for s in sets]
+                a, b = fingerprints(sets, seed)
                 keys = [block_keys(s, percent) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
-                fingerprints = mixed(np.array([x ^ (y * BASE_2 & (1 << 64) - 1) for x, y in zip(a, b)], np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(texts.first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fingerprints.view(np.int64)),
-                     pa.array(np.array(b, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                    [names.slice(texts.first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)),
+                     pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
                      pa.array([folded(s) for s in sets], pa.binary())],
                     names=["doc_id", "size", "a", "b", "keys", "fold"])
     return arrow(docs.select("doc_id", "text"), work, "doc_id long, size long, a long, b long, keys array<long>, fold binary")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
-    """(a, tokens) of the documents whose ids are wanted."""
+def fingerprints(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set."""
+    turn = np.uint64(mixed(np.array([seed + 1], np.uint64))[0])
+    a = np.array([np.bitwise_xor.reduce(mixed(s + turn)) for s in sets], np.uint64)
+    b = np.array([mixed(s ^ turn).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return mixed(a ^ b * np.uint64(BASE_2)), b
+
+
+def texts_for(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
+    """(a, packed): the deflated texts, which are smaller than their sets, of the documents whose ids are wanted."""
     def work(batches):
-        turn = np.uint64(mixed(np.array([seed + 1], np.uint64))[0])
         for batch in batches:
             for texts in texts_of(batch.column("text")):
-                sets = shingles(texts, n)
-                a = [int(np.bitwise_xor.reduce(mixed(s + turn))) for s in sets]
-                b = [int(mixed(s ^ turn).sum(dtype=np.uint64)) for s in sets]
-                fingerprints = mixed(np.array([x ^ (y * BASE_2 & (1 << 64) - 1) for x, y in zip(a, b)], np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(fingerprints.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "tokens"])
+                a, _ = fingerprints(shingles(texts, n), seed)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array([zlib.compress(texts.text(i), 1) for i in range(len(texts))], pa.binary())], names=["a", "packed"])
     bare = docs.select("doc_id", "text")
     few = small_side(wanted.select(F.col("first").alias("_id")), 16)
-    return arrow(bare.join(few, bare["doc_id"].eqNullSafe(few["_id"]), "left_semi"), work, "a long, tokens binary")
+    return arrow(bare.join(few, bare["doc_id"].eqNullSafe(few["_id"]), "left_semi"), work, "a long, packed binary")
 
 
-def similar(left: bytes, right: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= percent * (len(left) + len(right) - both)
 
 
-def sizes_and_folds_allow(size_a, fold_a, size_b, fold_b, percent: int) -> np.ndarray:
-    """Whether sizes and folded parities leave room for similarity, for pairs of rows."""
+def sizes_and_folds_allow(size_a, fold_a, size_b, fold_b, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and folded parities leave room for similarity, for pairs of rows, and the bits that differ."""
     ok = (100 * size_a >= percent * size_b) & (100 * size_b >= percent * size_a)
     apart = np.bitwise_count(fold_a ^ fold_b).sum(axis=-1, dtype=np.int64)
-    return ok & ((100 + percent) * apart <= (100 - percent) * (size_a + size_b))
+    return ok & ((100 + percent) * apart <= (100 - percent) * (size_a + size_b)), apart
 
 
 def fold_rows(column: pa.Array) -> np.ndarray:
@@ -165,23 +166,35 @@ def fold_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint64).reshape(len(column), FOLD_BITS // 64)
 
 
-def verified(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The similar pairs (a, b): first by size and folded sketch, then on the sets themselves."""
+def verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, n: int, percent: int, best: bool) -> DataFrame:
+    """The similar pairs (a, b): first by size and folded sketch, then on the sets themselves.
+
+    With ``best``, only the pair with the fewest differing bits is verified for each a.
+    """
     one = vertices.select(F.col("a"), F.col("size").alias("size_a"), F.col("fold").alias("fold_a"))
     two = vertices.select(F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("fold").alias("fold_b"))
 
-    @F.arrow_udf("boolean")
-    def may(size_a: pa.Array, fold_a: pa.Array, size_b: pa.Array, fold_b: pa.Array) -> pa.Array:
-        return pa.array(sizes_and_folds_allow(size_a.to_numpy(), fold_rows(fold_a), size_b.to_numpy(), fold_rows(fold_b), percent))
+    @F.arrow_udf("bigint")
+    def apart(size_a: pa.Array, fold_a: pa.Array, size_b: pa.Array, fold_b: pa.Array) -> pa.Array:
+        ok, bits = sizes_and_folds_allow(size_a.to_numpy(), fold_rows(fold_a), size_b.to_numpy(), fold_rows(fold_b), percent)
+        return pa.array(bits, mask=~ok)
 
     @F.arrow_udf("boolean")
     def are(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([similar(x, y, percent) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
-
-    near = pairs.join(one, "a").join(two, "b").where(may("size_a", "fold_a", "size_b", "fold_b")).select("a", "b")
-    near = stored(near, "near-pairs")
-    left, right = sets.withColumnRenamed("tokens", "left"), sets.select(F.col("a").alias("b"), F.col("tokens").alias("right"))
-    return near.join(left, "a").join(right, "b").where(are("left", "right")).select("a", "b")
+        @lru_cache(maxsize=64)
+        def tokens(packed: bytes) -> np.ndarray:
+            return shingles(next(texts_of(pa.array([zlib.decompress(packed)], pa.binary()))), n)[0]
+        return pa.array([similar(tokens(x), tokens(y), percent) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
+
+    near = pairs.join(one, "a").join(two, "b").withColumn("apart", apart("size_a", "fold_a", "size_b", "fold_b")).where("apart is not null")
+    if best:
+        near = near.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    near = stored(near.select("a", "b"), "near-pairs")
+    left = texts.withColumnRenamed("packed", "left").join(small_side(near, 24), "a")
+    centres = near.select("b").distinct()
+    right = stored(texts.select(F.col("a").alias("b"), F.col("packed").alias("right")).join(small_side(centres, 16), "b", "left_semi"), "centre-texts")
+    size = right.agg(F.sum(F.octet_length("right") + 32)).first()[0] or 0
+    return left.join(F.broadcast(right) if size <= KEY_BYTES else right, "b").where(are("left", "right")).select("a", "b")
 
 
 def star_pairs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -231,7 +244,7 @@ def cross_pairs(members: DataFrame, labels: DataFrame, vertices: DataFrame, perc
             fa, fb = fold_rows(x.field("fold")), fold_rows(y.field("fold"))
             found = []
             for r in range(len(a)):
-                ok = (lb != la[r]) & sizes_and_folds_allow(sa[r], fa[r], sb, fb, percent)
+                ok = (lb != la[r]) & sizes_and_folds_allow(sa[r], fa[r], sb, fb, percent)[0]
                 found += [{"a": min(int(a[r]), z), "b": max(int(a[r]), z)} for z in b[ok].tolist()]
             out.append(found)
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
@@ -259,14 +272,14 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     vertices = stored(sketches.join(small_side(share, 24), "a").join(classes.select("a", "first"), "a")
                       .select("a", "first", "size", "fold", (F.col("hits") / F.col("blocks")).alias("share")), "vertices")
     members = stored(members.join(vertices.select("a", "share"), "a").select("key", "a", "share"), "members")
-    sets = stored(sets_of(docs, vertices, n, seed).join(small_side(vertices.select("a"), 16), "a", "left_semi"), "sets")
+    texts = stored(texts_for(docs, vertices, n, seed).join(small_side(vertices.select("a"), 16), "a", "left_semi"), "texts")
 
     links = labels = None
     for _ in range(STARS):
-        found = stored(verified(star_pairs(members, labels), vertices, sets, percent), "links")
+        found = stored(verified(star_pairs(members, labels), vertices, texts, n, percent, best=True), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    last = stored(verified(cross_pairs(members, labels, vertices, percent), vertices, sets, percent), "links")
+    last = stored(verified(cross_pairs(members, labels, vertices, percent), vertices, texts, n, percent, best=False), "links")
     labels = components(links.unionByName(last))
 
     named = classes.select("a", "first").join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
