@@ -141,3 +141,18 @@ def test_training_helps_and_odd_rows_have_scores(spark):
     assert np.mean([r.score > r.base_score for r in found if r.held_out]) > 0.8
     none = lm.scores(spark.createDataFrame([], SCHEMA), held_out(F.col("doc_id"), 7, 2), BYTE_VOCABULARY, BYTE_IDS, BYTE_IDS - 1)
     assert none.count() == 0
+
+
+def test_every_window_of_every_text_trains(spark):
+    size, end = 2_000, 1_999
+    random = np.random.default_rng(11)
+    texts = [np.arange(0, 1_500), np.arange(1_500, 1_540), np.array([end])]  # 94 windows, 3 and 1
+    rows = spark.createDataFrame([(i, False, t.astype("<u4").tobytes()) for i, t in enumerate(texts)], "doc_id long, held_out boolean, ids binary").coalesce(1)
+    model = {n: p + random.normal(0, 0.1, p.shape).astype(np.float32) for n, p in lm.initial().items()}
+    klass = random.integers(0, lm.CLASSES, size)
+    direct = np.zeros((lm.BUCKETS, lm.GROUPS), np.float32), np.zeros((lm.BUCKETS * lm.GROUPS, lm.MEMBERS), np.float32)
+    found = lm.averaged(rows, model, direct, klass, end)
+    before = np.array([end, *range(1_499), *range(1_500, 1_539)])  # the last id of a text stands before none
+    moved = (found["embed"] != model["embed"]).any(axis=1)
+    assert moved[lm.bucket(before)].all() and moved.sum() == len(np.unique(lm.bucket(before)))
+    assert np.unique(lm.bucket(np.arange(4_096))).size == 4_096
