@@ -107,6 +107,32 @@ def test_grants_are_found_as_often_as_they_stand(spark, sentence, name):
     assert [(m[0], m[1], m[2]) for m in found] == [(name, 7, 7 + len(sentence))]
 
 
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.'''
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_apache_header_is_found_whole(mark):
+    text = "\n".join(mark + line for line in APACHE.split("\n"))
+    assert [(m[0], m[3]) for m in licences.licences(text)[0]] == [("Apache-2.0", ["named:Apache-2.0", "apache-condition", "apache-place", "apache-warranty"])]
+
+
+@pytest.mark.parametrize("sentence, name", [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"), ("Licensed under the GPL version 2 or any later version, see COPYING.", "GPL-2.0"),
+    ("Published under MIT Press rules.", None), ("Licensed under the MIT License or the Apache License.", None), ("Licensed under the GNU General Public License version 2.1 text.", None)])
+def test_names_end_at_a_word(sentence, name):
+    assert [m[0] for m in licences.licences(sentence)[0]] == [name] * (name is not None)
+
+
 def test_licence_column(spark):
     rows = [(1, None), (2, ""), (3, "A licence."), (None, MIT), (4, "word. " * 50_000)]
     found = {r.doc_id: r.s for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", licences.scan("text").alias("s")).collect()}
