@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,37 @@ def test_names_end_at_a_word(sentence, name):
     assert [m[0] for m in licences.licences(sentence)[0]] == [name] * (name is not None)
 
 
+def gpl(version):
+    return [f"""This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.""",
+            """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""]
+
+
+def wrapped(paragraphs, width, mark=""):
+    lines = [textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in paragraphs]
+    return "\n".join(mark + line for part in lines for line in [*part, ""])
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+@pytest.mark.parametrize("width", [20, 30, 40, 60, 72, 80, 1000])
+def test_notices_at_any_width(width, mark):
+    names = lambda text: [(m[0], m[3]) for m in licences.licences(text)[0]]
+    assert licences.identified(wrapped(gpl(2), width, mark))[0][0][-1] == "gpl2-grant"
+    assert licences.identified(wrapped(gpl(3), width, mark))[0][0][-1] == "gpl3-grant"
+    assert names("This file is free\nof\nerrors and\nreleased\nunder\nthe terms\nof the\nMIT\nLicense.")[-1:] == [("MIT", ["named:MIT"])]
+
+
+def test_standard_gpl2_notice():
+    text = """This program is free software;
+you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation;
+either version 2 of the License, or
+(at your option) any later version."""
+    assert [(m[0], m[3]) for m in licences.licences(text)[0]] == [("GPL-2.0", ["gpl2-grant"])]
+
+
 def test_licence_column(spark):
     rows = [(1, None), (2, ""), (3, "A licence."), (None, MIT), (4, "word. " * 50_000)]
     found = {r.doc_id: r.s for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", licences.scan("text").alias("s")).collect()}
