@@ -165,6 +165,40 @@ either version 2 of the License, or
     assert [(m[0], m[3]) for m in licences.licences(text)[0]] == [("GPL-2.0", ["gpl2-grant"])]
 
 
+WHOLE_MIT = ["Copyright (c) 2020 Someone",
+             """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+             (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+             publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+             subject to the following conditions:""",
+             """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+             """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+             MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+             ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+             THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""]
+WHOLE_BSD = ["Copyright (c) 2020, Someone. All rights reserved.",
+             """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+             are met:""",
+             """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
+             """2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+             documentation and/or other materials provided with the distribution.""",
+             """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+             this software without specific prior written permission.""",
+             """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+             LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""]
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+@pytest.mark.parametrize("width", [20, 30, 40, 60, 72, 80, 1000])
+def test_whole_licences_at_any_width(width, mark):
+    found = lambda paragraphs: [(m[0], m[3]) for m in licences.licences(wrapped(paragraphs, width, mark))[0]]
+    mit, bsd = ["mit-grant", "mit-notice", "mit-warranty"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty"]
+    assert found(WHOLE_MIT) == [("MIT", mit)]
+    assert found(WHOLE_BSD) == [("BSD-3-Clause", bsd)]
+    assert found([p for p in WHOLE_BSD if not p.startswith("3.")]) == [("BSD-2-Clause", bsd[:3] + bsd[4:])]
+    assert found(gpl(2)) == [("GPL-2.0", ["gpl2-grant", "gpl-warranty"])] and found(gpl(3)) == [("GPL-3.0", ["gpl3-grant", "gpl-warranty"])]
+    assert found([*WHOLE_MIT[:2], *["Some words."] * 4, *WHOLE_MIT[2:]]) == [("MIT", mit[:1])]
+
+
 def test_licence_column(spark):
     rows = [(1, None), (2, ""), (3, "A licence."), (None, MIT), (4, "word. " * 50_000)]
     found = {r.doc_id: r.s for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", licences.scan("text").alias("s")).collect()}
