@@ -3,7 +3,8 @@
 Both vocabularies split a text before white space that follows other characters, and between
 letters, digits and signs (but for an apostrophe before letters), whatever stands around, so that
 the ids of a text are those of its pieces one after another. Texts with white space outside ASCII, which the split patterns join to its neighbours, or
-with the control characters U+001C to U+001F go through the library whole.
+with the control characters U+001C to U+001F go through the library whole, and so do texts that hold the literal of an added token such as
+``<|endoftext|>``, which the library gives an id of its own.
 """
 
 from __future__ import annotations
@@ -57,9 +58,9 @@ class Encoder:
     def __init__(self, path: str, bits: int = 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.library.no_padding()
         self.library.no_truncation()
+        self.literals = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.shift = np.uint64(64 - bits)
         self.mark = self._mark()
         self._forget()
@@ -80,6 +81,17 @@ class Encoder:
                 return sign, int(alone[0])
         return None
 
+    def with_literals(self, texts: Texts) -> np.ndarray:
+        """Which texts hold the literal of an added token."""
+        found = np.zeros(len(texts), dtype=bool)
+        raw = texts.data.tobytes()
+        for literal in self.literals:
+            at = raw.find(literal)
+            while at >= 0:
+                found[np.searchsorted(texts.offsets, at, side="right") - 1] = True
+                at = raw.find(literal, at + 1)
+        return found
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=np.uint32) for x in found]
@@ -112,7 +124,7 @@ class Encoder:
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the place of each text's first id (one entry more than texts)."""
-        odd = with_odd_white(texts)
+        odd = with_odd_white(texts) | self.with_literals(texts)
         n, data = len(texts), texts.data
         starts, ends, owner = self._pieces(texts)
         first, second = hash_spans(data, starts, ends), hash_spans(data, starts, ends, BASE_2)

@@ -109,3 +109,17 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert packing.pack(none, WORD_VOCABULARY).count() == 0
     assert token_files.round_trip(none, BYTE_VOCABULARY, BYTE_IDS, 2).count() == 0
+
+
+@pytest.mark.parametrize("vocabulary", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_added_tokens_have_their_own_ids(spark, vocabulary):
+    texts = ["one <|endoftext|> two", "<|startoftext|>a<|endoftext|>", "<|endoftext|>", "no <|endof", "text|> either", "<|endoftext|><|endoftext|>b", None]
+    library = Tokenizer.from_file(vocabulary)
+    wanted = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    packed = packing.pack(docs, vocabulary, end=1, capacity=512).collect()
+    assert {r.doc_id: list(r.ids) for r in packed} == dict(enumerate(wanted))
+    if vocabulary == BYTE_VOCABULARY:
+        found = token_files.round_trip(docs, vocabulary, BYTE_IDS, end=1, with_ids=False).collect()
+        starts = np.cumsum([0, *map(len, wanted)])
+        assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == [(i, starts[i], len(w), crc(w)) for i, w in enumerate(wanted)]
