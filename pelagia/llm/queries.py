@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, licences, lm, packing, parity_join, pii, quality, token_files, warc
+from pelagia.llm import decontaminate, exact_dedup, licences, lm, packing, parity_join, periodic, pii, quality, token_files, warc
 from pelagia.llm.tables import held_out, table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
@@ -79,6 +80,38 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(table(spark, folder, "documents"), BYTE_VOCABULARY, BYTE_IDS, end=2, with_ids=False)
 
 
+def _repeating(text: pa.Array, number: pa.Array) -> pa.Array:
+    """Word i >= a becomes word a + (i - a) % p, with a and p from the number; null stays null."""
+    out = []
+    for whole, g in zip(text.to_pylist(), number.to_pylist()):
+        words = None if whole is None else whole.encode().split()
+        if words:
+            n = len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + (words[a:a + p] * -(-(n - a) // p))[:n - a]
+        out.append(None if words is None else b" ".join(words).decode())
+    return pa.array(out, pa.string())
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document by crc32 of its id repeats a stretch up to its end."""
+    h: Column = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    repeating = F.arrow_udf(_repeating, "string")
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    return docs.select("doc_id", F.when(chosen, repeating(F.when(chosen, F.col("text")), F.floor(h / 10))).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256")) \
+        .select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+                F.floor(1000 * F.col("best.length") / (-F.col("best.period"))).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_licences": op9_licences,
     "op10_token_files": op10_token_files,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
