@@ -8,28 +8,33 @@ sketches of two sets differ in at most as many bits as the symmetric difference
 similarity of at least p/100 bounds that difference by ``(100 - p) * (|A| + |B|) / (100 + p)``, so with more blocks than
 that some block agrees whole (pigeonhole). k depends on the size band: bands grow by half, and a document is also
 dealt into the next band if a partner there could be similar. Two sets may agree in blocks that are empty, which tell nothing: ``k`` has a
-few blocks to spare, and a document with more empty blocks than that is dealt again by further seeds until it has not.
+few blocks to spare, and a document with more empty blocks than that is dealt again by further seeds. One that still has too many after ``SEEDS``
+deals, and every document of a band whose blocks would mostly be empty (at low similarities), gives the tokens of its prefix by hash order
+instead: similar sets share one of the least ``size - ceil(size * p / 100) + 1`` tokens.
 
 **Join.** Documents with equal sets are one class. Blocks are stored as 64-bit hashes of their bits and grouped;
 blocks with one class fall away. In a star round, each block's class that shares most of its blocks is verified against the
 block's other classes (for each class only its nearest such centre by the folded sketch), and what is similar gets one label. Stars leave pairs of different labels: in the last
 round these are compared by folded parity sketches (1,024 bits), in chunks of bounded size, never within the block's largest label, and only pairs that pass are verified
-on their sets. Pairs within one label need no look for the components, and all others are looked at, so that no link
+on their sets. A block with more than ``WIDE`` such classes is cut first: its classes meet only where they share a token of their prefixes, in
+an order that puts the tokens of many texts last (counted in a table of fixed size), so that a passage of many texts brings nobody together. Pairs within one label need no look for the components, and all others are looked at, so that no link
 between different labels is lost.
 
 Null ids count like other rows but name no component unless nothing else is there. Repeated rows are copies. An empty table gives no rows; extra
-columns are ignored.
+columns are ignored. ``keep_one`` keeps one row of each component, whatever their ids: that with the least id (null ids come last), of equal ids that
+with the least text hash, of equal rows any. Rows without words are in no component and stay.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.llm.components import components
@@ -40,6 +45,11 @@ GROWTH = 1.5
 FOLD_BITS = 1024
 CHUNK = 256
 STARS = 2
+SEEDS = 4
+#: Classes of different labels beyond which a block is cut by prefix tokens.
+WIDE = 2048
+#: Cells of the token counts that order the prefixes of wide blocks.
+CELL_BITS = 20
 
 
 def shingles(texts: Texts, n: int) -> list[np.ndarray]:
@@ -61,17 +71,24 @@ def differences(size: int, percent: int) -> int:
     return (100 - percent) * size // (100 + percent)
 
 
-def spare_blocks(blocks: int, least: int) -> int:
-    """Blocks beyond the pigeonhole's, so that a set of the band's least size rarely has more empty ones."""
-    spare = 0
-    while (empty := (blocks + spare) * math.exp(-least / (blocks + spare))) >= 0.3 and spare < 1.5 * empty:
-        spare += 1
-    return spare
+def spare_blocks(blocks: int, least: int) -> int | None:
+    """Blocks beyond the pigeonhole's, so that a set of the band's least size rarely has more empty ones.
+
+    None if more blocks than the pigeonhole's own would have to be spare.
+    """
+    for spare in range(blocks + 1):
+        empty = (blocks + spare) * math.exp(-least / (blocks + spare))
+        if empty < 0.3 or spare >= 1.5 * empty:
+            return spare
+    return None
 
 
 @lru_cache(maxsize=1 << 16)
-def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
-    """The size bands of a set, as (band, blocks, spare ones among them); bands without differences need none."""
+def bands(size: int, percent: int) -> list[tuple[int, int, int | None]]:
+    """The size bands of a set, as (band, blocks, spare ones among them); bands without differences need none.
+
+    Spare blocks of None say that the band is joined by prefix tokens.
+    """
     found, low, band = [], 1, 0
     most = size * 100 // percent  # the largest similar set
     while low <= most:
@@ -80,17 +97,21 @@ def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
             blocks = differences(2 * (high - 1), percent) + 1
             if blocks > 1:
                 spare = spare_blocks(blocks, -(-low * percent // 100))
-                found.append((band, blocks + spare, spare))
+                found.append((band, blocks + (spare or 0), spare))
         low, band = high, band + 1
     return found
 
 
+def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Of tokens in any order common to all sets, the first ones: similar sets share one of them."""
+    return tokens[:len(tokens) + percent * len(tokens) // -100 + 1]
+
+
 def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """A hash of every block that isn't empty."""
+    """A hash of every block that isn't empty, or of the prefix tokens where blocks don't serve."""
     out = []
     for band, blocks, spare in bands(len(tokens), percent):
-        seed = 0
-        while True:
+        for seed in range(SEEDS) if spare is not None else ():
             dealt = mixed(tokens ^ np.uint64((band * 64 + seed + 1) * BASE_2 & (1 << 64) - 1))
             block = (dealt >> np.uint64(16)) % np.uint64(blocks)
             salt = (block + np.uint64(blocks << 20)) * np.uint64(BASE_2) + np.uint64(band * 64 + seed)
@@ -98,9 +119,10 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             order = np.argsort(block, kind="stable")
             heads = np.flatnonzero(np.diff(block[order], prepend=np.uint64(1 << 63)))
             out.append(mixed(np.bitwise_xor.reduceat(bit[order], heads) ^ mixed(salt[order[heads]])))
-            if blocks - len(heads) <= spare or seed == 63:
+            if blocks - len(heads) <= spare:
                 break
-            seed += 1
+        else:  # sets are in hash order
+            out.append(mixed(prefix(tokens, percent) + np.uint64(band * BASE_2 + 1 & (1 << 64) - 1)))
     return np.concatenate(out) if out else tokens[:0]
 
 
@@ -110,23 +132,28 @@ def folded(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def sketched(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """One row per document: doc_id, size, the set's two fingerprints, block hashes and folded sketch."""
+def sketched(docs: DataFrame, n: int, seed: int, keys_of: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """One row per document: doc_id, hash of the text, size, the set's two fingerprints, its join keys and folded sketch."""
     def work(batches):
         for batch in batches:
-            names = batch.column("doc_id")
+            names, hashes = batch.column("doc_id"), batch.column("text_hash")
             for texts in texts_of(batch.column("text")):
                 sets = shingles(texts, n)
                 a, b = fingerprints(sets, seed)
-                keys = [block_keys(s, percent) for s in sets]
+                keys = keys_of(sets)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(texts.first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)),
+                    [names.slice(texts.first, len(texts)), hashes.slice(texts.first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)),
                      pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
                      pa.array([folded(s) for s in sets], pa.binary())],
-                    names=["doc_id", "size", "a", "b", "keys", "fold"])
-    return arrow(docs.select("doc_id", "text"), work, "doc_id long, size long, a long, b long, keys array<long>, fold binary")
+                    names=["doc_id", "text_hash", "size", "a", "b", "keys", "fold"])
+    schema = "doc_id long, text_hash long, size long, a long, b long, keys array<long>, fold binary"
+    return arrow(docs.select("doc_id", "text", text_hash("text").alias("text_hash")), work, schema)
+
+
+def text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(column, F.lit("")))
 
 
 def fingerprints(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +210,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, n: int, pe
     def are(left: pa.Array, right: pa.Array) -> pa.Array:
         @lru_cache(maxsize=64)
         def tokens(packed: bytes) -> np.ndarray:
-            return shingles(next(texts_of(pa.array([zlib.decompress(packed)], pa.binary()))), n)[0]
+            return unpacked(packed, n)
         return pa.array([similar(tokens(x), tokens(y), percent) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
 
     near = pairs.join(one, "a").join(two, "b").withColumn("apart", apart("size_a", "fold_a", "size_b", "fold_b")).where("apart is not null")
@@ -218,13 +245,61 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(known, "a", "left").withColumn("label", F.coalesce("label", "a"))
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+def token_cells(texts: DataFrame, n: int) -> np.ndarray:
+    """How often the tokens of the given texts fall into each cell of a table of fixed size."""
+    def work(batches):
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for packed in batch.column("packed").to_pylist():
+                total += np.bincount(cell_of(unpacked(packed, n)), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+    rows = arrow(texts.select("packed"), work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** CELL_BITS rows
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def cell_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
+def unpacked(packed: bytes, n: int) -> np.ndarray:
+    return shingles(next(texts_of(pa.array([zlib.decompress(packed)], pa.binary()))), n)[0]
+
+
+def cut_by_prefix(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of wide blocks once for each token of their prefixes that another row of the block has too."""
+    shared = open_.sparkSession.sparkContext.broadcast(token_cells(texts, n))
+
+    @F.arrow_udf("array<bigint>")
+    def first_tokens(column: pa.Array) -> pa.Array:
+        out = []
+        for packed in column.to_pylist():
+            tokens = unpacked(packed, n)
+            ranked = tokens[np.lexsort((tokens, shared.value[cell_of(tokens)]))]
+            out.append(prefix(ranked, percent).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    members = open_.select("a").distinct()
+    tokens = stored(texts.join(members, "a", "left_semi").select("a", F.explode(first_tokens("packed")).alias("token")), "prefix-tokens")
+    cut = open_.join(tokens, "a").withColumn("key", F.xxhash64("key", "token")).drop("token")
+    again = cut.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low != high")
+    return cut.join(again.select("key", "m"), "key").withColumn("n", F.col("m")).drop("m")
+
+
+def cross_pairs(members: DataFrame, labels: DataFrame, vertices: DataFrame, texts: DataFrame, n: int, percent: int, wide: int = WIDE) -> DataFrame:
     """Pairs of one block but two labels that sizes and folded sketches allow."""
     named = stored(labelled(members, labels), "named-members")
     by_label = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    wide = by_label.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("n"))
-    open_ = named.join(wide.where("low != high").select("key", "main", "n"), "key")
-    open_ = open_.join(vertices.select("a", "size", "fold"), "a")
+    blocks = by_label.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.min("label").alias("low"), F.max("label").alias("high"),
+                                         F.sum("n").alias("n"), F.max("n").alias("most"))
+    open_ = stored(named.join(blocks.where("low != high").select("key", "main", "n", "most"), "key").select("key", "a", "label", "main", "n", "most"), "open-members")
+    too_wide = open_.where(F.col("n") - F.col("most") > wide)
+    if not too_wide.isEmpty():
+        cut = stored(cut_by_prefix(too_wide, texts, n, percent), "cut-blocks")
+        open_ = open_.where(F.col("n") - F.col("most") <= wide).unionByName(cut)
+    open_ = open_.drop("most").join(vertices.select("a", "size", "fold"), "a")
     group = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / CHUNK)).cast("int")
     chunks = open_.groupBy("key", (F.col("label") != F.col("main")).alias("query"), group.alias("chunk")) \
         .agg(F.collect_list(F.struct("a", "label", "size", "fold")).alias("rows"))  # about CHUNK rows by the choice of group
@@ -252,21 +327,27 @@ def cross_pairs(members: DataFrame, labels: DataFrame, vertices: DataFrame, perc
     return met.select(F.explode(passing("left", "right")).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
-def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least id reachable by links, itself included)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def set_classes(docs: DataFrame, n: int, keys_of: Callable[[list[np.ndarray]], list[np.ndarray]]) -> tuple[DataFrame, DataFrame, int]:
+    """``sketched`` rows, one row for each different set (a, first id, size), and the seed that tells the sets apart."""
     seed = 0
     while True:
-        rows = stored(sketched(docs, n, percent, seed), "sketches")
+        rows = stored(sketched(docs, n, seed, keys_of), "sketches")
         classes = rows.where("size > 0").groupBy("a").agg(F.min("doc_id").alias("first"), F.min("b").alias("b"), F.max("b").alias("other"), F.min("size").alias("size"))
         classes = stored(classes, "classes")
         if classes.where("b != other").isEmpty():
-            break
+            return rows, classes, seed
         seed += 1  # two different sets share the first fingerprint
-    keys = rows.where("size > 0").select("a", F.explode("keys").alias("key"))
+
+
+def shared_keys(keys: DataFrame, label: str) -> DataFrame:
+    """The (key, a) of keys that more than one class has."""
     shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key")
-    shared = stored(shared, "shared-blocks")
-    members = stored(keys.join(small_side(shared, 16), "key").distinct(), "members")
+    shared = stored(shared, "shared-keys")
+    return stored(keys.join(small_side(shared, 16), "key").distinct(), label)
+
+
+def with_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """The rows of ``rows`` with n_shingles and component_id; ``members`` are the classes by shared join key."""
     share = members.groupBy("a").agg(F.count("*").alias("hits"))
     sketches = rows.groupBy("a").agg(F.min("size").alias("size"), F.min("fold").alias("fold"), F.min(F.size("keys")).alias("blocks"))
     vertices = stored(sketches.join(small_side(share, 24), "a").join(classes.select("a", "first"), "a")
@@ -279,18 +360,46 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         found = stored(verified(star_pairs(members, labels), vertices, texts, n, percent, best=True), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    last = stored(verified(cross_pairs(members, labels, vertices, percent), vertices, texts, n, percent, best=False), "links")
+    last = stored(verified(cross_pairs(members, labels, vertices, texts, n, percent), vertices, texts, n, percent, best=False), "links")
     labels = components(links.unionByName(last))
 
     named = classes.select("a", "first").join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = stored(named.join(smallest, "label").select("a", "component_id"), "components")
-    linked = rows.where("size > 0").select("doc_id", "size", "a").join(ids, "a").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    ids = stored(named.join(smallest, "label").select("a", "label", "component_id"), "components")
+    linked = rows.where("size > 0").join(ids, "a").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id", "label")
+    alone = rows.where("size = 0").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    return linked.unionByName(alone)
+
+
+def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, classes, seed = set_classes(docs, n, lambda sets: [block_keys(s, percent) for s in sets])
+    keys = rows.where("size > 0").select("a", F.explode("keys").alias("key"))
+    return with_components(docs, rows, classes, shared_keys(keys, "members"), n, percent, seed)
+
+
+def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least id reachable by links, itself included)."""
+    return labelled_rows(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller id; null ids stay."""
-    found = similarity_classes(docs, n, percent)
-    gone = stored(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small_side(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, of which one of each component stays."""
+    found = stored(labelled_rows(docs, n, percent).where("label is not null").select("doc_id", "text_hash", "label"), "labelled-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.groupBy("label").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("doc_id"), F.col("best.text_hash").alias("text_hash"))
+    best = best.withColumn("kept", F.lit(True))
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    same = [rows["doc_id"].eqNullSafe(best["doc_id"]), rows["text_hash"] == best["text_hash"]]
+    rows = stored(rows.join(best, same, "left").select(rows["doc_id"].alias("_id"), rows["text_hash"].alias("_hash"), "times", F.coalesce("kept", F.lit(False)).alias("kept")), "row-kinds")
+    mine = docs.select(*docs.columns)
+
+    def of(kind: DataFrame, how: str) -> DataFrame:
+        return mine.join(small_side(kind, 24), [mine["doc_id"].cast("long").eqNullSafe(kind["_id"]), text_hash("text") == kind["_hash"]], how)
+    kept = of(rows.where("not kept or times > 1"), "left_anti")
+    again = rows.where("kept and times > 1")
+    if again.isEmpty():
+        return kept
+    one = of(again, "left_semi").groupBy(F.col("doc_id").cast("long").alias("_id"), text_hash("text").alias("_hash")) \
+        .agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
