@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, licences, lm, packing, parity_join, periodic, pii, quality, token_files, warc, whitening
+from pelagia.llm import decontaminate, exact_dedup, licences, lm, minhash, packing, parity_join, periodic, pii, quality, token_files, warc, whitening
 from pelagia.llm.tables import held_out, table
 
 BYTE_VOCABULARY, BYTE_IDS = public_tokenizers.path("byte_bpe_50k.json"), 50_257
@@ -112,6 +112,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
                 F.floor(1000 * F.col("best.length") / (-F.col("best.period"))).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), n=3, percent=85)
+
+
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding", components=32)
 
@@ -128,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licences": op9_licences,
     "op10_token_files": op10_token_files,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, exact_dedup, parity_join
+from pelagia.llm import decontaminate, exact_dedup, minhash, parity_join
 from pelagia.llm.components import components
 from tests.conftest import SMALL
 
@@ -110,7 +110,7 @@ def chain(base, steps, change):
     return out
 
 
-@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (2, 70), (3, 60), (1, 50)])
 def test_similarity_classes(spark, documents, n, percent):
     rows = documents[:80] + ODD[:6] + [(100 + i, t) for i, t in enumerate(chain(1, 12, 1) + chain(2, 12, 2) + chain(3, 5, 3))]
     rows += [(300 + i, " ".join(f"s{k}" for k in range(i))) for i in range(8, 24)]  # sizes around a band's end
@@ -126,7 +126,7 @@ def test_bands_share_enough_blocks():
             for b in range(a, a * 100 // percent + 1):
                 most = parity_join.differences(a + b, percent)
                 shared = set(parity_join.bands(a, percent)) & set(parity_join.bands(b, percent))
-                assert not most or any(blocks - spare > most for _, blocks, spare in shared), (a, b)
+                assert not most or any(spare is None or blocks - spare > most for _, blocks, spare in shared), (a, b)
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -145,6 +145,76 @@ def test_similar_sets_share_a_block_and_few_seeds_are_needed(percent):
         assert made <= 1.5 * planned  # over 20 sets of a size
 
 
+@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, documents, n, percent):
+    rows = documents[:120] + ODD + [(100_000 + i, t) for i, t in enumerate(chain(1, 12, 1) + chain(2, 12, 2) + chain(3, 5, 3))]
+    rows += [(300_000 + i, " ".join(f"s{k}" for k in range(i))) for i in range(1, 24)]
+    found = minhash.near_duplicates(with_odd_rows(spark, rows), n, percent).collect()
+    wanted = similar_brute(rows, n, percent)
+    assert sorted((tuple(r)[:3] for r in found), key=repr) == wanted
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert minhash.near_duplicates(with_odd_rows(spark, [])).count() == 0
+
+
+def test_short_keys_collide_as_often_as_sets_are_similar():
+    random = np.random.default_rng(3)
+    sets = []
+    for _ in range(300):  # pairs of similarity one half
+        tokens = random.integers(0, 1 << 63, 150).astype(np.uint64)
+        sets += [np.sort(tokens[:100]), np.sort(tokens[50:])]
+    keys = np.array(minhash.short_keys(sets, 8, 1))
+    assert keys.shape == (600, 16)
+    assert abs((keys[::2] == keys[1::2]).mean() - 1 / 3) < 0.03
+    pairs = (keys[::2, :8] == keys[1::2, :8]).any(axis=1) & (keys[::2, 8:] == keys[1::2, 8:]).any(axis=1)
+    assert abs(pairs.mean() - (1 - (2 / 3) ** 8) ** 2) < 0.06
+    assert (keys[0, None] != keys[0][:, None]).sum() == 16 * 15
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 90])
+def test_similar_sets_of_every_small_size_share_a_key(percent):
+    random = np.random.default_rng(percent)
+    for size in range(1, 31):
+        for _ in range(40):
+            tokens = np.unique(random.integers(0, 1 << 63, size).astype(np.uint64))
+            gone, new = random.integers(0, size), random.integers(0, size + 1)
+            other = np.unique(np.concatenate([tokens[gone:], random.integers(0, 1 << 63, new).astype(np.uint64)]))
+            if parity_join.similar(tokens, other, percent) and not np.array_equal(tokens, other):
+                one, two = (parity_join.block_keys(t, percent) for t in (tokens, other))
+                assert set(one.tolist()) & set(two.tolist()), (size, gone, new)
+
+
+def test_wide_blocks_are_cut_and_lose_no_link(spark):
+    """Two hundred texts share a passage and nothing else; a few pairs among them are alike."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{j}" for j in range(60))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + f" more{i}") for i in range(0, 200, 20)]
+    docs = with_odd_rows(spark, rows).select("doc_id", "text")
+    sets, classes, seed = parity_join.set_classes(docs, 1, lambda found: [parity_join.block_keys(s, 90) for s in found])
+    one_block = sets.select(F.lit(1).cast("long").alias("key"), "a").distinct()
+    vertices = sets.select("a", F.col("doc_id").alias("first"), "size", "fold")
+    texts = parity_join.texts_for(docs, vertices, 1, seed)
+    nothing = spark.createDataFrame([], "node long, label long")
+    ids = {r.a: r.doc_id for r in sets.collect()}
+    for wide in (10, 10_000):
+        pairs = parity_join.cross_pairs(one_block, nothing, vertices, texts, 1, 90, wide)
+        found = parity_join.verified(pairs, vertices, texts, 1, 90, best=False).collect()
+        assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in found} == {(i, 1000 + i) for i in range(0, 200, 20)}
+    assert parity_join.cut_by_prefix(one_block.withColumn("label", F.col("a")).withColumn("n", F.lit(210)), texts, 1, 90).select("a").distinct().count() < 60
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Ids that are null, repeated, or of two different texts."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base + " x"), (2, "something else that is long enough to have its own shingles"), (None, base + " y"), (None, "null id alone with seven words here"),
+            (3, "twice the same row of six words"), (3, "twice the same row of six words"), (4, None), (4, ""), (4, "")]
+    kept = parity_join.keep_one(with_odd_rows(spark, rows))
+    assert kept.columns == ["doc_id", "text", "lang", "digest", "key", "first"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5], *rows[7:]], key=repr)
+    assert parity_join.keep_one(with_odd_rows(spark, [])).count() == 0
+    alone = parity_join.keep_one(with_odd_rows(spark, [(None, base), (None, base + " z")]))
+    assert alone.count() == 1
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 199)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
