@@ -209,6 +209,65 @@ def cap_ids(ids: Column, kept: int = KEPT_IDS) -> tuple[Column, Column]:
     return F.slice(ids, 1, kept), F.when(over > 0, over)
 
 
+# -- updates of a span -------------------------------------------------------------------------
+
+UPDATE_PAYLOADS = ("input_data", "output_data", "error_data", "model_parameters", "filters")
+UPDATE_LISTS = ("data_sources", "artifact_refs")
+OMITTED_IDS = "sample_ids_omitted"
+
+
+def list_sanitizer(limits: Limits = Limits()):
+    """A column function over arrays of JSON texts; what is null or JSON's null becomes an empty object."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def sanitize_list(lists: pd.Series) -> pd.Series:
+        given = [None if v is None else [{} if t is None else _parsed(t) for t in v] for v in lists]
+        flat = [{} if p is None else p for v in given if v is not None for p in v]
+        safe = iter(sanitize_batch(flat, limits) if flat else [])
+        return pd.Series([None if v is None else [_compact(next(safe)) for _ in v] for v in given], dtype=object)
+    return sanitize_list
+
+
+def attribute_sanitizer(limits: Limits = Limits()):
+    """A column function over attributes as JSON text and the number of ids left out, which is added to them."""
+    @F.pandas_udf(T.StringType())
+    def sanitize_attributes(payloads: pd.Series, omitted: pd.Series) -> pd.Series:
+        out = []
+        for text, more in zip(payloads, omitted):
+            safe = sanitize_mapping(None if text is None else _parsed(text), limits)
+            if not pd.isna(more):
+                safe = {**(safe or {}), OMITTED_IDS: int(more)}
+            out.append(None if safe is None else _compact(safe))
+        return pd.Series(out, dtype=object)
+    return sanitize_attributes
+
+
+def _compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def sanitize_updates(updates: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Updates of spans as they may be stored; of the columns below, those that there are.
+
+    Payloads are JSON texts in their safe form. ``error_message`` loses credentials and what is too long, ``sample_ids``
+    all but the first ids, whose number goes into ``attributes``, also where there were none. Of the
+    lists of JSON texts ``data_sources`` and ``artifact_refs`` the first entries stay, in their safe form.
+    """
+    there = set(updates.columns)
+    safe, safe_list, safe_attributes = sanitizer(limits), list_sanitizer(limits), attribute_sanitizer(limits)
+    changes = {c: safe(F.col(c)) for c in UPDATE_PAYLOADS if c in there}
+    changes |= {c: safe_list(F.slice(c, 1, limits.items)) for c in UPDATE_LISTS if c in there}
+    if "error_message" in there:
+        changes["error_message"] = rules.safe_text(F.col("error_message"))
+    kept, omitted = cap_ids(F.col("sample_ids"), limits.items) if "sample_ids" in there else (None, F.lit(None).cast("int"))
+    if kept is not None:
+        changes["sample_ids"] = kept
+    if "attributes" in there:
+        changes["attributes"] = safe_attributes(F.col("attributes"), omitted)
+    elif kept is not None:
+        changes["attributes"] = safe_attributes(F.lit(None).cast("string"), omitted)
+    return updates.withColumns(changes)
+
+
 # -- compact results -------------------------------------------------------------------------
 
 def compact(column: Column, kind: T.DataType) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.cluster import WIDE_ROWS, broadcast_if_small, settle
@@ -234,6 +234,20 @@ def glue_texts(chunks: DataFrame) -> DataFrame:
         F.regexp_replace(k, r"(?U)^\s+|\s+$", "").alias(k) for k in ("reasoning", "answer")])
 
 
+def glue_neighbours(pieces: DataFrame) -> DataFrame:
+    """Pieces of answers (trace_id, seq, kind, content, deltas) with those that follow one another joined.
+
+    A piece holds ``deltas`` deltas from ``seq`` on. Pieces are joined inside ranges of ``CHUNK`` numbers,
+    so that no window holds more; usage is left as it is.
+    """
+    chunk = Window.partitionBy("trace_id", "kind", F.expr(f"seq div {CHUNK}")).orderBy("seq")
+    follows = F.coalesce((F.lag(F.col("seq") + F.col("deltas")).over(chunk) == F.col("seq")) & (F.col("kind") != "usage"), F.lit(False))
+    islands = pieces.withColumn("_new", (~follows).cast("int")).withColumn("_island", F.sum("_new").over(chunk))
+    return islands.groupBy("trace_id", "kind", F.expr(f"seq div {CHUNK}").alias("_part"), "_island").agg(
+        F.min("seq").alias("seq"), _glue(F.struct("seq", F.coalesce("content", F.lit("")).alias("text"))).alias("content"),
+        F.sum("deltas").alias("deltas")).select("trace_id", "seq", "kind", "content", "deltas")
+
+
 def answer_assembly(deltas: DataFrame) -> DataFrame:
     """Reasoning and answer text of each trace from ordered deltas, and its last usage.
 
@@ -375,43 +389,95 @@ def trace_finalise(runs: DataFrame) -> DataFrame:
 
 # -- life cycle --------------------------------------------------------------------------------
 
-def life_aggregates() -> list[Column]:
-    """First start and first finish of one span; both small, so they combine before a shuffle."""
-    start = F.col("phase") == "started"
-    return [
-        F.min(F.when(start, F.struct("occurred_at", "parent_span_id", "name", "span_kind")))
-        .alias("_start"),
-        F.min(F.when(~start, F.struct("occurred_at", "phase", "error_code"))).alias("_end")]
-
-
-def life_rows(folded: DataFrame) -> DataFrame:
-    """Span rows from folded events; a span without a finish is still running."""
-    began, ended = F.col("_start.occurred_at"), F.col("_end.occurred_at")
-    return folded.filter("_start is not null").select(
-        "trace_id", "span_id", F.col("_start.parent_span_id").alias("parent_span_id"),
-        F.col("_start.name").alias("name"), F.col("_start.span_kind").alias("span_kind"),
-        F.coalesce("_end.phase", F.lit("running")).alias("status"),
+#: What is known of a span, one row for each thing: its start, its end, a field, or a key of a map field.
+ENTRY = ("trace_id string, span_id string, field string, key string, "
+         "kept struct<at: struct<occurred_at: timestamp, event_no: bigint>, value: array<string>>")
+START, END = "<start>", "<end>"
+
+
+def entry_rows(events: DataFrame, values: tuple[str, ...] = (), maps: tuple[str, ...] = ()) -> DataFrame:
+    """What each event tells, as ``ENTRY`` rows.
+
+    ``events`` holds trace_id, span_id, parent_span_id, phase (started, updated, completed, failed),
+    occurred_at, name, span_kind and error_code, and may hold error_message, the fields ``values`` and
+    the string maps ``maps``. ``event_no``, if there is one, orders events of one instant. A failure tells its error only.
+    """
+    has = lambda name: F.col(name) if name in events.columns else F.lit(None)
+    phase, message = F.col("phase"), safe_text(has("error_message").cast("string"))
+
+    def told(field: str, *value: Column, key: Column = F.lit("")) -> Column:
+        return F.struct(F.lit(field).alias("field"), key.alias("key"), F.array(*[v.cast("string") for v in value]).alias("value"))
+
+    name = F.regexp_replace("name", r"(?U)^\s+|\s+$", "")
+    single = [F.when(phase == "started", told(START, F.col("parent_span_id"), name, F.col("span_kind"))),
+              F.when(phase.isin("completed", "failed"), told(END, phase, F.col("error_code"), message)),
+              F.when((phase == "updated") & F.col("error_code").isNotNull(), told("error_code", F.col("error_code"))),
+              F.when((phase == "updated") & message.isNotNull(), told("error_message", message))]
+    single += [F.when((phase != "failed") & F.col(v).isNotNull(), told(v, F.col(v))) for v in values]
+
+    def keyed(field: str) -> Column:
+        pairs = F.map_entries(F.when(phase != "failed", F.col(field)))
+        return F.coalesce(F.transform(pairs, lambda e: told(field, e["value"], key=e["key"])), F.array())
+
+    every = F.concat(F.filter(F.array(*single), lambda e: e.isNotNull()), *map(keyed, maps))
+    at = F.struct(F.col("occurred_at"), F.coalesce(has("event_no").cast("long"), F.lit(0).cast("long")).alias("event_no"))
+    return events.select("trace_id", "span_id", at.alias("_at"), F.inline(every)).select(
+        "trace_id", "span_id", "field", "key", F.struct(F.col("_at").alias("at"), "value").alias("kept"))
+
+
+def folded_entries(entries: DataFrame) -> DataFrame:
+    """The first start and end, and the last value of all else; folds of folds are folds."""
+    life = F.col("field").isin(START, END)
+    return entries.groupBy("trace_id", "span_id", "field", "key").agg(
+        F.when(life, F.min("kept")).otherwise(F.max("kept")).alias("kept"))
+
+
+def span_rows(folded: DataFrame, values: dict[str, str] | None = None, maps: tuple[str, ...] = ()) -> DataFrame:
+    """One row per started span; one without an end is still running.
+
+    The error is that of the failure, or of a later update.
+    """
+    values = values or {}
+    of = lambda field: F.max(F.when(F.col("field") == field, F.col("kept")))
+    pairs = lambda field: F.collect_list(F.when(
+        F.col("field") == field, F.struct("key", F.col("kept.value")[0].alias("value"))))
+    named = {"_start": START, "_end": END, "_code": "error_code", "_message": "error_message"}
+    rows = folded.groupBy("trace_id", "span_id").agg(
+        *[of(field).alias(name) for name, field in named.items()], *[of(v).alias(f"_value_{v}") for v in values],
+        *[pairs(m).alias(f"_map_{m}") for m in maps])
+    began, ended = F.col("_start.at.occurred_at"), F.col("_end.at.occurred_at")
+
+    def error(update: str, place: int) -> Column:
+        own = F.col("_end.value")[place]
+        later = F.col(f"{update}.at") > F.col("_end.at")
+        return F.when(later | own.isNull(), F.coalesce(F.col(f"{update}.value")[0], own)).otherwise(own)
+
+    return rows.filter("_start is not null").select(
+        "trace_id", "span_id", F.col("_start.value")[0].alias("parent_span_id"), F.col("_start.value")[1].alias("name"),
+        F.col("_start.value")[2].alias("span_kind"), F.coalesce(F.col("_end.value")[0], F.lit("running")).alias("status"),
         began.alias("started_at"), ended.alias("ended_at"),
         F.when(ended.isNotNull(), millis_between(began, ended)).alias("duration_ms"),
-        F.col("_end.error_code").alias("error_code"))
+        error("_code", 1).alias("error_code"), error("_message", 2).alias("error_message"),
+        *[F.col(f"_value_{v}.value")[0].cast(kind).alias(v) for v, kind in values.items()],
+        *[F.map_from_entries(f"_map_{m}").alias(m) for m in maps])
 
 
-def span_fold(events: DataFrame) -> DataFrame:
-    """Span rows from started / completed / failed events; the stream folds the same way.
+def span_fold(events: DataFrame, values: dict[str, str] | None = None, maps: tuple[str, ...] = ()) -> DataFrame:
+    """Span rows from started / updated / completed / failed events; the stream folds the same way.
 
-    ``events`` holds trace_id, span_id, parent_span_id, phase, occurred_at, name, span_kind and
-    error_code.  The first start opens a span; its first finish closes it.
+    The first start opens a span and its first end closes it. Details are merged from all events, also
+    those after the end: the last value of each of ``values`` (name and type), and of each key of ``maps``.
     """
-    return life_rows(events.groupBy("trace_id", "span_id").agg(*life_aggregates()))
+    return span_rows(folded_entries(entry_rows(events, tuple(values or ()), maps)), values, maps)
 
 
 def fold_violations(events: DataFrame) -> DataFrame:
-    """Finishes without a start, repeated starts or finishes, and parents not open in time."""
-    start = F.col("phase") == "started"
+    """Finishes and updates without a start, repeated starts or finishes, and parents not open in time."""
+    start, end = F.col("phase") == "started", F.col("phase").isin("completed", "failed")
     counts = events.groupBy("trace_id", "span_id").agg(
-        F.count_if(start).alias("starts"), F.count_if(~start).alias("ends"),
+        F.count_if(start).alias("starts"), F.count_if(end).alias("ends"),
         F.min(F.when(start, F.col("occurred_at"))).alias("opened"),
-        F.min(F.when(~start, F.col("occurred_at"))).alias("closed"),
+        F.min(F.when(end, F.col("occurred_at"))).alias("closed"),
         F.min_by("parent_span_id", F.when(start, F.col("occurred_at"))).alias("parent_span_id"))
     broken = F.filter(F.array(
         F.when(F.col("starts") == 0, F.lit("missing_start")),

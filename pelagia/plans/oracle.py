@@ -268,6 +268,24 @@ STAT = """par, depth_bathy, lyapunov_exp, temperature, chla, backscattering, dep
 ROUNDED = "sample_id, taxon_read_count, sample_total_read_count, round(relative_abundance, 9) as relative_abundance"
 DIVERSE = "sample_id, analysis_read_count, observed_asv_richness, round(shannon_index, 9) as shannon_index"
 
+SPAN_DETAILS = sql("life", """
+    select trace_id, span_id, case when done is null then 'running' else final end as status,
+      case when event_id % 5 = 0 and (done is null or done < began + interval 2 day or final = 'completed') then 'Late'
+        when done is not null then code end as error_code,
+      case when done is not null and final = 'failed' then 'api_key=[REDACTED]' end as error_message,
+      case when event_id % 2 = 0 then 'late' else 'early' end as tool_name, 100 + event_id % 3 as input_tokens,
+      concat('both=late,early=', event_id, ',first=', case when done is null or final = 'failed' then name else '-' end, ',phase=-')
+        as attributes
+    from life""")
+SAFE_UPDATES = """
+    select event_id, '[REDACTED]' as password, event_id as n, concat('secret=[REDACTED] in ', event_id) as error_message,
+      (select string_agg(concat('S', event_id + i), ',' order by i) from range(1, 101) r(i) where i <= 90 + event_id % 30) as ids,
+      least(100, 95 + event_id % 11) as sources, '[REDACTED]' as token, least(100, 95 + event_id % 11) as last_source,
+      case when event_id % 4 = 0 then '{},{},{"value":[1]}' end as refs,
+      case when event_id % 30 > 10 then event_id % 30 - 10 when event_id % 2 = 0 then 0 end as omitted,
+      case when event_id % 2 = 0 then '[REDACTED]' end as api_key, case when event_id % 2 = 0 then event_id end as step
+    from events"""
+
 ORACLE = {
     "scan_typed_tsv": sql("context", f"select {GENERAL} from context"),
     "header_contract": sql("width", f"""select source, true as present, column_count, samples as sample_column_count,
@@ -619,6 +637,8 @@ ORACLE = {
     "sanitize_stream": f"""select conv_id, turn, '[REDACTED]' as authorization, '[REDACTED]' as api_key,
         {REDACTED} as message, turn as max_tokens, '[REDACTED]' as session_token,
         case when conv_id % 1000 > 10 then conv_id % 1000 - 10 end as omitted from conversations""",
+    "sanitize_update": SAFE_UPDATES,
+    "sanitize_update_stream": SAFE_UPDATES,
     "cap_sample_ids": """select event_id, (select string_agg(concat('S', event_id + i), ',' order by i)
           from range(1, 101) r(i) where i <= 90 + event_id % 30) as kept_ids,
         case when event_id % 30 > 10 then event_id % 30 - 10 end as omitted from events""",
@@ -645,7 +665,9 @@ ORACLE = {
         from traces"""),
     "span_fold": sql("life", """select trace_id, span_id, parent_span_id, name, span_kind,
         case when done is null then 'running' else final end as status, began as started_at, done as ended_at,
-        life_ms as duration_ms, case when done is not null then code end as error_code from life"""),
+        life_ms as duration_ms, case when done is not null then code end as error_code,
+        cast(null as varchar) as error_message from life"""),
+    "span_details": SPAN_DETAILS,
     "fold_violations": sql("life", """
         select trace_id, span_id, 'missing_start' as violation from life where event_id % 37 = 0 and done is not null
         union all select trace_id, span_id, 'duplicate_start' from life where event_id % 31 = 0 and event_id % 37 <> 0
@@ -657,7 +679,9 @@ ORACLE = {
         where c.event_id % 37 <> 0 and c.parent_span_id is not null and p.span_id is null"""),
     "span_stream": sql("life", """select trace_id, span_id, parent_span_id, name, span_kind,
         case when done is null then 'running' else final end as status, began as started_at, done as ended_at,
-        life_ms as duration_ms, case when done is not null then code end as error_code from life"""),
+        life_ms as duration_ms, case when done is not null then code end as error_code,
+        cast(null as varchar) as error_message from life"""),
+    "span_detail_stream": SPAN_DETAILS,
     "span_sequence": sql("life", """select trace_id, span_id,
         row_number() over (partition by trace_id order by began, span_id) - 1 as sequence_no from life"""),
     "answer_stream": f"""

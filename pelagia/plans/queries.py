@@ -690,6 +690,39 @@ def sanitize_stream(b):
     return payload_fields(safe)
 
 
+def told_updates(events: DataFrame) -> DataFrame:
+    """Updates with more ids, sources and references than are stored, and secrets in all of them."""
+    return events.selectExpr(
+        "event_id", "concat('{\"password\":\"', event_type, '\",\"n\":', event_id, '}') as input_data",
+        "concat('secret=', event_type, ' in ', event_id) as error_message",
+        "transform(sequence(1, cast(90 + event_id % 30 as int)), i -> concat('S', event_id + i)) as sample_ids",
+        "transform(sequence(1, cast(95 + event_id % 11 as int)), i -> concat('{\"token\":\"', i, '\",\"at\":', i, '}')) as data_sources",
+        "if(event_id % 4 = 0, array(null, 'null', '[1]'), null) as artifact_refs",
+        "if(event_id % 2 = 0, concat('{\"apiKey\":1,\"step\":', event_id, ',\"sample_ids_omitted\":0}'), null) as attributes")
+
+
+def update_fields(safe: DataFrame) -> DataFrame:
+    at = lambda column, path: F.get_json_object(column, path)
+    return safe.select(
+        "event_id", at("input_data", "$.password").alias("password"), at("input_data", "$.n").cast("long").alias("n"), "error_message",
+        F.array_join("sample_ids", ",").alias("ids"), F.size("data_sources").cast("long").alias("sources"),
+        at(F.element_at("data_sources", -1), "$.token").alias("token"), at(F.element_at("data_sources", -1), "$.at").cast("long").alias("last_source"),
+        F.array_join("artifact_refs", ",").alias("refs"), at("attributes", "$.sample_ids_omitted").cast("long").alias("omitted"),
+        at("attributes", "$.apiKey").alias("api_key"), at("attributes", "$.step").cast("long").alias("step"))
+
+
+@query
+def sanitize_update(b):
+    return update_fields(redaction.sanitize_updates(told_updates(b.raw("events"))))
+
+
+@query
+def sanitize_update_stream(b):
+    """The same rows, made safe on their way into storage."""
+    source = streams.event_stream(b.spark, b.folder, "events.parquet", LIFE_SCHEMA)
+    return update_fields(streams.run_available(streams.safe_updates(told_updates(source)), "sanitize-updates"))
+
+
 @query
 def cap_sample_ids(b):
     asked = b.raw("events").selectExpr(
@@ -764,6 +797,32 @@ def life_events(frame: DataFrame) -> DataFrame:
     return events.filter("phase = 'started' or event_id % 29 <> 0").drop("event_id")
 
 
+DETAIL_VALUES, DETAIL_MAPS = {"tool_name": "string", "input_tokens": "long"}, ("attributes",)
+
+
+def detailed_events(frame: DataFrame) -> DataFrame:
+    """Life events with details, and for each span two updates: one while it runs, one long after its end."""
+    life = life_events(frame).selectExpr(
+        "*", "if(phase = 'failed', concat('api_key=', span_id), null) as error_message", "cast(null as string) as tool_name",
+        "if(phase = 'started', cast(span_id as long) % 7, null) as input_tokens",
+        "if(phase = 'failed', null, map('phase', phase, 'first', if(phase = 'started', name, null))) as attributes")
+    updates = life_events(frame).filter("phase = 'started'").selectExpr(
+        "trace_id", "span_id", "parent_span_id", "name", "span_kind", """inline(array(
+            named_struct('phase', 'updated', 'occurred_at', occurred_at, 'error_code', cast(null as string), 'error_message', cast(null as string),
+                         'tool_name', 'early', 'input_tokens', cast(null as long), 'attributes', map('early', span_id, 'both', 'early')),
+            named_struct('phase', 'updated', 'occurred_at', occurred_at + interval 2 day, 'error_code', if(cast(span_id as long) % 5 = 0, 'Late', null),
+                         'error_message', cast(null as string), 'tool_name', if(cast(span_id as long) % 2 = 0, 'late', null),
+                         'input_tokens', 100 + cast(span_id as long) % 3, 'attributes', map('both', 'late', 'phase', null))))""")
+    return life.unionByName(updates).withColumn("event_no", F.expr("if(phase = 'updated', 1, 0)"))
+
+
+def detail_columns(spans: DataFrame) -> DataFrame:
+    told = F.array_sort(F.map_entries("attributes"))
+    text = F.transform(told, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))))
+    return spans.select("trace_id", "span_id", "status", "error_code", "error_message", "tool_name", "input_tokens",
+                        F.array_join(text, ",").alias("attributes"))
+
+
 def plain_times(frame: DataFrame) -> DataFrame:
     return frame.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
 
@@ -773,6 +832,12 @@ def span_fold(b):
     return plain_times(traces.span_fold(life_events(b.raw("events"))))
 
 
+@query
+def span_details(b):
+    """Updates while a span runs and after its end, merged field by field and key by key."""
+    return detail_columns(traces.span_fold(detailed_events(b.raw("events")), DETAIL_VALUES, DETAIL_MAPS))
+
+
 @query
 def fold_violations(b):
     doubled = life_events(b.raw("events"))
@@ -796,9 +861,18 @@ def in_batches(b, table, schema, key, parts=3):
 @query
 def span_stream(b):
     path = scratch_path(b.spark, "span-stream")
-    log = streams.span_log(path)
+    log = streams.SpanLog(path)
     log.run(life_events(in_batches(b, "events", LIFE_SCHEMA, "event_id")), f"{path}-progress")
-    return plain_times(streams.folded_spans(log, b.spark))
+    return plain_times(log.spans(b.spark))
+
+
+@query
+def span_detail_stream(b):
+    """The same rows as ``span_details``, from updates that come batches apart."""
+    path = scratch_path(b.spark, "span-details")
+    log = streams.SpanLog(path, DETAIL_VALUES, DETAIL_MAPS)
+    log.run(detailed_events(in_batches(b, "events", LIFE_SCHEMA, "event_id")), f"{path}-progress")
+    return detail_columns(log.spans(b.spark))
 
 
 @query
@@ -819,6 +893,6 @@ def answer_stream(b):
         "case role when 'assistant' then 'answer' when 'system' then 'usage' else 'reasoning' end as kind",
         "concat(' ', text) as content")
     path = scratch_path(b.spark, "answer-stream")
-    log = streams.answer_log(path)
+    log = streams.AnswerLog(path)
     log.run(deltas, f"{path}-progress")
-    return streams.answers(log, b.spark)
+    return log.answers(b.spark)

@@ -1,14 +1,16 @@
 """Structured Streaming over span life-cycle events and answer deltas.
 
-A span or an answer may stay open for any time, so nothing here depends on a watermark. Each
-micro-batch combines its own events and writes them under its batch id; a repeated batch writes
-the same folder again. Readers fold what the batches left, with the batch operators, so that open
-spans are there as running and an answer is there as far as it came.
+A span or an answer may stay open for any time, so nothing here depends on a watermark or a
+time-out. What must be known from earlier batches is the state of a streaming aggregation, kept by
+Spark's state store beside the query's checkpoint: a batch looks up and changes the keys that it
+touches, and leaves their new values in a level log. Folds by least and greatest agree in any order,
+so that readers see open spans as running and answers as far as they came.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pelagia.cluster import scratch_path, settle
 from pelagia.operators.ordering import numbered
-from pelagia.operators.redaction import sanitize_payloads
-from pelagia.operators.traces import answer_assembly, life_aggregates, life_rows
-from pelagia.sources.storage import children, exists, remove
+from pelagia.operators.redaction import sanitize_payloads, sanitize_updates
+from pelagia.operators.traces import (ENTRY, answer_assembly, entry_rows, folded_entries, glue_neighbours,
+                                      span_rows)
+from pelagia.streaming.log import LevelLog
 
-# Batches whose folders are merged into one.
-MERGED = 32
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, folder: str, file_name: str, schema, files: int | None = None) -> DataFrame:
@@ -32,85 +35,134 @@ def event_stream(spark: SparkSession, folder: str, file_name: str, schema, files
     return reader.parquet(folder)
 
 
-class BatchLog:
-    """What each micro-batch left, as ``rows/batch=<id>``, written once more if a batch is repeated."""
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """New queries keep their state in RocksDB, beyond the heap, unless the session names a provider."""
+    if spark.conf.get(PROVIDER, "").rsplit(".", 1)[-1] not in ("", "HDFSBackedStateStoreProvider"):
+        yield
+        return
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def take_in(frame: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run what the stream holds now through ``each`` and return the finished query."""
+    with state_on_disk(frame.sparkSession):
+        query = (frame.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
 
-    def __init__(self, path: str, schema: str, made: Callable[[DataFrame], DataFrame],
-                 merged: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        self.path, self.schema, self.made, self.merged = path, schema, made, merged
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.made(batch).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
-        if self.merged and batch_id and batch_id % MERGED == 0:
-            self._merge(batch.sparkSession, batch_id)
+# -- spans -------------------------------------------------------------------------------------
 
-    def _merge(self, spark: SparkSession, before: int) -> None:
-        """One folder for all batches before this one; the folders it stands for go afterwards."""
-        settle(self.merged(self.read(spark, before))).write.mode("overwrite").parquet(f"{self.path}/merged/before={before}")
-        for name in ("rows/batch", "merged/before"):
-            for number in self._numbers(spark, name):
-                if number < before:
-                    remove(spark, f"{self.path}/{name}={number}")
+class SpanLog:
+    """Takes in life-cycle events; what belongs to one span may be any number of batches apart.
 
-    def _numbers(self, spark: SparkSession, name: str) -> list[int]:
-        folder, key = f"{self.path}/{name}".rsplit("/", 1)
-        if not exists(spark, folder):
-            return []
-        return sorted(int(f.name.partition("=")[2]) for f in children(spark, folder) if f.name.startswith(f"{key}="))
+    The state holds one value for each thing that is known of a span (its start, its end, a field, a key
+    of a map), so that the details of an update merge key by key whenever it comes.
+    """
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """What the batches (those before ``before``) left."""
-        base = max((n for n in self._numbers(spark, "merged/before") if before is None or n <= before), default=0)
-        paths = [f"{self.path}/rows/batch={n}" for n in self._numbers(spark, "rows/batch")
-                 if n >= base and (before is None or n < before)]
-        if base:
-            paths.append(f"{self.path}/merged/before={base}")
-        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+    def __init__(self, path: str, values: dict[str, str] | None = None, maps: tuple[str, ...] = ()) -> None:
+        self.values, self.maps = values or {}, maps
+        self.log = LevelLog(path, ENTRY, folded_entries)
 
-    def run(self, frame: DataFrame, checkpoint: str) -> None:
-        """Take in what the stream holds now."""
-        (frame.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start().awaitTermination())
+    def run(self, events: DataFrame, checkpoint: str) -> StreamingQuery:
+        folded = folded_entries(entry_rows(events, tuple(self.values), self.maps))
+        return take_in(folded, self.log, checkpoint, "update")
 
+    def spans(self, spark: SparkSession) -> DataFrame:
+        """Every span seen so far, running ones too; the same rows as ``span_fold`` over all events."""
+        return span_rows(folded_entries(self.log.read(spark)), self.values, self.maps)
 
-PARTIAL = ("trace_id string, span_id string, "
-           "_start struct<occurred_at:timestamp,parent_span_id:string,name:string,span_kind:string>, "
-           "_end struct<occurred_at:timestamp,phase:string,error_code:string>")
 
+# -- numbers -----------------------------------------------------------------------------------
 
-def _merge_lives(partial: DataFrame) -> DataFrame:
-    """The first start and the first finish of each span over several folds."""
-    return partial.groupBy("trace_id", "span_id").agg(F.min("_start").alias("_start"), F.min("_end").alias("_end"))
+NUMBERED = "trace_id string, span_id string, occurred_at timestamp, sequence_no long"
 
 
-def span_log(path: str) -> BatchLog:
-    """Takes in life-cycle events; a span's start and finish may be any number of batches apart."""
-    return BatchLog(path, PARTIAL, lambda events: events.groupBy("trace_id", "span_id").agg(*life_aggregates()), _merge_lives)
+class SequenceLog:
+    """Numbers the spans of each trace 0, 1, 2, ... across micro-batches, in start order.
 
+    The state is the number of starts of each trace, an aggregation that combines before its shuffle. A batch
+    gets the new counts of its own traces beside its rows, places its rows among themselves
+    (``ordering.numbered``, which cuts a large trace into slices), and shifts them.
+    """
 
-def folded_spans(log: BatchLog, spark: SparkSession) -> DataFrame:
-    """Every span seen so far, running ones too; the same rows as ``span_fold`` over all events."""
-    return life_rows(_merge_lives(log.read(spark)))
+    def __init__(self, path: str) -> None:
+        self.log = LevelLog(path, NUMBERED)
+
+    def _placed(self, batch: DataFrame, batch_id: int) -> None:
+        rows = settle(batch)  # the batch's plan holds the state; it runs once
+        placed = settle(numbered(rows.filter("total is null").drop("total"), ["trace_id"], ["occurred_at", "span_id"], "sequence_no"))
+        here = placed.groupBy("trace_id").agg(F.count("*").alias("_here"))
+        totals = rows.filter("total is not null").select("trace_id", "total").join(here, "trace_id")
+        before = totals.select("trace_id", (F.col("total") - F.col("_here")).alias("_before")).filter("_before > 0")
+        shifted = placed.join(before, "trace_id", "left").withColumn("sequence_no", F.col("sequence_no") + F.coalesce("_before", F.lit(0)))
+        self.log(shifted.select("trace_id", "span_id", "occurred_at", "sequence_no"), batch_id)
+
+    def run(self, starts: DataFrame, checkpoint: str) -> StreamingQuery:
+        rows = starts.select("trace_id", "span_id", "occurred_at", F.lit(None).cast("long").alias("total"))
+        totals = starts.groupBy("trace_id").agg(F.count("*").alias("total")).select(
+            "trace_id", F.lit(None).cast("string").alias("span_id"), F.lit(None).cast("timestamp").alias("occurred_at"), "total")
+        return take_in(rows.unionByName(totals), self._placed, checkpoint, "update")
 
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return self.log.read(spark)
+
+
+def number_available(starts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Number what the stream of starts holds now and read the rows back."""
+    log = SequenceLog(path)
+    log.run(starts, checkpoint)
+    return log.rows(starts.sparkSession)
+
+
+# -- answers -----------------------------------------------------------------------------------
+
+DELTA = "trace_id string, seq long, kind string, content string, deltas long"
+
+
+class AnswerLog:
+    """Takes in answer deltas as they come; their order is that of ``seq``, not of arrival.
+
+    Where segments are joined, texts whose deltas follow one another become one, so that a delta is copied
+    about log2(batches) times and reading joins few pieces.
+    """
 
-DELTA = "trace_id string, seq long, kind string, content string"
+    def __init__(self, path: str) -> None:
+        self.log = LevelLog(path, DELTA, glue_neighbours)
 
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
+        self.log(glue_neighbours(batch), batch_id)
 
-def answer_log(path: str) -> BatchLog:
-    """Takes in answer deltas as they come; their order is that of ``seq``, not of arrival."""
-    return BatchLog(path, DELTA, lambda deltas: deltas.select("trace_id", "seq", "kind", "content"))
+    def run(self, deltas: DataFrame, checkpoint: str) -> StreamingQuery:
+        return take_in(deltas.select("trace_id", "seq", "kind", "content", F.lit(1).cast("long").alias("deltas")), self._take, checkpoint)
 
+    def answers(self, spark: SparkSession) -> DataFrame:
+        """Reasoning, answer and last usage of every trace, as far as its deltas came."""
+        return answer_assembly(self.log.read(spark))
 
-def answers(log: BatchLog, spark: SparkSession) -> DataFrame:
-    """Reasoning, answer and last usage of every trace, as far as its deltas came."""
-    return answer_assembly(log.read(spark))
 
+# -- safe forms --------------------------------------------------------------------------------
 
 def safe_stream(events: DataFrame, columns: list[str]) -> DataFrame:
     """JSON payload columns in their safe form, before anything is stored."""
     return sanitize_payloads(events, columns)
 
 
+def safe_updates(events: DataFrame) -> DataFrame:
+    """Updates of spans in their safe form: payloads, error text, id lists and lists of references."""
+    return sanitize_updates(events)
+
+
 def write_parquet(frame: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (frame.writeStream.outputMode("append").format("parquet")
             .option("path", path).option("checkpointLocation", checkpoint)
@@ -124,42 +176,3 @@ def run_available(frame: DataFrame, label: str) -> DataFrame:
     query = write_parquet(frame, path, f"{path}-progress")
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(path)
-
-
-class SequenceAssigner:
-    """Numbers the spans of each trace 0, 1, 2, ... across micro-batches, in start order.
-
-    A batch reads how many spans its own traces had in earlier batches and adds its counts under
-    its batch id. Counts are never dropped, only merged, so that a trace goes on after any silence.
-    """
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self.counts = BatchLog(f"{path}/counts", "trace_id string, n long", self._counted, self._counted)
-
-    @staticmethod
-    def _counted(rows: DataFrame) -> DataFrame:
-        n = F.sum("n") if "n" in rows.columns else F.count("*")
-        return rows.groupBy("trace_id").agg(n.alias("n"))
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        placed = settle(numbered(batch, ["trace_id"], ["occurred_at", "span_id"], "sequence_no"))
-        earlier = self.counts.read(batch.sparkSession, batch_id).join(
-            placed.select("trace_id").distinct(), "trace_id", "left_semi")
-        known = self._counted(earlier).withColumnRenamed("n", "_before")
-        shifted = placed.join(known, "trace_id", "left").withColumn(
-            "sequence_no", F.col("sequence_no") + F.coalesce("_before", F.lit(0))).drop("_before")
-        shifted.write.mode("overwrite").parquet(f"{self.path}/spans/batch={batch_id}")
-        self.counts(placed, batch_id)
-
-    def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/spans").drop("batch")
-
-
-def number_available(starts: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Number what the stream of starts holds now and read the rows back."""
-    assigner = SequenceAssigner(path)
-    query = (starts.writeStream.foreachBatch(assigner).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return assigner.rows(starts.sparkSession)
