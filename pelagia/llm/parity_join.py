@@ -288,43 +288,61 @@ def cut_by_prefix(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> D
     return cut.join(again.select("key", "m"), "key").withColumn("n", F.col("m")).drop("m")
 
 
+def first_common(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each row of ``others`` the place of the first pair of keys, one of each half, that it shares with ``one`` place by place."""
+    half = len(one) // 2
+    same = others == one
+    return same[:, :half].argmax(axis=1) * half + same[:, half:].argmax(axis=1)
+
+
 def cross_pairs(members: DataFrame, labels: DataFrame, vertices: DataFrame, texts: DataFrame, n: int, percent: int, wide: int = WIDE) -> DataFrame:
-    """Pairs of one block but two labels that sizes and folded sketches allow."""
+    """Pairs of one block but two labels that sizes and folded sketches allow.
+
+    Where ``members`` tell the ``place`` of their keys among all pairs of the two halves of ``vertices.short``, a
+    pair of classes comes from the first such place alone, although it meets in many blocks.
+    """
+    placed = "place" in members.columns
+    if not placed:
+        members, vertices = members.withColumn("place", F.lit(-1)), vertices.withColumn("short", F.lit(None).cast("array<long>"))
     named = stored(labelled(members, labels), "named-members")
     by_label = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     blocks = by_label.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.min("label").alias("low"), F.max("label").alias("high"),
                                          F.sum("n").alias("n"), F.max("n").alias("most"))
-    open_ = stored(named.join(blocks.where("low != high").select("key", "main", "n", "most"), "key").select("key", "a", "label", "main", "n", "most"), "open-members")
+    open_ = stored(named.join(blocks.where("low != high").select("key", "main", "n", "most"), "key").select("key", "place", "a", "label", "main", "n", "most"), "open-members")
     too_wide = open_.where(F.col("n") - F.col("most") > wide)
     if not too_wide.isEmpty():
-        cut = stored(cut_by_prefix(too_wide, texts, n, percent), "cut-blocks")
+        cut = stored(cut_by_prefix(too_wide, texts, n, percent).withColumn("place", F.lit(-1)), "cut-blocks")
         open_ = open_.where(F.col("n") - F.col("most") <= wide).unionByName(cut)
-    open_ = open_.drop("most").join(vertices.select("a", "size", "fold"), "a")
+    open_ = open_.drop("most").join(vertices.select("a", "size", "fold", "short"), "a")
     group = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / CHUNK)).cast("int")
     chunks = open_.groupBy("key", (F.col("label") != F.col("main")).alias("query"), group.alias("chunk")) \
-        .agg(F.collect_list(F.struct("a", "label", "size", "fold")).alias("rows"))  # about CHUNK rows by the choice of group
+        .agg(F.first("place").alias("place"), F.collect_list(F.struct("a", "label", "size", "fold", "short")).alias("rows"))  # about CHUNK rows by the choice of group
     chunks = stored(chunks, "chunks")
-    left = chunks.where("query").select("key", F.col("chunk").alias("i"), F.col("rows").alias("left"))
+    left = chunks.where("query").select("key", "place", F.col("chunk").alias("i"), F.col("rows").alias("left"))
     right = chunks.select("key", "query", F.col("chunk").alias("j"), F.col("rows").alias("right"))
     met = left.join(right, "key").where("not query or i <= j")
 
     @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
-    def passing(left: pa.Array, right: pa.Array) -> pa.Array:
+    def passing(place: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for i in range(len(left)):
+        for i, at in enumerate(place.to_pylist()):
             x, y = left[i].values, right[i].values
             a, b = x.field("a").to_numpy(), y.field("a").to_numpy()
             la, lb = x.field("label").to_numpy(), y.field("label").to_numpy()
             sa, sb = x.field("size").to_numpy(), y.field("size").to_numpy()
             fa, fb = fold_rows(x.field("fold")), fold_rows(y.field("fold"))
+            if at >= 0:
+                xs, ys = (rows.field("short").flatten().to_numpy().reshape(len(rows), -1) for rows in (x, y))
             found = []
             for r in range(len(a)):
                 ok = (lb != la[r]) & sizes_and_folds_allow(sa[r], fa[r], sb, fb, percent)[0]
+                if at >= 0 and ok.any():
+                    ok[ok] = first_common(xs[r], ys[ok]) == at
                 found += [{"a": min(int(a[r]), z), "b": max(int(a[r]), z)} for z in b[ok].tolist()]
             out.append(found)
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
-    return met.select(F.explode(passing("left", "right")).alias("pair")).select("pair.a", "pair.b").distinct()
+    return met.select(F.explode(passing("place", "left", "right")).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def set_classes(docs: DataFrame, n: int, keys_of: Callable[[list[np.ndarray]], list[np.ndarray]]) -> tuple[DataFrame, DataFrame, int]:
@@ -347,12 +365,16 @@ def shared_keys(keys: DataFrame, label: str) -> DataFrame:
 
 
 def with_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """The rows of ``rows`` with n_shingles and component_id; ``members`` are the classes by shared join key."""
+    """The rows of ``rows`` with n_shingles and component_id; ``members`` are the classes by shared join key.
+
+    ``members`` may have the place of their keys (``cross_pairs``); the keys of ``rows`` are then those of the two halves.
+    """
+    placed = ["place"] if "place" in members.columns else []
     share = members.groupBy("a").agg(F.count("*").alias("hits"))
-    sketches = rows.groupBy("a").agg(F.min("size").alias("size"), F.min("fold").alias("fold"), F.min(F.size("keys")).alias("blocks"))
+    sketches = rows.groupBy("a").agg(F.min("size").alias("size"), F.min("fold").alias("fold"), F.min(F.size("keys")).alias("blocks"), *[F.min("keys").alias("short") for _ in placed])
     vertices = stored(sketches.join(small_side(share, 24), "a").join(classes.select("a", "first"), "a")
-                      .select("a", "first", "size", "fold", (F.col("hits") / F.col("blocks")).alias("share")), "vertices")
-    members = stored(members.join(vertices.select("a", "share"), "a").select("key", "a", "share"), "members")
+                      .select("a", "first", "size", "fold", *["short" for _ in placed], (F.col("hits") / F.col("blocks")).alias("share")), "vertices")
+    members = stored(members.join(vertices.select("a", "share"), "a").select("key", *placed, "a", "share"), "members")
     texts = stored(texts_for(docs, vertices, n, seed).join(small_side(vertices.select("a"), 16), "a", "left_semi"), "texts")
 
     links = labels = None
