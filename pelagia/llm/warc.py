@@ -93,6 +93,8 @@ class Gap:
     reason: str
 
 
+#: Bytes that are inflated at a time.
+PIECE = 1 << 14
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"(?<![^\n])WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
@@ -132,16 +134,19 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int] | str:
 
 def parse_member(data: bytes, at: int) -> tuple[list[Record | Gap], int] | str:
     """The records of the gzip member at a place and where it ends, or what is wrong with it."""
-    unpack = zlib.decompressobj(31)
+    unpack, view, end, plain = zlib.decompressobj(31), memoryview(data), at, []
     try:
-        plain = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and end < len(data):  # what follows the member is looked at in pieces, not as a whole
+            piece = view[end:end + PIECE]
+            plain.append(unpack.decompress(piece))
+            end += len(piece)
     except zlib.error:
         return "damaged member"
     if not unpack.eof:
         return "member cut short"
-    end = len(data) - len(unpack.unused_data)
+    end -= len(unpack.unused_data)
     found: list[Record | Gap] = []
-    for item in salvage(plain, members=False):
+    for item in salvage(b"".join(plain), members=False):
         if isinstance(item, Gap):
             found.append(Gap(at, end, f"in member: {item.reason}"))
         else:

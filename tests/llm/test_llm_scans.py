@@ -263,3 +263,28 @@ def test_odd_pages(spark, least):
     assert kinds == {1: ("revisit", 2, 9), 2: ("response", None, 9), None: ("revisit", 2, 9), 3: short, 4: ("response", None, 0), 5: ("response", None, len(rows[5][2].encode())), 6: ("response", None, 300_000)}
     assert bytes(found[5].payload).decode() == rows[5][2]
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_gzip_members_take_linear_time():
+    """Twice the members take about twice as long, damage included."""
+    import random
+    import time
+
+    def archive(n):
+        block = [random.Random(i).randbytes(6000) for i in range(n)]
+        head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 6000\r\n\r\n"
+        data = bytearray(b"".join(gzip.compress(head + b + b"\r\n\r\n", 1) for b in block))
+        data[len(data) // 2] ^= 255
+        return bytes(data)
+
+    def seconds(n):
+        data, best = archive(n), 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            found = list(warc.salvage(data))
+            best = min(best, time.perf_counter() - start)
+        assert sum(isinstance(f, warc.Record) for f in found) == n - 1
+        return best
+
+    small, large = seconds(1000), seconds(8000)
+    assert large < 24 * small and large < 5
