@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after a count proved that it holds no more rows than this.
 BROADCAST_ROWS = 1_000_000
-# The bound for rows that carry texts such as sequences, questions or error messages.
-WIDE_ROWS = 100_000
+# The same in bytes, for rows that carry texts such as sequences, questions or error messages.
+BROADCAST_BYTES = 64 << 20
+# What a broadcast row takes besides its texts.
+ROW_BYTES = 64
 
 
 def local_session(app: str = "pelagia", cores: int | str = "*", shuffle_partitions: int = 8,
@@ -77,6 +79,13 @@ def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(frame) if fits_broadcast(frame, rows) else frame
 
 
+def broadcast_if_light(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The same for rows with texts, whose bytes are added up in one aggregation."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in frame.schema.fields]
+    size = frame.agg(F.sum(sum(texts, F.lit(ROW_BYTES)).cast("long")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(frame) if size <= limit else frame
+
+
 def in_parallel(spark: SparkSession, *jobs: Callable[[], Any]) -> list:
     """Run independent Spark jobs side by side; the first failure in list order is raised."""
     inherit = inheritable_thread_target(spark)

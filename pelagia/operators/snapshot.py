@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.sources.storage import total_size
 from pelagia.sources.store import Artifact, Manifest
 
 
+def row_mark(columns: list[str]) -> Column:
+    """60 bits of the MD5 of a row's values, each as its length and text, or ``-`` for null; SQL engines can compute it."""
+    texts = [F.col(f"`{c}`").cast("string") for c in sorted(columns)]
+    whole = F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts], F.lit(""))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def content_fingerprint(frame: DataFrame) -> DataFrame:
     """Row count, hash sum and hash xor: equal for equal rows, whatever their order or files."""
-    columns = sorted(frame.columns)
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    mark = row_mark(frame.columns)
     return frame.agg(F.count("*").alias("row_count"),
                      F.sum(mark.cast("decimal(28,0)")).alias("hash_sum"),
                      F.bit_xor(mark).alias("hash_xor"))

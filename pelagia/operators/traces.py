@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.cluster import WIDE_ROWS, broadcast_if_small, settle
+from pelagia.cluster import broadcast_if_light, broadcast_if_small, settle
 from pelagia.contracts import SPAN_KINDS
 from pelagia.functions.text import millis_between, safe_text
 from pelagia.operators.ordering import lookup, numbered, page, page_summary
@@ -120,15 +121,16 @@ def trace_detail(traces: DataFrame, sessions: DataFrame, spans: DataFrame, user_
         spans = spans.filter(F.col("trace_id") == F.lit(trace_id))
     head = own.select("trace_id", F.col("status").alias("trace_status"),
                       question_of().alias("question"))
-    return spans.join(broadcast_if_small(head, WIDE_ROWS), "trace_id")
+    return spans.join(broadcast_if_light(head), "trace_id")
 
 
 def trace_tree(spans: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Depth and root of every span below a root; a null or unknown parent makes a root.
+    """Depth, root and reading order of every span below a root; a null or unknown parent makes a root.
 
     Ancestors are found by doubling: each round a span jumps to its ancestor's ancestor, so
     a depth of d takes about log2(d) joins.  Spans on or below a cycle have no root and are
-    left out.
+    left out. ``position`` numbers a trace's spans from 0 as they are read, parents before their children and siblings by
+    ``sequence_no``; a span's subtree is the range from its ``position`` to its ``last``.
     """
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     nodes = spans.select("trace_id", "span_id", "parent_span_id", "sequence_no")
@@ -136,25 +138,69 @@ def trace_tree(spans: DataFrame, hot_rows: int | None = None) -> DataFrame:
                          F.col("parent_span_id").isNotNull().alias("_higher"))
     linked = lookup(nodes, known, [("trace_id", "_t"), ("parent_span_id", "_s")], **extra)
     found = F.col("_s").isNotNull()
-    state = settle(linked.select(
+    first = settle(linked.select(
         "trace_id", "span_id", F.col("_s").alias("parent_span_id"), "sequence_no",
         F.coalesce("_s", "span_id").alias("root_span_id"),
         F.when(found, 1).otherwise(0).cast("long").alias("depth"),
         (found & F.coalesce("_higher", F.lit(False))).alias("open")))
-    rounds = math.ceil(math.log2(state.count() + 1)) + 1
+    # Rows that reached their root are kept aside and written once; only the others go on.
+    closed, waiting = [first.filter("not open")], first.filter("open")
+    rounds = math.ceil(math.log2(first.count() + 1)) + 1
     for _ in range(rounds):
-        if state.filter("open").isEmpty():
+        if waiting.isEmpty():
             break
-        jumps = state.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"),
-                             F.col("root_span_id").alias("_r"), F.col("depth").alias("_d"),
-                             F.col("open").alias("_o"))
-        waiting = state.filter("open")
-        moved = lookup(waiting, jumps, [("trace_id", "_t"), ("root_span_id", "_s")], **extra).select(
+        ends = [r.select("trace_id", "span_id", "root_span_id", "depth", "open") for r in (*closed, waiting)]
+        jumps = reduce(DataFrame.unionByName, ends).select(
+            F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("root_span_id").alias("_r"),
+            F.col("depth").alias("_d"), F.col("open").alias("_o"))
+        moved = settle(lookup(waiting, jumps, [("trace_id", "_t"), ("root_span_id", "_s")], **extra).select(
             "trace_id", "span_id", "parent_span_id", "sequence_no",
             F.col("_r").alias("root_span_id"), (F.col("depth") + F.col("_d")).alias("depth"),
-            F.col("_o").alias("open"))
-        state = settle(state.filter("not open").unionByName(moved))
-    return state.filter("not open").drop("open")
+            F.col("_o").alias("open")))
+        closed.append(moved.filter("not open"))
+        waiting = moved.filter("open")
+    return reading_order(reduce(DataFrame.unionByName, closed).drop("open"), hot_rows)
+
+
+def reading_order(tree: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``tree`` with ``position`` and ``last``, by ranking each trace's tour in distributed rounds.
+
+    A tour enters every span, goes through its children, and leaves it. Each stop knows the next one and how many
+    spans are entered up to it; jumping to the next one's next doubles the reach, so a trace of n spans takes about
+    log2(2 n) rounds. What has reached the end is kept aside.
+    """
+    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
+    own = tree.select("trace_id", "span_id", "parent_span_id", "sequence_no")
+    placed = settle(numbered(own, ["trace_id", "parent_span_id"], ["sequence_no", "span_id"], "_place", **extra))
+    # The span at each place below a parent; roots stand below none.
+    at = placed.select(F.col("trace_id").alias("_t"), F.coalesce("parent_span_id", F.lit("")).alias("_p"),
+                       F.col("parent_span_id").isNull().alias("_top"), F.col("_place").alias("_n"), F.col("span_id").alias("_to"))
+    top = F.col("parent_span_id").isNull()
+    child = placed.join(at, [F.col("trace_id") == F.col("_t"), ~F.col("_top"), F.col("span_id") == F.col("_p"), F.col("_n") == 0], "left")
+    enters = child.select("trace_id", "span_id", F.lit(False).alias("leaves"), F.coalesce("_to", "span_id").alias("next"),
+                          F.col("_to").isNull().alias("next_leaves"), F.lit(1).cast("long").alias("entered"))
+    sibling = placed.join(at, [F.col("trace_id") == F.col("_t"), top == F.col("_top"), F.coalesce("parent_span_id", F.lit("")) == F.col("_p"),
+                               F.col("_place") + 1 == F.col("_n")], "left")
+    leaves = sibling.select("trace_id", "span_id", F.lit(True).alias("leaves"), F.coalesce("_to", "parent_span_id").alias("next"),
+                            F.col("_to").isNull().alias("next_leaves"), F.lit(0).cast("long").alias("entered"))
+    first = settle(enters.unionByName(leaves))
+    done, waiting = [first.filter("next is null")], first.filter("next is not null")
+    for _ in range(math.ceil(math.log2(first.count() + 1)) + 1):
+        if waiting.isEmpty():
+            break
+        jumps = reduce(DataFrame.unionByName, [*done, waiting]).select(
+            F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("leaves").alias("_l"),
+            F.col("next").alias("_next"), F.col("next_leaves").alias("_next_leaves"), F.col("entered").alias("_entered"))
+        moved = settle(waiting.join(jumps, [F.col("trace_id") == F.col("_t"), F.col("next") == F.col("_s"), F.col("next_leaves") == F.col("_l")]).select(
+            "trace_id", "span_id", "leaves", F.col("_next").alias("next"), F.col("_next_leaves").alias("next_leaves"),
+            (F.col("entered") + F.col("_entered")).alias("entered")))
+        done.append(moved.filter("next is null"))
+        waiting = moved.filter("next is not null")
+    after = reduce(DataFrame.unionByName, done).groupBy("trace_id", "span_id").agg(
+        F.max(F.when(~F.col("leaves"), F.col("entered"))).alias("_from"), F.max(F.when(F.col("leaves"), F.col("entered"))).alias("_behind"))
+    total = own.groupBy("trace_id").agg(F.count("*").alias("_all"))
+    return tree.join(after, ["trace_id", "span_id"]).join(total, "trace_id").select(
+        *tree.columns, (F.col("_all") - F.col("_from")).alias("position"), (F.col("_all") - F.col("_behind") - 1).alias("last"))
 
 
 def running_span(spans: DataFrame) -> DataFrame:
@@ -178,38 +224,39 @@ def trace_overview(traces: DataFrame, spans: DataFrame) -> DataFrame:
     The understanding is the response's tool summary, else what the first model span that has
     a rationale or summary says.
     """
-    tools = spans.filter("span_kind = 'tool' or tool_name is not null")
-    nothing = F.lit(None).cast("string")
-
-    def entries(frame, kind, span=nothing, key=nothing, value=nothing):
-        return frame.select("trace_id", F.lit(kind).alias("entry"), span.alias("span_id"),
-                            key.alias("key"), value.alias("value"))
-
-    files = tools.select("trace_id", F.explode("source_files").alias("file"))
-    if "source_files" in traces.columns:
-        files = files.unionByName(traces.select("trace_id", F.explode("source_files").alias("file")))
-    sources = entries(files.filter("file <> ''").distinct(), "source", value=F.col("file"))
-    used = tools.select("trace_id", "span_id", F.explode("filters").alias("k", "v"))
-    stated = traces.select("trace_id", F.explode(F.from_json(
-        F.get_json_object("output_data", "$.result.metadata.provenance.filters"),
-        "map<string,string>")).alias("k", "v"))
-    stated = stated.join(used.select("trace_id").distinct(), "trace_id", "left_anti").withColumn(
-        "span_id", F.col("trace_id"))
-    filters = entries(used.unionByName(stated), "filter", F.col("span_id"), F.col("k"), F.col("v"))
-    methods = tools.select("trace_id", F.col("tool_name").alias("m")).unionByName(
-        traces.select("trace_id", F.get_json_object("output_data", "$.tool.name").alias("m")))
-    methods = entries(methods.filter("m <> ''").distinct(), "method", value=F.col("m"))
-    answers = traces.select("trace_id", _said("$.answer").alias("a"))
-    conclusion = entries(answers.filter("a is not null"), "conclusion", value=F.col("a"))
-    models = spans.filter("span_kind = 'llm'").select(
-        "trace_id", "sequence_no", F.coalesce(_said("$.rationale"), _said("$.summary")).alias("m"))
-    first = models.filter("m is not null").groupBy("trace_id").agg(
-        F.min_by("m", "sequence_no").alias("m"))
-    stated = traces.select("trace_id", _said("$.tool.summary").alias("s"))
-    meant = stated.join(first, "trace_id", "left").withColumn("u", F.coalesce("s", "m"))
-    understanding = entries(meant.filter("u is not null"), "understanding", value=F.col("u"))
-    return (sources.unionByName(filters).unionByName(methods).unionByName(conclusion)
-            .unionByName(understanding))
+    tool = F.coalesce((F.col("span_kind") == "tool") | F.col("tool_name").isNotNull(), F.lit(False))
+    said = F.when(F.col("span_kind") == "llm", F.coalesce(_said("$.rationale"), _said("$.summary")))
+    of_spans = spans.withColumn("_said", said).groupBy("trace_id").agg(
+        F.max(tool & (F.coalesce(F.size("filters"), F.lit(0)) > 0)).alias("_used"),
+        F.expr("min_by(_said, sequence_no) filter (where _said is not null)").alias("_meant"))
+
+    def entry(kind: str, value: Column, key: Column | None = None, span: Column | None = None) -> Column:
+        nothing = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("entry"), (nothing if span is None else span).alias("span_id"),
+                        (nothing if key is None else key).alias("key"), value.alias("value"))
+
+    def filters_of(filters: Column, span: str) -> Column:
+        return F.transform(F.map_entries(filters), lambda e: entry("filter", e["value"], e["key"], F.col(span)))
+
+    def listed(*parts: Column) -> Column:
+        return F.concat(*[F.coalesce(p, F.array()) for p in parts])
+
+    def files_of(frame: DataFrame) -> Column:
+        files = F.col("source_files") if "source_files" in frame.columns else F.array().cast("array<string>")
+        return F.transform(F.filter(files, lambda f: f != ""), lambda f: entry("source", f))
+
+    def one(kind: str, value: Column) -> Column:
+        return F.when(value != "", F.array(entry(kind, value)))
+
+    from_spans = spans.filter(tool).select("trace_id", F.inline(listed(
+        files_of(spans), filters_of(F.col("filters"), "span_id"), one("method", F.col("tool_name")))))
+    stated = F.from_json(F.get_json_object("output_data", "$.result.metadata.provenance.filters"), "map<string,string>")
+    known = traces.join(of_spans, "trace_id", "left")
+    from_traces = known.select("trace_id", F.inline(listed(
+        files_of(traces), F.when(~F.coalesce("_used", F.lit(False)), filters_of(stated, "trace_id")),
+        one("method", F.get_json_object("output_data", "$.tool.name")), one("conclusion", _said("$.answer")),
+        one("understanding", F.coalesce(_said("$.tool.summary"), F.col("_meant"))))))
+    return from_spans.unionByName(from_traces).distinct()
 
 
 def _glue(value: Column) -> Column:
@@ -319,7 +366,7 @@ def close_open_spans(spans: DataFrame, failures: DataFrame) -> DataFrame:
     """
     ends = failures.select("trace_id", "failed_at", F.col("error_code").alias("_code"),
                            safe_text(F.col("error_message")).alias("_message"))
-    rows = spans.join(broadcast_if_small(ends, WIDE_ROWS), "trace_id", "left")
+    rows = spans.join(broadcast_if_light(ends), "trace_id", "left")
     hit = (F.col("status") == "running") & F.col("failed_at").isNotNull()
     changes = {
         "status": F.lit("failed"), "ended_at": F.col("failed_at"),

@@ -20,9 +20,13 @@ class Analysis:
     def __init__(self, tables) -> None:
         self.tables = tables
 
-    def _marker(self, marker: str):
+    def _marker(self, marker: str, query=None):
+        """Counts, metadata and samples; a taxon is looked up in the tables' index, where they have one."""
         t = self.tables
-        return t.cells(marker), t.metadata(marker), t.marker_samples(marker)
+        metadata, index = t.metadata(marker), getattr(t, "taxon_index", lambda: None)()
+        if index is not None and query is not None:
+            metadata = index.narrowed(metadata, marker, query.taxon, query.match_mode)
+        return t.cells(marker), metadata, t.marker_samples(marker)
 
     def find_samples(self, **request) -> Answer:
         return find_samples(self.tables.context(), SampleSearch.of(request))
@@ -39,12 +43,12 @@ class Analysis:
 
     def find_taxa(self, **request) -> Answer:
         query = TaxaSearch.of(request)
-        cells, metadata, samples = self._marker(query.marker)
+        cells, metadata, samples = self._marker(query.marker, query)
         return find_taxa(metadata, cells, samples, query)
 
     def taxon_abundance(self, **request) -> Answer:
         query = AbundanceRequest.of(request)
-        return abundance_answer(*self._marker(query.marker), self.tables.context(), query)
+        return abundance_answer(*self._marker(query.marker, query), self.tables.context(), query)
 
     def diversity_analysis(self, **request) -> Answer:
         query = DiversityRequest.of(request)

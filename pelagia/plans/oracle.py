@@ -415,6 +415,21 @@ ORACLE = {
         cast(sample_column_count as integer) as sample_column_count from {STORED}"""),
     "dataset_status": sql("width", f"""select source, filename, true as ready, row_count, column_count,
         cast(samples as bigint) as sample_column_count from {SOURCES}"""),
+    "content_fingerprint": sql("cells", """
+        select count(*) as row_count, cast(sum(mark) as decimal(38,0)) as hash_sum, bit_xor(mark) as hash_xor
+        from (select ('0x' || substr(md5(concat(length(amplicon), ':', amplicon, length(marker), ':', marker,
+                length(cast(reads as varchar)), ':', reads, length(sample_id), ':', sample_id)), 1, 15))::bigint as mark
+              from cells)"""),
+    "taxon_lookup": sql("wide", """
+        , named as (select lower(concat('Root;Eukaryota;', p_type, ';', p_brand, ';', p_name)) as path, coalesce(total, 0) as total
+            from part left join (select amplicon, sum(reads) as total from wide where marker = 'v4' group by 1) t
+              on amplicon = md5(cast(p_partkey as varchar)))
+        select taxon, mode, count(path) as variants, cast(coalesce(sum(total), 0) as bigint) as reads
+        from (values ('Root', 'level'), ('PROMO BRUSHED TIN', 'level'), ('Brand#13', 'level'), ('nothing', 'level'), ('econ', 'contains'),
+                ('brushed tin;brand#1', 'contains'), ('t;', 'contains'), ('xyzzy', 'contains')) q(taxon, mode)
+          left join named on case when mode = 'level' then list_contains(string_split(path, ';'), lower(taxon))
+            else contains(path, lower(taxon)) end
+        group by 1, 2"""),
     "read_lineage": sql("wide", """
         select 'marker data' as read, artifact, row_count, 9 as column_count, 'ECONOMY' as taxonomy_contains
         from (select count(*) as row_count from wide join part on md5(cast(p_partkey as varchar)) = amplicon
@@ -562,10 +577,15 @@ ORACLE = {
                            where user_id = 0) t using (trace_id)"""),
     "trace_tree": sql("spans", """
         , tree as (select trace_id, span_id, parent_span_id, sequence_no, span_id as root_span_id,
-              cast(0 as bigint) as depth from spans where parent_span_id is null
-            union all select c.trace_id, c.span_id, c.parent_span_id, c.sequence_no, p.root_span_id, p.depth + 1
-            from spans c join tree p on c.trace_id = p.trace_id and c.parent_span_id = p.span_id)
-        select * from tree""").replace("with ", "with recursive ", 1),
+              cast(0 as bigint) as depth, [sequence_no] as path from spans where parent_span_id is null
+            union all select c.trace_id, c.span_id, c.parent_span_id, c.sequence_no, p.root_span_id, p.depth + 1,
+              list_append(p.path, c.sequence_no)
+            from spans c join tree p on c.trace_id = p.trace_id and c.parent_span_id = p.span_id),
+          placed as (select *, row_number() over (partition by trace_id order by path) - 1 as position from tree)
+        select a.trace_id, a.span_id, any_value(a.parent_span_id) as parent_span_id, any_value(a.sequence_no) as sequence_no,
+          any_value(a.root_span_id) as root_span_id, any_value(a.depth) as depth, any_value(a.position) as position, max(d.position) as last
+        from placed a join placed d on a.trace_id = d.trace_id and list_slice(d.path, 1, len(a.path)) = a.path
+        group by 1, 2""").replace("with ", "with recursive ", 1),
     "running_span": sql("spans", """select trace_id, max_by(span_id, sequence_no) as span_id,
         max(sequence_no) as sequence_no from spans where status = 'running' group by 1"""),
     "trace_overview": sql("spans traces", """

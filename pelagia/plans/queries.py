@@ -100,23 +100,24 @@ def artifact_integrity(b):
     return b.store().integrity().select("artifact", "present", "size_matches")
 
 
+def first_samples(marker_samples: DataFrame, n: int = 8) -> list[str]:
+    """The first samples in header order."""
+    return [r.sample_id for r in page(marker_samples, ["ordinal"], 0, n).select("sample_id").collect()]
+
+
+def taxon_sums(cells: DataFrame, metadata: DataFrame, ids: list[str], name: str) -> DataFrame:
+    """Reads of one taxon in a few samples, whose ids reach the scan; one row for each of them."""
+    hits = taxa.matching_cells(cells.filter(F.col("sample_id").isin(ids)),
+                               metadata.filter(F.contains("taxonomy", F.lit("ECONOMY"))), "ECONOMY", "contains")
+    sums = hits.groupBy("sample_id").agg(F.sum("reads").alias(name))
+    asked = cells.sparkSession.createDataFrame([(i,) for i in ids], "sample_id string")
+    return asked.join(sums, "sample_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 @query
 def benchmark_taxon_sums(b):
     """Reads of one taxon in the first eight samples in header order."""
-    first = page(b.marker_samples("v4"), ["ordinal"], 0, 8)
-    chosen = F.broadcast(first.select("sample_id"))
-    hits = taxa.matching_cells(b.cells("v4").join(chosen, "sample_id", "left_semi"),
-                               b.metadata("v4").filter(F.contains("taxonomy", F.lit("ECONOMY"))),
-                               "ECONOMY", "contains")
-    sums = hits.groupBy("sample_id").agg(F.sum("reads").alias("found"))
-    return first.join(sums, "sample_id", "left").select(
-        "sample_id", F.coalesce("found", F.lit(0)).alias("reads"))
-
-
-def taxon_sums(cells: DataFrame, metadata: DataFrame, name: str) -> DataFrame:
-    hits = taxa.matching_cells(cells, metadata.filter(F.contains("taxonomy", F.lit("ECONOMY"))),
-                               "ECONOMY", "contains")
-    return hits.groupBy("sample_id").agg(F.sum("reads").alias(name))
+    return taxon_sums(b.cells("v4"), b.metadata("v4"), first_samples(b.marker_samples("v4")), "reads")
 
 
 @query
@@ -124,12 +125,24 @@ def benchmark_raw_and_stored(b):
     """The same sums from the raw text and from the published tables, side by side."""
     published = b.store()
     matrix = read_wide(b.spark, f"{b.tsv_folder()}/{SOURCES['18s_v4'][0]}", "v4")
-    raw = taxon_sums(matrix.cells(), matrix.metadata(), "raw_reads")
-    stored = taxon_sums(published.cells("v4"), published.metadata("v4"), "stored_reads")
-    chosen = page(published.marker_samples("v4"), ["ordinal"], 0, 8).select("sample_id")
-    return chosen.join(raw, "sample_id", "left").join(stored, "sample_id", "left").select(
-        "sample_id", F.coalesce("raw_reads", F.lit(0)).alias("raw_reads"),
-        F.coalesce("stored_reads", F.lit(0)).alias("stored_reads"))
+    raw = matrix.sample_sums(F.contains("taxonomy", F.lit("ECONOMY")), range(min(8, len(matrix.samples))))
+    stored = taxon_sums(published.cells("v4"), published.metadata("v4"), first_samples(published.marker_samples("v4")), "stored_reads")
+    return stored.join(raw.withColumnRenamed("reads", "raw_reads"), "sample_id").select("sample_id", "raw_reads", "stored_reads")
+
+
+LOOKED_UP = (("Root", "level"), ("PROMO BRUSHED TIN", "level"), ("Brand#13", "level"), ("nothing", "level"), ("econ", "contains"),
+             ("brushed tin;brand#1", "contains"), ("t;", "contains"), ("xyzzy", "contains"))
+
+
+@query
+def taxon_lookup(b):
+    """Variants and reads of some taxa, found through the published index."""
+    index, rows = b.store().taxon_index(), None
+    for taxon, mode in LOOKED_UP:
+        row = index.variants("v4", taxon, mode).agg(F.count("*").alias("variants"), F.coalesce(F.sum("total"), F.lit(0)).alias("reads")) \
+            .select(F.lit(taxon).alias("taxon"), F.lit(mode).alias("mode"), "variants", "reads")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
 
 
 # -- checks and reports ----------------------------------------------------------------------------
@@ -297,10 +310,10 @@ def dataset_status(b):
 def read_lineage(b):
     published = b.store()
     read = store.marker_data(published.metadata("v4"), published.cells("v4"), "ECONOMY")
-    rows = published.lineage("marker data", ["metadata", "abundance"], read.count(),
-                             len(read.columns), {"taxonomy_contains": "ECONOMY"})
-    return rows.selectExpr("read", "artifact", "row_count", "column_count",
-                           "filters['taxonomy_contains'] as taxonomy_contains")
+    observed = published.observed("marker data", read, ["metadata", "abundance"], {"taxonomy_contains": "ECONOMY"})
+    observed.frame.write.format("noop").mode("overwrite").save()  # stands for whatever uses the rows
+    return observed.lineage().selectExpr("read", "artifact", "row_count", "column_count",
+                                         "filters['taxonomy_contains'] as taxonomy_contains")
 
 
 # -- samples -----------------------------------------------------------------------------------------

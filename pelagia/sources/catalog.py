@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.contracts import METADATA_COLUMNS, SAMPLE_PREFIX, SOURCES
@@ -23,6 +22,11 @@ def _same_form(path: str):
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def _plain(path: str) -> str:
+    """The same for a path that the driver has, which may lack its scheme."""
+    return "file:/" + path.removeprefix("file:").lstrip("/") if path.startswith(("/", "file:")) else path
+
+
 def files_of(spark: SparkSession, folder: str) -> DataFrame:
     """source, file, size_bytes of every file with content that belongs to a source; contents aren't read."""
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -36,19 +40,11 @@ def header_lines(spark: SparkSession, folder: str) -> DataFrame:
     names = [spec[0] for spec in SOURCES.values()]
     lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(
         "_metadata.file_path", "_metadata.file_block_start", "value")
-    mine = lines.where(F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, names))))
-
-    def first_of_each(batches):
-        last = None
-        for batch in batches:  # a task's files come one after another
-            for path, start, value in zip(*(batch.column(i) for i in range(3))):
-                if path.as_py() != last:
-                    last = path.as_py()
-                    if start.as_py() == 0:
-                        yield pa.RecordBatch.from_pydict({"file": [last], "header": [value.as_py()]})
-
-    found = mine.mapInArrow(first_of_each, "file string, header string")
-    return found.select(_same_form("file").alias("file"), F.regexp_replace("header", f"^{BOM}", "").alias("header"))
+    mine = lines.where((F.col("file_block_start") == 0) & F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, names))))
+    # Lines come in order inside a task, and a file's first block is in one; what is shuffled is one line per task and file.
+    found = mine.withColumn("_at", F.monotonically_increasing_id()).groupBy(_same_form("file_path").alias("file")).agg(
+        F.min_by("value", "_at").alias("header"))
+    return found.select("file", F.regexp_replace("header", f"^{BOM}", "").alias("header"))
 
 
 def header_contract(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,23 +82,51 @@ def header_contract(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce((F.col("least") > 0) & (F.col("column_count") > 0) & (faults == 0), F.lit(False)).alias("ready"))
 
 
-def source_fingerprint(spark: SparkSession, path: str, source: str,
-                       line_hashes: DataFrame | None = None) -> DataFrame:
+def line_marks(line_hash: Column) -> list[Column]:
+    """What files add up to: their lines, and the sum and xor of the lines' hashes."""
+    return [F.count("*").alias("lines"),
+            F.coalesce(F.sum(line_hash.cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")).alias("all_sum"),
+            F.coalesce(F.bit_xor(line_hash), F.lit(0).cast("long")).alias("all_xor")]
+
+
+MARKS = "lines long, all_sum decimal(38,0), all_xor long"
+FILE_MARKS = "source string, file string, size_bytes long, modified_ms long, " + MARKS
+
+
+def text_hash(value: str) -> Column:
+    return F.xxhash64(F.regexp_replace(value, f"^{BOM}", ""))
+
+
+def file_marks(spark: SparkSession, path: str, source: str, known: DataFrame | None = None) -> DataFrame:
+    """One row per file of a source (``FILE_MARKS``); those that ``known`` has with the same size and time aren't read again."""
+    listed = spark.createDataFrame([(source, _plain(f.path), f.size, f.modified_ms) for f in data_files(spark, path)],
+                                   "source string, file string, size_bytes long, modified_ms long")
+    keys = listed.columns
+    kept = listed.limit(0).join(spark.createDataFrame([], MARKS)) if known is None else listed.join(known, keys, "left_semi").join(known, keys)
+    new = [r.file for r in listed.join(kept, keys, "left_anti").collect()]  # a listing, which the driver holds anyway
+    if not new:
+        return kept
+    lines = spark.read.text(new).select(_same_form("_metadata.file_path").alias("file"), "value").filter("value <> ''")
+    read = lines.groupBy("file").agg(*line_marks(text_hash("value")))
+    found = listed.filter(F.col("file").isin(new)).join(read, "file", "left").fillna(0, ["lines", "all_xor"]) \
+        .withColumn("all_sum", F.coalesce("all_sum", F.lit(0).cast("decimal(38,0)")))
+    return found.select(*keys, "lines", "all_sum", "all_xor").unionByName(kept.select(*keys, "lines", "all_sum", "all_xor"))
+
+
+def source_fingerprint(spark: SparkSession, path: str, source: str, marks: DataFrame | None = None) -> DataFrame:
     """One row: bytes, data rows, columns, and a hash over the header and all data lines.
 
     Equal data has an equal hash at every size, in any order, and in any number of files.
-    ``line_hashes`` (column ``line_hash``) saves a scan where the lines were parsed already.
+    ``marks`` holds rows of ``line_marks`` that add up to the source, such as those of its files; without it the lines are read.
     """
     files = data_files(spark, path)
     header = header_line(spark, files[0].path)
-    if line_hashes is None:
-        line_hashes = spark.read.text(path).filter("value <> ''").select(
-            F.xxhash64(F.regexp_replace("value", f"^{BOM}", "")).alias("line_hash"))
+    if marks is None:
+        marks = spark.read.text(path).filter("value <> ''").select(text_hash("value").alias("line_hash")).agg(*line_marks(F.col("line_hash")))
     of_header = F.xxhash64(F.lit(header))
-    lines = line_hashes.agg(
-        F.count("*").alias("lines"),
-        F.coalesce(F.sum(F.col("line_hash").cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")).alias("all_sum"),
-        F.coalesce(F.bit_xor("line_hash"), F.lit(0).cast("long")).alias("all_xor"))
+    lines = marks.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"),
+                      F.coalesce(F.sum("all_sum"), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").alias("all_sum"),
+                      F.coalesce(F.bit_xor("all_xor"), F.lit(0).cast("long")).alias("all_xor"))
     # Every file repeats the header, which counts once in the identity.
     rows = F.greatest(F.col("lines") - len(files), F.lit(0))
     hash_sum = F.col("all_sum") - of_header.cast("decimal(28,0)") * len(files)

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelagia.cluster import WIDE_ROWS, broadcast_if_small
+from pelagia.cluster import broadcast_if_light, broadcast_if_small
 from pelagia.contracts import MARKERS, ContractError, id_frame
 from pelagia.operators.ordering import page
 from pelagia.operators.quality import require_unique
 from pelagia.sources.storage import data_files, exists, read_text
+from pelagia.sources.taxon_index import TABLES as TAXON_TABLES
+from pelagia.sources.taxon_index import TaxonIndex
 
 MANIFEST = "manifest.json"
 UNKNOWN_SHOWN = 5
@@ -123,6 +126,18 @@ class Store:
     def marker_samples(self, marker: str | None = None) -> DataFrame:
         return of_marker(self.scan("marker_samples"), marker)
 
+    def taxon_index(self) -> TaxonIndex | None:
+        """The lookup tables for taxa; older generations have none."""
+        folder = self._inside(self.generation, "taxon_index")
+        return TaxonIndex(self.spark, folder) if exists(self.spark, f"{folder}/{TAXON_TABLES[-1]}/_SUCCESS") else None
+
+    def observed(self, name: str, frame: DataFrame, artifacts: list[str],
+                 filters: dict[str, str] | None = None) -> "ObservedRead":
+        """A read that counts its own rows while it is used, whatever it is used for."""
+        seen = Observation()
+        counted = frame.observe(seen, F.count(F.lit(1)).alias("row_count"))
+        return ObservedRead(counted, lambda: self.lineage(name, artifacts, seen.get["row_count"], len(frame.columns), filters))
+
     def lineage(self, name: str, artifacts: list[str], rows: int, columns: int,
                 filters: dict[str, str] | None = None) -> DataFrame:
         """One row per artifact that a named read used."""
@@ -132,6 +147,14 @@ class Store:
               a.fingerprint, rows, columns, filters or {}) for a in picked], LINEAGE_SCHEMA)
 
 
+@dataclass(frozen=True)
+class ObservedRead:
+    """``frame`` to be read whole once; then ``lineage()`` has a row per artifact, without another job."""
+
+    frame: DataFrame
+    lineage: Callable[[], DataFrame]
+
+
 LINEAGE_SCHEMA = T.StructType([
     T.StructField("read", T.StringType()), T.StructField("artifact", T.StringType()),
     T.StructField("generation", T.StringType()), T.StructField("pipeline_version", T.StringType()),
@@ -205,4 +228,4 @@ def marker_data(metadata: DataFrame, cells: DataFrame, taxonomy_contains: str |
     if sample_ids is not None:
         cells = (of_samples(cells, sample_ids) if marker_samples is None
                  else abundance_slice(cells, marker_samples, sample_ids))
-    return cells.join(broadcast_if_small(metadata, WIDE_ROWS), ["marker", "amplicon"])
+    return cells.join(broadcast_if_light(metadata), ["marker", "amplicon"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,10 +61,15 @@ class WideMatrix:
     samples: tuple[str, ...]
     parsed: DataFrame
 
-    def stored(self, path: str) -> "WideMatrix":
-        """Write the parsed lines and go on from there: the text is split only once."""
-        self.parsed.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return replace(self, parsed=self.parsed.sparkSession.read.parquet(path))
+    def stored(self, path: str, *also: Column) -> "tuple[WideMatrix, dict]":
+        """Write the parsed lines and go on from there: the text is split only once.
+
+        The faults, and what else is to be counted, are observed on the way.
+        """
+        seen = Observation()
+        rows = self.parsed.observe(seen, *self.fault_counts(), *also)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return replace(self, parsed=self.parsed.sparkSession.read.parquet(path)), seen.get
 
     def rows(self) -> DataFrame:
         return self.parsed.filter("not is_header")
@@ -79,8 +84,15 @@ class WideMatrix:
     def metadata(self) -> DataFrame:
         return self.rows().select("marker", *METADATA_COLUMNS)
 
-    def row_faults(self) -> DataFrame:
-        """One row: lines that break the format, and rows whose counts do not fit their totals.
+    def sample_sums(self, condition: Column, places: range) -> DataFrame:
+        """Reads of some samples, by their places in the header, over the lines that fit: one scan, and one row to shuffle from each task."""
+        sums = self.rows().filter(condition).agg(*[F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)).alias(f"_{i}") for i in places])
+        pairs = [F.struct(F.lit(self.samples[i]).alias("sample_id"), F.col(f"_{i}").alias("reads")) for i in places]
+        return sums.select(F.inline(F.array(*pairs)))
+
+    @staticmethod
+    def fault_counts() -> list[Column]:
+        """Lines that break the format, and rows whose counts do not fit their totals.
 
         Everything is computed inside the row, before any count is exploded or shuffled.
         """
@@ -88,14 +100,18 @@ class WideMatrix:
         total = F.aggregate(filled, F.lit(0).cast("long"), lambda a, c: a + c)
         spread = F.size(F.filter(filled, lambda c: c > 0))
         data = ~F.col("is_header")
-        return self.parsed.agg(
+        return [
             F.count_if("is_header").alias("header_lines"),
             F.count_if(data & F.exists("counts", lambda c: c.isNull()))
             .alias("rows_with_missing_counts"),
             F.coalesce(F.sum("malformed_cells"), F.lit(0)).alias("malformed_cells"),
             F.count_if(F.col("extra_fields") > 0).alias("rows_with_extra_fields"),
             F.count_if(data & (F.col("total") != total)).alias("total_mismatches"),
-            F.count_if(data & (F.col("spread") != spread)).alias("spread_mismatches"))
+            F.count_if(data & (F.col("spread") != spread)).alias("spread_mismatches")]
+
+    def row_faults(self) -> DataFrame:
+        """One row of ``fault_counts``."""
+        return self.parsed.agg(*self.fault_counts())
 
     def cells(self) -> DataFrame:
         """Positive counts in long form.

@@ -246,3 +246,62 @@ def test_bars_rank_nulls_as_zero_and_drop_them(spark):
     first = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("c", None)],
                                   "sample_id string, shannon_index double")
     assert [r.x for r in diversity_bars(first).collect()] == ["a", "b"]
+
+
+# -- taxon index ---------------------------------------------------------------------------------
+
+TAXA = [("Dinoflagellata", "level"), ("DINOFLAGELLATA", "level"), ("Dino", "level"), ("", "level"), ("dino", "contains"), ("a;d", "contains"),
+        ("la", "contains"), ("", "contains"), ("aaaa", "contains"), ("absent", "level"), ("absent", "contains"), ("é", "contains"), ("group 7;", "contains")]
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    from pelagia.sources import taxon_index
+    paths = [f"Root;Eukaryota;Group {i % 40};Kind {i % 7};Line {i}" for i in range(400)]
+    paths += ["Root;Dinoflagellata;X", "Root;dinoflagellata", "Dinoflagellata", " Dinoflagellata;a", None, "", "aaa;aaaaa", "Ébène;a;da", "ab"]
+    rows = [(m, f"{m}{i:04d}", p, "100", i, 1, "ACGT") for m in ("v4", "v9") for i, p in enumerate(paths)]
+    metadata = spark.createDataFrame(rows, "marker string, amplicon string, taxonomy string, confidence string, total long, spread long, sequence string")
+    folder = str(tmp_path_factory.mktemp("index"))
+    taxon_index.build(metadata, folder, 16)
+    return metadata, taxon_index.TaxonIndex(spark, folder, 16)
+
+
+@pytest.mark.parametrize("taxon, mode", TAXA)
+def test_index_finds_what_the_predicate_finds(indexed, taxon, mode):
+    from pelagia.functions.taxonomy import taxon_match
+    metadata, index = indexed
+    found = index.variants("v4", taxon, mode)
+    wanted = metadata.filter("marker = 'v4'").filter(taxon_match(taxon, mode)).select(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_lookups_list_the_folders_that_they_need(indexed):
+    metadata, index = indexed
+    whole = len(index.table("variants", "v4").inputFiles())
+    for taxon, mode in (("Line 77", "level"), ("line 77", "contains"), ("root;dino", "contains")):
+        assert 0 < len(index.variants("v4", taxon, mode).inputFiles()) <= whole / 5
+    assert index.narrowed(metadata, "v4", "root", "level", most=10) is metadata
+    assert index.narrowed(metadata, "v4", "Line 7", "level", most=10).count() == 1
+
+
+def test_an_index_of_nothing(spark, tmp_path, indexed):
+    from pelagia.sources import taxon_index
+    taxon_index.build(indexed[0].limit(0), str(tmp_path / "empty"))
+    index = taxon_index.TaxonIndex(spark, str(tmp_path / "empty"))
+    assert index.variants("v4", "root").count() == 0 == index.variants("v4", "root", "contains").count()
+
+
+def test_answers_are_the_same_with_and_without_the_index(store):
+    from pelagia.plans.analysis import Analysis
+
+    class Bare:
+        def __getattr__(self, name):
+            return (lambda: None) if name == "taxon_index" else getattr(store, name)
+
+    assert store.taxon_index() is not None
+    for taxon, mode in (("Dinoflagellata", "level"), ("dino", "contains"), ("absent", "level")):
+        request = {"marker": "v4", "taxon": taxon, "match_mode": mode}
+        for call in ("find_taxa", "taxon_abundance"):
+            one, two = (getattr(Analysis(t), call)(**request) for t in (store, Bare()))
+            for part in ("items", "summary", "warnings"):
+                assert [str(r) for r in getattr(one, part).collect()] == [str(r) for r in getattr(two, part).collect()]

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables ar
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-WITHOUT_SQL = {"content_fingerprint"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")

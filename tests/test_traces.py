@@ -146,6 +146,41 @@ def test_tree_depths_unknown_parents_and_cycles(spark, hot_rows):
     assert got == want and {"x", "y", "z"}.isdisjoint(got) and got["m39"] == (43, "a")
 
 
+def read_in_order(links):
+    """(position, last) of every span by a walk."""
+    children, order, out = {}, [], {}
+    known = {s for s, _, _ in links}
+    for span, parent, number in links:
+        children.setdefault(parent if parent in known else None, []).append((number, span))
+    stack = [(span, False) for _, span in sorted(children.get(None, []), reverse=True)]
+    while stack:
+        span, left = stack.pop()
+        if left:
+            out[span] = (out[span], len(order) - 1)
+            continue
+        out[span] = len(order)
+        order.append(span)
+        stack.append((span, True))
+        stack += [(child, False) for _, child in sorted(children.get(span, []), reverse=True)]
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [None, 5])
+def test_trees_are_read_parents_first_and_siblings_in_order(spark, hot_rows):
+    random = __import__("random").Random(4)
+    chain = [(f"c{i}", f"c{i - 1}" if i else None, i) for i in range(70)]
+    star = [("s", None, 0), *[(f"s{i}", "s", 100 - i) for i in range(1, 60)]]
+    forest = [(f"f{i}", f"f{random.randrange(i)}" if i > 3 and random.random() < 0.95 else ("gone" if i % 2 else None), random.randrange(1000) * 100 + i)
+              for i in range(120)]
+    shapes = {"chain": chain, "star": star, "forest": forest, "one": [("o", None, 5)], "two": [("p", None, 2), ("q", None, 1)]}
+    rows = [(trace, *link) for trace, links in shapes.items() for link in links]
+    frame = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, sequence_no long")
+    found = traces.trace_tree(frame, hot_rows).collect()
+    assert {(r.trace_id, r.span_id): (r.position, r.last) for r in found} == {
+        (trace, span): place for trace, links in shapes.items() for span, place in read_in_order(links).items()}
+    assert traces.trace_tree(frame.limit(0)).collect() == []
+
+
 def test_running_span_and_violations(spark):
     rows = spans(
         spark,
