@@ -13,7 +13,7 @@ deals, and every document of a band whose blocks would mostly be empty (at low s
 instead: similar sets share one of the least ``size - ceil(size * p / 100) + 1`` tokens.
 
 **Join.** Documents with equal sets are one class. Blocks are stored as 64-bit hashes of their bits and grouped;
-blocks with one class fall away. In a star round, each block's class that shares most of its blocks is verified against the
+blocks with one class fall away. In a star round (the first on one block in eight, the others on the blocks that still hold several labels), each block's class that shares most of its blocks is verified against the
 block's other classes (for each class only its nearest such centre by the folded sketch), and what is similar gets one label. Stars leave pairs of different labels: in the last
 round these are compared by folded parity sketches (1,024 bits), in chunks of bounded size, never within the block's largest label, and only pairs that pass are verified
 on their sets. A block with more than ``WIDE`` such classes is cut first: its classes meet only where they share a token of their prefixes, in
@@ -38,13 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.llm.components import components
-from pelagia.llm.tables import KEY_BYTES, arrow, small_side, stored
+from pelagia.llm.tables import KEY_BYTES, arrow, give_back, small_side, stored
 from pelagia.llm.words import BASE_2, NOT_WHITE, SLICE_BYTES, Texts, find_words, grams, mixed, texts_of
 
 GROWTH = 1.5
 FOLD_BITS = 1024
 CHUNK = 256
 STARS = 2
+FEW = 8
 SEEDS = 4
 #: Classes of different labels beyond which a block is cut by prefix tokens.
 WIDE = 2048
@@ -149,7 +150,7 @@ def sketched(docs: DataFrame, n: int, seed: int, keys_of: Callable[[list[np.ndar
                      pa.array([folded(s) for s in sets], pa.binary())],
                     names=["doc_id", "text_hash", "size", "a", "b", "keys", "fold"])
     schema = "doc_id long, text_hash long, size long, a long, b long, keys array<long>, fold binary"
-    return arrow(docs.select("doc_id", "text", text_hash("text").alias("text_hash")), work, schema)
+    return arrow(docs.select("doc_id", "text", text_hash("text").alias("text_hash")), work, schema, tidy=True)
 
 
 def text_hash(column: str) -> Column:
@@ -173,7 +174,7 @@ def texts_for(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array([zlib.compress(texts.text(i), 1) for i in range(len(texts))], pa.binary())], names=["a", "packed"])
     bare = docs.select("doc_id", "text")
     few = small_side(wanted.select(F.col("first").alias("_id")), 16)
-    return arrow(bare.join(few, bare["doc_id"].eqNullSafe(few["_id"]), "left_semi"), work, "a long, packed binary")
+    return arrow(bare.join(few, bare["doc_id"].eqNullSafe(few["_id"]), "left_semi"), work, "a long, packed binary", tidy=True)
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -211,7 +212,9 @@ def verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, n: int, pe
         @lru_cache(maxsize=64)
         def tokens(packed: bytes) -> np.ndarray:
             return unpacked(packed, n)
-        return pa.array([similar(tokens(x), tokens(y), percent) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
+        out = pa.array([similar(tokens(x), tokens(y), percent) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
+        give_back()
+        return out
 
     near = pairs.join(one, "a").join(two, "b").withColumn("apart", apart("size_a", "fold_a", "size_b", "fold_b")).where("apart is not null")
     if best:
@@ -240,6 +243,13 @@ def star_pairs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(centre, "key").where("label != other").select("a", "b").distinct()
 
 
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys that still hold several labels; labels only grow together, so the others stay done."""
+    named = labelled(members, labels)
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    return members.join(small_side(stored(several, "open-keys"), 16), "key", "left_semi")
+
+
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.withColumnRenamed("node", "a")
     return members.join(known, "a", "left").withColumn("label", F.coalesce("label", "a"))
@@ -303,7 +313,7 @@ def cross_pairs(members: DataFrame, labels: DataFrame, vertices: DataFrame, text
     """
     placed = "place" in members.columns
     if not placed:
-        members, vertices = members.withColumn("place", F.lit(-1)), vertices.withColumn("short", F.lit(None).cast("array<long>"))
+        members, vertices = members.withColumn("place", F.lit(-1)), vertices.withColumn("short", F.lit(None).cast("array<int>"))
     named = stored(labelled(members, labels), "named-members")
     by_label = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     blocks = by_label.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.min("label").alias("low"), F.max("label").alias("high"),
@@ -314,35 +324,52 @@ def cross_pairs(members: DataFrame, labels: DataFrame, vertices: DataFrame, text
         cut = stored(cut_by_prefix(too_wide, texts, n, percent).withColumn("place", F.lit(-1)), "cut-blocks")
         open_ = open_.where(F.col("n") - F.col("most") <= wide).unionByName(cut)
     open_ = open_.drop("most").join(vertices.select("a", "size", "fold", "short"), "a")
+    row = F.struct("a", "label", "size", "fold", "short")
+    pair = "array<struct<a: bigint, b: bigint>>"
+
+    def between(x: pa.Array, y: pa.Array, at: int, same: bool) -> list[dict]:
+        """The pairs of different labels that may be similar, one row of each list; of one list, each pair once."""
+        a, b = x.field("a").to_numpy(), y.field("a").to_numpy()
+        la, lb = x.field("label").to_numpy(), y.field("label").to_numpy()
+        sa, sb = x.field("size").to_numpy(), y.field("size").to_numpy()
+        fa, fb = fold_rows(x.field("fold")), fold_rows(y.field("fold"))
+        if at >= 0:
+            xs, ys = (rows.field("short").flatten().to_numpy().reshape(len(rows), -1) for rows in (x, y))
+        found = []
+        for r in range(len(a)):
+            ok = lb != la[r]
+            if same:
+                ok[:r] = False
+            if ok.any():
+                ok[ok] = sizes_and_folds_allow(sa[r], fa[r], sb[ok], fb[ok], percent)[0]
+            if at >= 0 and ok.any():
+                ok[ok] = first_common(xs[r], ys[ok]) == at
+            found += [{"a": min(int(a[r]), z), "b": max(int(a[r]), z)} for z in b[ok].tolist()]
+        return found
+
+    arrow_pairs = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    @F.arrow_udf(pair)
+    def within(place: pa.Array, rows: pa.Array) -> pa.Array:
+        return pa.array([between(rows[i].values, rows[i].values, at, True) for i, at in enumerate(place.to_pylist())], arrow_pairs)
+
+    @F.arrow_udf(pair)
+    def passing(place: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([between(left[i].values, right[i].values, at, False) for i, at in enumerate(place.to_pylist())], arrow_pairs)
+
+    # Most blocks fit one list. The others are cut into lists of about CHUNK rows, which meet two by two.
+    whole = open_.where(F.col("n") <= CHUNK).groupBy("key").agg(F.first("place").alias("place"), F.collect_list(row).alias("rows"))
+    found = whole.select(F.explode(within("place", "rows")).alias("pair"))
+    large = open_.where(F.col("n") > CHUNK)
     group = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / CHUNK)).cast("int")
-    chunks = open_.groupBy("key", (F.col("label") != F.col("main")).alias("query"), group.alias("chunk")) \
-        .agg(F.first("place").alias("place"), F.collect_list(F.struct("a", "label", "size", "fold", "short")).alias("rows"))  # about CHUNK rows by the choice of group
+    chunks = large.groupBy("key", (F.col("label") != F.col("main")).alias("query"), group.alias("chunk")) \
+        .agg(F.first("place").alias("place"), F.collect_list(row).alias("rows"))
     chunks = stored(chunks, "chunks")
     left = chunks.where("query").select("key", "place", F.col("chunk").alias("i"), F.col("rows").alias("left"))
     right = chunks.select("key", "query", F.col("chunk").alias("j"), F.col("rows").alias("right"))
     met = left.join(right, "key").where("not query or i <= j")
-
-    @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
-    def passing(place: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for i, at in enumerate(place.to_pylist()):
-            x, y = left[i].values, right[i].values
-            a, b = x.field("a").to_numpy(), y.field("a").to_numpy()
-            la, lb = x.field("label").to_numpy(), y.field("label").to_numpy()
-            sa, sb = x.field("size").to_numpy(), y.field("size").to_numpy()
-            fa, fb = fold_rows(x.field("fold")), fold_rows(y.field("fold"))
-            if at >= 0:
-                xs, ys = (rows.field("short").flatten().to_numpy().reshape(len(rows), -1) for rows in (x, y))
-            found = []
-            for r in range(len(a)):
-                ok = (lb != la[r]) & sizes_and_folds_allow(sa[r], fa[r], sb, fb, percent)[0]
-                if at >= 0 and ok.any():
-                    ok[ok] = first_common(xs[r], ys[ok]) == at
-                found += [{"a": min(int(a[r]), z), "b": max(int(a[r]), z)} for z in b[ok].tolist()]
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-
-    return met.select(F.explode(passing("place", "left", "right")).alias("pair")).select("pair.a", "pair.b").distinct()
+    found = found.unionByName(met.select(F.explode(passing("place", "left", "right")).alias("pair")))
+    return found.select("pair.a", "pair.b").distinct()
 
 
 def set_classes(docs: DataFrame, n: int, keys_of: Callable[[list[np.ndarray]], list[np.ndarray]]) -> tuple[DataFrame, DataFrame, int]:
@@ -372,16 +399,21 @@ def with_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, member
     placed = ["place"] if "place" in members.columns else []
     share = members.groupBy("a").agg(F.count("*").alias("hits"))
     sketches = rows.groupBy("a").agg(F.min("size").alias("size"), F.min("fold").alias("fold"), F.min(F.size("keys")).alias("blocks"), *[F.min("keys").alias("short") for _ in placed])
+    if placed:  # 31 bits of each tell two classes' keys apart well enough
+        sketches = sketches.withColumn("short", F.transform("short", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")))
     vertices = stored(sketches.join(small_side(share, 24), "a").join(classes.select("a", "first"), "a")
                       .select("a", "first", "size", "fold", *["short" for _ in placed], (F.col("hits") / F.col("blocks")).alias("share")), "vertices")
     members = stored(members.join(vertices.select("a", "share"), "a").select("key", *placed, "a", "share"), "members")
     texts = stored(texts_for(docs, vertices, n, seed).join(small_side(vertices.select("a"), 16), "a", "left_semi"), "texts")
 
     links = labels = None
-    for _ in range(STARS):
-        found = stored(verified(star_pairs(members, labels), vertices, texts, n, percent, best=True), "links")
+    for turn in range(STARS + 1):
+        # The first look takes one key in FEW: what is alike shares many. Keys of one label only are done with.
+        some = members.where(F.pmod("key", F.lit(FEW)) == 0) if turn == 0 else members
+        found = stored(verified(star_pairs(some, labels), vertices, texts, n, percent, best=True), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        members = stored(open_members(members, labels), "open-members")
     last = stored(verified(cross_pairs(members, labels, vertices, texts, n, percent), vertices, texts, n, percent, best=False), "links")
     labels = components(links.unionByName(last))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.tables import arrow, stored
+from pelagia.llm.tables import arrow, give_back, stored
 from pelagia.llm.words import Texts, byte_class, find_words, mixed, texts_of
 
 BUCKET_BITS = 14
@@ -86,7 +86,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         flat = pa.array(total[used].reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.FixedSizeListArray.from_arrays(flat, DIMENSIONS).cast(pa.list_(pa.float64()))], names=["bucket", "vector"])
 
-    partial = arrow(docs.select("text"), work, "bucket long, vector array<double>")
+    partial = arrow(docs.select("text"), work, "bucket long, vector array<double>", tidy=True)
     sums = partial.groupBy("bucket").agg(*[F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(DIMENSIONS)])
     out = np.zeros((1 << BUCKET_BITS, DIMENSIONS), np.float32)
     rows = sums.select("bucket", F.array(*[f"v{i}" for i in range(DIMENSIONS)]).alias("vector")).toArrow()  # at most 2 ** BUCKET_BITS rows
@@ -193,5 +193,6 @@ def scorer(docs: DataFrame, vectors: np.ndarray, model: dict[str, np.ndarray]):
         words, network = sent.value
         index = index_vectors()
         parts = [sigmoid(logits(network, pooled(texts, words, index).astype(float)) / network["temperature"]) for texts in texts_of(column)]
+        give_back()
         return pa.array(np.concatenate([*parts, np.zeros(0)]))
     return score
