@@ -25,7 +25,14 @@ BUCKETS = 64
 GRAM = 3
 #: Path numbers that a scan gets as literals; beyond it they are joined.
 LISTED = 1000
-TABLES = ("levels", "grams", "paths", "variants")
+SCHEMAS = {
+    "levels": "path_no long, level string, marker string, bucket int",
+    "grams": "path_no long, gram string, marker string, bucket int",
+    "paths": "path_no long, path string, marker string, bucket int",
+    "variants": ", ".join(f"{c} {'long' if c in ('total', 'spread') else 'string'}" for c in METADATA_COLUMNS)
+    + ", path_no long, marker string, bucket int",
+}
+TABLES = tuple(SCHEMAS)
 
 
 def _bucket(value: Column, buckets: int) -> Column:
@@ -65,7 +72,7 @@ class TaxonIndex:
         self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def table(self, name: str, marker: str, buckets: list[int] | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.folder}/{name}").filter(F.col("marker") == marker)
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}").filter(F.col("marker") == marker)
         return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def _buckets_of(self, values: list[str]) -> list[int]:
