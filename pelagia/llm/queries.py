@@ -136,7 +136,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def similarity_sql(percent: int, columns: str) -> str:
+    """Components of documents whose sets of three-word shingles are alike."""
+    return rf"""
+        with recursive words as (
+            select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
+        sets as (
+            select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+            from words),
+        tokens as (select doc_id, len(s) as n, unnest(s) as token from sets),
+        links as (
+            select a.doc_id as a, b.doc_id as b from tokens a join tokens b on a.token = b.token and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+        labels as (select a as doc_id, min(b) as component_id from reach group by a)
+        select {columns} from sets join labels using (doc_id)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op2_decontamination": rf"""
+        with cut as (
+            select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        items as (
+            select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        windows as (
+            select distinct item_id, least(10, len(w)) as n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') as t
+            from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from items where len(w) > 0)),
+        places as (
+            select doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as t
+            from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from cut) join (select distinct n from windows) on i + n - 1 <= len(w)),
+        found as (select doc_id, i, p.n, item_id from places p join windows using (n, t)),
+        hit as (select doc_id, count(distinct word_no) as n_hit from (select doc_id, unnest(range(i, i + n)) as word_no from found) group by 1),
+        named as (
+            select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+            from (select distinct doc_id, cast(item_id as varchar) as item from found) group by 1)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from cut left join hit using (doc_id) left join named using (doc_id)
+    """,
+    "op4_parity_sketch_join": similarity_sql(90, "doc_id, len(s) as n_shingles, component_id"),
+    "op12_minhash_near_dedup": similarity_sql(85, "doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept"),
     "op8_warc": """
         with payload as (
             select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
