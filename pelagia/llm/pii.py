@@ -47,13 +47,19 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+TOP_LEVEL = ("com", "org", "net", "edu", "gov", "info", "io", "co", "eu", "uk", "de", "fr", "es")
+#: Words before a spoken "at" that speak of a place on the web, not of a mailbox.
+NOT_MAILBOXES = frozenset("look looks looking visit visits us me it is are was be been available found hosted see seen more online site page pages "
+                          "website here read live shop order orders sold published posted listed him her them you one all at".split())
 # --- end of fixed values ----------------------------------------------------------------------
 _DOT = r"(?:\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*|[ \t]+dot[ \t]+)"
 _DOTS = re.compile(rf"(?<=\w){_DOT}(?=\w)", re.I)
 _ATS = re.compile(rf"(?<=[A-Za-z0-9])(?:\s*[\(\[\{{<]\s*(?:at|@)\s*[\)\]\}}>]\s*|[ \t]+at[ \t]+(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9-])|[ \t]+@[ \t]*(?=[A-Za-z0-9])|@[ \t]+(?=[A-Za-z0-9]))", re.I)
+_SPOKEN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)([ \t]+at[ \t]+)(?=(?:[A-Za-z0-9-]+\.)+(?:{'|'.join(TOP_LEVEL)})\b(?!\.[A-Za-z0-9]))", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?:\bplus[ \t]+|\+[ \t]?)?\b(?:{_WORD}|[0-9]+)(?:[ \t,-]+(?:{_WORD}|[0-9]+|dot|point)){{3,}}\b", re.I)
 _HINT_SIGNS = re.compile(r"[\(\[\{<]\s*(?:dot|at|\.|@)\s*[\)\]\}>]|[ \t]dot[ \t]|[ \t]@|@[ \t]", re.I)
+_SPOKEN_HINT = re.compile(r"[ \t]at[ \t]+[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
 _FOREIGN = re.compile("[" + re.escape("".join(LOOKALIKES)) + UNSEEN + "！-～٠-٩۰-۹०-९]")
 SPELLED_LEAST, SPELLED_KINDS = 3, 2
 _FOREIGN_LEADS = byte_class(*range(0xCE, 0xD6), 0xC2, 0xD9, 0xDB, 0xE0, 0xE2, 0xEF)
@@ -145,25 +151,26 @@ def spelled(match: re.Match) -> str | None:
 
 
 def hints(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Which texts may hold foreign signs, and which have two digit words in a row."""
+    """Which texts may hold foreign signs, and which have two digit words with none but digits, dots and points between them."""
     n = len(texts)
     foreign = np.zeros(n, dtype=bool)
     foreign[np.searchsorted(texts.offsets, np.flatnonzero(_FOREIGN_LEADS[texts.data]), side="right") - 1] = True
     words = find_words(texts, _LETTERS)
     told = np.isin(words.hashes(), _digit_word_hashes())
-    near = np.flatnonzero(told[1:] & told[:-1] & (words.starts[1:] - words.ends[:-1] <= 3))
+    near = np.flatnonzero(told[1:] & told[:-1])  # whatever lies between letters; the pattern looks closer
     row = np.zeros(n, dtype=bool)
     row[np.searchsorted(words.pointer, near, side="right") - 1] = True
     return foreign, row
 
 
 def _digit_word_hashes() -> np.ndarray:
-    column = pa.array([w for word in DIGIT_WORDS for w in (word, word.replace("ü", "Ü").replace("é", "É"))])
+    column = pa.array([w for word in (*DIGIT_WORDS, "dot", "point") for w in (word, word.replace("ü", "Ü").replace("é", "É"))])
     return np.concatenate([find_words(t, _LETTERS).hashes() for t in texts_of(column)])
 
 
 def signs_hint(text: str) -> bool:
-    return any(x in text for x in ("(", "[", "{", "<", " @", "@ ", "dot", "Dot", "DOT", "\t@", "@\t")) and bool(_HINT_SIGNS.search(text))
+    return any(x in text for x in ("(", "[", "{", "<", " @", "@ ", "dot", "Dot", "DOT", "\t@", "@\t")) and bool(_HINT_SIGNS.search(text)) \
+        or "." in text and bool(_SPOKEN_HINT.search(text))
 
 
 def deobfuscated(text: str, foreign: bool = True, row: bool = True) -> View | None:
@@ -176,6 +183,7 @@ def deobfuscated(text: str, foreign: bool = True, row: bool = True) -> View | No
         view = view.rewritten([(m.start(), m.end(), ascii_form(m[0])) for m in _FOREIGN.finditer(text)])
     view = view.rewritten([(*m.span(), digits) for m in _SPELLED.finditer(view.text) if (digits := spelled(m)) is not None])
     view = view.rewritten([(*m.span(), "@") for m in _ATS.finditer(view.text)])
+    view = view.rewritten([(*m.span(2), "@") for m in _SPOKEN_AT.finditer(view.text) if m[1].lower().strip(".-") not in NOT_MAILBOXES])
     view = view.rewritten([(*m.span(), ".") for m in _DOTS.finditer(view.text)])
     return view if view.changed.any() or len(view.text) != len(text) else None
 
