@@ -25,7 +25,7 @@ HEADLINE = [
     "coverage", "content_fingerprint", "message_sequence", "session_messages", "trace_list",
     "trace_tree", "trace_overview", "span_violations", "span_merge", "close_open_spans",
     "cascade_delete", "redact_text", "sanitize_payload", "trace_finalise", "span_fold",
-    "span_stream", "span_sequence",
+    "span_stream", "span_sequence", "span_details", "answer_stream", "taxon_lookup",
 ]
 
 
