@@ -268,6 +268,14 @@ STAT = """par, depth_bathy, lyapunov_exp, temperature, chla, backscattering, dep
 ROUNDED = "sample_id, taxon_read_count, sample_total_read_count, round(relative_abundance, 9) as relative_abundance"
 DIVERSE = "sample_id, analysis_read_count, observed_asv_richness, round(shannon_index, 9) as shannon_index"
 
+DELETED = sql("sessions messages traces spans", """
+        , gone as (select session_id from sessions where session_id % 3 = 0 and user_id = 0)
+        select 'deleted' as table_name, count(*) as row_count from gone union all
+        select 'sessions', count(*) from sessions where session_id not in (select session_id from gone) union all
+        select 'messages', count(*) from messages where session_id not in (select session_id from gone) union all
+        select 'traces', count(*) from traces where session_id not in (select session_id from gone) union all
+        select 'spans', count(*) from spans join traces using (trace_id)
+          where session_id not in (select session_id from gone)""")
 SPAN_DETAILS = sql("life", """
     select trace_id, span_id, case when done is null then 'running' else final end as status,
       case when event_id % 5 = 0 and (done is null or done < began + interval 2 day or final = 'completed') then 'Late'
@@ -640,14 +648,8 @@ ORACLE = {
           case when hit then 'token lost, secret: [REDACTED]' else error_message end as error_message
         from (select s.*, s.status = 'running' and t.status = 'failed' as hit, t.started_at as begun
               from spans s join traces t using (trace_id)) p join traces t using (trace_id)"""),
-    "cascade_delete": sql("sessions messages traces spans", """
-        , gone as (select session_id from sessions where session_id % 3 = 0 and user_id = 0)
-        select 'deleted' as table_name, count(*) as row_count from gone union all
-        select 'sessions', count(*) from sessions where session_id not in (select session_id from gone) union all
-        select 'messages', count(*) from messages where session_id not in (select session_id from gone) union all
-        select 'traces', count(*) from traces where session_id not in (select session_id from gone) union all
-        select 'spans', count(*) from spans join traces using (trace_id)
-          where session_id not in (select session_id from gone)"""),
+    "cascade_delete": DELETED,
+    "erase_sessions": DELETED,
     "redact_text": f"select conv_id, turn, {REDACTED} as safe from conversations",
     "truncate_text": r"""select doc_id, case when length(text) > 4000 then concat(substr(text, 1, 4000),
         e'\n[TRUNCATED ', length(text) - 4000, ' CHARACTERS]') else text end as bounded from documents""",

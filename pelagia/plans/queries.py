@@ -15,7 +15,8 @@ from pelagia.operators import (abundance, association, charts, diversity, qualit
                                samples, snapshot, taxa, traces)
 from pelagia.operators.ordering import page
 from pelagia.plans.analysis import Analysis
-from pelagia.sources import catalog, store
+from pelagia.sources import catalog, erasable, store
+from pelagia.sources.erasable import ErasableTable
 from pelagia.sources.binding import Binding
 from pelagia.sources.tsv import read_wide, scan_typed_tsv
 from pelagia.streaming import spans as streams
@@ -658,6 +659,21 @@ def cascade_delete(b):
     return rows
 
 
+@query
+def erase_sessions(b):
+    """The same deletion on stored tables, whose untouched files stay as they are."""
+    root = scratch_path(b.spark, "erasable")
+    orders = {"sessions": ["session_id"], "messages": ["session_id", "sequence_no"], "traces": ["session_id", "trace_id"], "spans": ["trace_id", "sequence_no"]}
+    tables = {name: ErasableTable.write(getattr(b, name)(), f"{root}/{name}", order) for name, order in orders.items()}
+    requested = b.sessions().filter("session_id % 3 = 0").selectExpr("-session_id as position", "session_id")
+    rows = erasable.erase_sessions(*tables.values(), requested, USER).agg(F.count("*").alias("row_count")).select(
+        F.lit("deleted").alias("table_name"), "row_count")
+    for name, table in tables.items():
+        table.rewrite()
+        rows = rows.unionByName(table.read().agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
+    return rows
+
+
 SECRETS = ("concat(text, ' password=', md5(cast(conv_id as string)), ' Bearer tok', conv_id, "
            "' https://u', conv_id, ':p', turn, '@host/x')")
 

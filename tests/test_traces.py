@@ -318,3 +318,59 @@ def test_cascade_keeps_other_users_rows(spark):
     assert [r.session_id for r in left["deleted"].collect()] == [1]
     assert sorted(r.session_id for r in left["sessions"].collect()) == [2, 3]
     assert {k: left[k].count() for k in ("messages", "traces", "spans")} == {"messages": 2, "traces": 1, "spans": 1}
+
+
+# -- deletion by files ----------------------------------------------------------------------------
+
+def test_a_deletion_rewrites_the_files_that_hold_it_alone(spark, tmp_path):
+    from pelagia.sources.erasable import ErasableTable
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id div 100 as session_id", "id as n", "concat('m', id) as content")
+    table = ErasableTable.write(rows, str(tmp_path / "t"), ["session_id", "n"], parts=8)
+    before = table.listing().files
+    assert len(before) >= 4
+    one = spark.createDataFrame([(7,), (None,), (999,)], "wanted long")
+    table.erase(one, "session_id")
+    assert table.listing().files == before and table.read().filter("session_id = 7").isEmpty() and table.read().count() == 3900
+    touched = table.touched()
+    assert 0 < len(touched) <= 2
+    assert table.rewrite() == touched
+    after = table.listing()
+    assert not after.tombstones and set(before) - set(touched) <= set(after.files) and not set(touched) & set(after.files)
+    assert table.read().count() == 3900 and table.rewrite() == []
+    table.erase(spark.range(0, 5).toDF("n"), "n")  # another column, two deletions at once
+    table.erase(spark.range(20, 41).toDF("s"), "session_id")
+    assert table.read().count() == 3900 - 5 - 2000
+    table.rewrite()
+    assert sorted(r.n for r in table.read().select("n").collect()) == [i for i in range(5, 2000) if i // 100 != 7]
+    table.erase(spark.range(0, 100).toDF("s"), "session_id")
+    table.rewrite()
+    assert table.read().count() == 0 and table.listing().files == []
+
+
+def test_sessions_are_erased_with_what_hangs_on_them_and_a_stopped_run_can_be_repeated(spark, tmp_path, monkeypatch):
+    from pelagia.sources import erasable
+    from pelagia.sources.erasable import ErasableTable
+    make = lambda name, rows, schema, order: ErasableTable.write(spark.createDataFrame(rows, schema), str(tmp_path / name), order)
+    sessions = make("s", [(1, 0), (2, 0), (3, 1)], "session_id long, user_id long", ["session_id"])
+    messages = make("m", [(i, s) for i, s in enumerate((1, 1, 2, 3))], "n long, session_id long", ["session_id"])
+    traces_ = make("t", [("a", 1), ("b", 2), ("c", 3)], "trace_id string, session_id long", ["session_id"])
+    spans_ = make("p", [("a", 1), ("a", 2), ("b", 3), ("c", 4)], "trace_id string, n long", ["trace_id"])
+    asked = spark.createDataFrame([(0, 3), (1, 1), (2, 9), (3, 1)], "position long, session_id long")
+    real, calls = ErasableTable.erase, []
+
+    def failing(self, keys, column):
+        calls.append(self.path)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        real(self, keys, column)
+
+    monkeypatch.setattr(ErasableTable, "erase", failing)
+    with pytest.raises(RuntimeError):
+        erasable.erase_sessions(sessions, messages, traces_, spans_, asked, 0)
+    deleted = erasable.erase_sessions(sessions, messages, traces_, spans_, asked, 0)
+    assert [r.position for r in deleted.collect()] == [1, 3]
+    counts = [t.read().count() for t in (sessions, messages, traces_, spans_)]
+    assert counts == [2, 2, 2, 2]
+    for t in (sessions, messages, traces_, spans_):
+        t.rewrite()
+    assert [t.read().count() for t in (sessions, messages, traces_, spans_)] == counts
