@@ -44,7 +44,7 @@ from pelagia.llm.words import BASE_2, NOT_WHITE, SLICE_BYTES, Texts, find_words,
 GROWTH = 1.5
 FOLD_BITS = 1024
 CHUNK = 256
-STARS = 2
+STARS = 1
 FEW = 8
 SEEDS = 4
 #: Classes of different labels beyond which a block is cut by prefix tokens.
@@ -245,7 +245,7 @@ def star_pairs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of keys that still hold several labels; labels only grow together, so the others stay done."""
-    named = labelled(members, labels)
+    named = members.join(small_side(labels.withColumnRenamed("node", "a"), 16), "a", "left").withColumn("label", F.coalesce("label", "a"))
     several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
     return members.join(small_side(stored(several, "open-keys"), 16), "key", "left_semi")
 
@@ -391,27 +391,39 @@ def shared_keys(keys: DataFrame, label: str) -> DataFrame:
     return stored(keys.join(small_side(shared, 16), "key").distinct(), label)
 
 
-def with_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """The rows of ``rows`` with n_shingles and component_id; ``members`` are the classes by shared join key.
-
-    ``members`` may have the place of their keys (``cross_pairs``); the keys of ``rows`` are then those of the two halves.
-    """
+def candidates(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, n: int, seed: int, before: tuple | None = None):
+    """Members with the share of their keys, and sizes, sketches and texts of their classes; those of ``before`` aren't made again."""
     placed = ["place"] if "place" in members.columns else []
     share = members.groupBy("a").agg(F.count("*").alias("hits"))
-    sketches = rows.groupBy("a").agg(F.min("size").alias("size"), F.min("fold").alias("fold"), F.min(F.size("keys")).alias("blocks"), *[F.min("keys").alias("short") for _ in placed])
+    sketches = rows.groupBy("a").agg(F.min("size").alias("size"), F.min("fold").alias("fold"), F.min(F.size("keys")).alias("blocks"),
+                                     *[F.min("keys").alias("short") for _ in placed])
     if placed:  # 31 bits of each tell two classes' keys apart well enough
         sketches = sketches.withColumn("short", F.transform("short", lambda k: k.bitwiseAND((1 << 31) - 1).cast("int")))
     vertices = stored(sketches.join(small_side(share, 24), "a").join(classes.select("a", "first"), "a")
                       .select("a", "first", "size", "fold", *["short" for _ in placed], (F.col("hits") / F.col("blocks")).alias("share")), "vertices")
     members = stored(members.join(vertices.select("a", "share"), "a").select("key", *placed, "a", "share"), "members")
-    texts = stored(texts_for(docs, vertices, n, seed).join(small_side(vertices.select("a"), 16), "a", "left_semi"), "texts")
-
-    links = labels = None
-    for turn in range(STARS + 1):
-        # The first look takes one key in FEW: what is alike shares many. Keys of one label only are done with.
-        some = members.where(F.pmod("key", F.lit(FEW)) == 0) if turn == 0 else members
-        found = stored(verified(star_pairs(some, labels), vertices, texts, n, percent, best=True), "links")
-        links = found if links is None else links.unionByName(found)
+    new = vertices.select("a", "first")
+    if before is not None:
+        new = new.join(small_side(before[0].select("a"), 16), "a", "left_anti")
+    texts = stored(texts_for(docs, new, n, seed).join(small_side(new.select("a"), 16), "a", "left_semi"), "texts")
+    return members, vertices, texts if before is None else texts.unionByName(before[1])
+
+
+def with_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, keys: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """The rows of ``rows`` with n_shingles and component_id; ``keys`` (key, a) are the join keys of the classes.
+
+    One key in FEW is looked at first: what is alike shares many, so most links are found there. All keys are then grouped
+    once, by the labels that this gave, and only those with several labels go on. ``keys`` may have the place
+    of the keys (``cross_pairs``); those of ``rows`` are then the keys of the two halves.
+    """
+    few = shared_keys(keys.where(F.pmod("key", F.lit(FEW)) == 0), "few-members")
+    few, vertices, texts = candidates(docs, rows, classes, few, n, seed)
+    links = stored(verified(star_pairs(few, None), vertices, texts, n, percent, best=True), "links")
+    labels = components(links)
+    members = open_members(keys, labels).distinct()
+    members, vertices, texts = candidates(docs, rows, classes, stored(members, "members"), n, seed, (vertices, texts))
+    for _ in range(STARS):
+        links = links.unionByName(stored(verified(star_pairs(members, labels), vertices, texts, n, percent, best=True), "links"))
         labels = components(links)
         members = stored(open_members(members, labels), "open-members")
     last = stored(verified(cross_pairs(members, labels, vertices, texts, n, percent), vertices, texts, n, percent, best=False), "links")
@@ -429,7 +441,7 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, classes, seed = set_classes(docs, n, lambda sets: [block_keys(s, percent) for s in sets])
     keys = rows.where("size > 0").select("a", F.explode("keys").alias("key"))
-    return with_components(docs, rows, classes, shared_keys(keys, "members"), n, percent, seed)
+    return with_components(docs, rows, classes, keys, n, percent, seed)
 
 
 def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
