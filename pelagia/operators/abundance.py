@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pelagia.cluster import fits_broadcast
 from pelagia.contracts import CONTEXT_ID, AbundanceRequest, id_frame
 from pelagia.functions.taxonomy import taxon_match
-from pelagia.operators.envelope import Answer, beside, filters_map, warning, warning_rows
+from pelagia.operators.envelope import Answer, beside, filters_map, page_rows, warning, warning_rows
 from pelagia.operators.ordering import page
 from pelagia.operators.taxa import matching_cells
 from pelagia.sources.store import check_ids, of_samples
@@ -117,4 +117,5 @@ def abundance_answer(cells: DataFrame, metadata: DataFrame, marker_samples: Data
         samples.filter("not available").select(
             F.lit("samples_missing_marker_excluded").alias("code"), "sample_id"))
     return Answer(page(shown, ["sample_id"], query.offset, query.limit), summary,
-                  warning_rows(counts, abundance_warning_list()), {"warning_samples": affected})
+                  warning_rows(counts, abundance_warning_list()),
+                  {"warning_samples": affected, "pages": page_rows(counts, ("observations", query.offset, query.limit, total))})

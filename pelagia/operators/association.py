@@ -12,7 +12,7 @@ from pelagia.contracts import CONTEXT_ID, AssociationRequest
 from pelagia.functions.stats import correlation_p
 from pelagia.operators.abundance import (abundance_counts, abundance_warning_list, resolve_samples,
                                          taxon_abundance)
-from pelagia.operators.envelope import Answer, beside, filters_map, warning, warning_rows
+from pelagia.operators.envelope import Answer, beside, filters_map, page_rows, warning, warning_rows
 from pelagia.operators.ordering import HOT_ROWS, attach_by_value, average_ranks, page, window_rank
 
 MIN_SAMPLES = 3
@@ -103,5 +103,6 @@ def association_answer(cells: DataFrame, metadata: DataFrame, marker_samples: Da
         warning("undefined_correlation", undefined),
         warning("asymptotic_p_value_caution", ~few & ~constant & ~undefined
                 & (F.col("sample_count") <= CAUTION_UP_TO), None, F.col("sample_count"))])
+    pages = page_rows(counts, ("points", query.point_offset, query.point_limit, F.col("sample_count")))
     return Answer(page(points, ["sample_id"], query.point_offset, query.point_limit),
-                  summary, warnings)
+                  summary, warnings, {"pages": pages})

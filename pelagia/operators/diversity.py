@@ -9,7 +9,7 @@ from pelagia.cluster import settle
 from pelagia.contracts import CONTEXT_ID, GROUP_FIELDS, ContractError, DiversityRequest
 from pelagia.functions.taxonomy import taxon_match
 from pelagia.operators.abundance import _restrict, resolve_samples
-from pelagia.operators.envelope import Answer, beside, filters_map, warning, warning_rows
+from pelagia.operators.envelope import Answer, beside, filters_map, page_rows, warning, warning_rows
 from pelagia.operators.ordering import page, quantiles
 from pelagia.operators.taxa import matching_cells
 
@@ -101,6 +101,7 @@ def diversity_answer(cells: DataFrame, metadata: DataFrame, marker_samples: Data
         F.lit("zero_reads_in_analysis_set").alias("code"), "sample_id").unionByName(
         samples.filter("not available").select(
             F.lit("samples_missing_marker_excluded").alias("code"), "sample_id"))}
+    extra["pages"] = page_rows(counts, ("observations", query.offset, query.limit, F.col("observed")))
     if query.group_by is not None:
         extra["groups"] = diversity_groups(seen, context, query.group_by)
     return Answer(page(seen, ["sample_id"], query.offset, query.limit), summary, warnings, extra)

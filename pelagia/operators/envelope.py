@@ -64,6 +64,13 @@ def warning_rows(stats: DataFrame, warnings: list[Column]) -> DataFrame:
     return stats.select(F.inline(applicable))
 
 
+def page_rows(counts: DataFrame, *lists: tuple[str, int, int, Column]) -> DataFrame:
+    """One row per paged list of an answer: its name, offset and limit, and how many entries there are in all."""
+    return counts.select(F.inline(F.array(*[F.struct(
+        F.lit(name).alias("list"), F.lit(offset).cast("long").alias("offset"), F.lit(limit).cast("long").alias("limit"),
+        total.cast("long").alias("total")) for name, offset, limit, total in lists])))
+
+
 def beside(*frames: DataFrame) -> DataFrame:
     """Put one-row frames of numbers next to each other without a join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

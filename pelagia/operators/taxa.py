@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pelagia.cluster import fits_broadcast
 from pelagia.contracts import METADATA_COLUMNS, TaxaSearch
 from pelagia.functions.taxonomy import taxon_match
-from pelagia.operators.envelope import Answer, beside, filters_map, warning, warning_rows
+from pelagia.operators.envelope import Answer, beside, filters_map, page_rows, warning, warning_rows
 from pelagia.operators.ordering import page
 
 HEAVY_SHARE = 1000
@@ -64,4 +64,6 @@ def find_taxa(metadata: DataFrame, cells: DataFrame, marker_samples: DataFrame,
         (F.col("marker_samples") - F.col("sample_count")).alias("excluded_sample_count"),
         filters_map({"taxon": query.taxon, "match_mode": query.match_mode}).alias("filters"))
     warnings = warning_rows(totals, [warning("read_count_is_not_cell_abundance", F.lit(True))])
-    return Answer(asvs, summary, warnings, {"samples": samples})
+    pages = page_rows(totals, ("asvs", query.asv_offset, query.asv_limit, F.col("asv_total")),
+                      ("samples", query.sample_offset, query.sample_limit, F.col("sample_count")))
+    return Answer(asvs, summary, warnings, {"samples": samples, "pages": pages})

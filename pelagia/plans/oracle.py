@@ -522,6 +522,14 @@ ORACLE = {
           (select count(*) from abundance) - sample_count as excluded_sample_count,
           (select count(*) from metadata where marker = 'v4' and {LEVEL}) as matching_asv_count,
           round(rho, 9) as rho, round(p_value, 9) as p_value from tested"""),
+    "page_totals": sql("metadata cells marker_samples abundance tested", f"""
+        select 0 as call, 'asvs' as list, cast(3 as bigint) as offset, cast(5 as bigint) as limit,
+          (select count(*) from metadata where marker = 'v4' and {LEVEL}) as total
+        union all select 0, 'samples', 0, 7, (select count(distinct sample_id) from cells join metadata using (marker, amplicon)
+          where marker = 'v4' and {LEVEL})
+        union all select 1, 'observations', 2, 4, (select count(*) from abundance where taxon_read_count > 0)
+        union all select 2, 'observations', 1, 2, (select count(*) from marker_samples where marker = 'v9')
+        union all select 3, 'points', 0, 9, (select sample_count from tested)""").replace("as offset", 'as "offset"').replace("as limit", 'as "limit"'),
     "association_warnings": sql("abundance context", f"""
         select 'read_count_is_not_cell_abundance' as code, {WARNING} union all
         select 'taxon_not_found', null, null, null union all select 'constant_input', null, null, null union all

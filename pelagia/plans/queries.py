@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pelagia.operators import (abundance, association, charts, diversity, qualit
 from pelagia.operators.ordering import page
 from pelagia.plans.analysis import Analysis
 from pelagia.sources import catalog, erasable, store
-from pelagia.sources.erasable import ErasableTable
 from pelagia.sources.binding import Binding
+from pelagia.sources.erasable import ErasableTable
 from pelagia.sources.tsv import read_wide, scan_typed_tsv
 from pelagia.streaming import spans as streams
 
@@ -488,6 +489,18 @@ def environment_association(b):
     return digits(summary.drop("filters"), "rho", "p_value")
 
 
+@query
+def page_totals(b):
+    """Where the pages of four calls lie in their whole lists."""
+    call = Analysis(b)
+    answers = [call.find_taxa(marker="v4", taxon=TAXON, asv_offset=3, asv_limit=5, sample_limit=7),
+               call.taxon_abundance(marker="v4", taxon=TAXON, include_zero_samples=False, offset=2, limit=4),
+               call.diversity_analysis(marker="v9", taxon="promo", offset=1, limit=2),
+               call.environment_association(marker="v4", taxon=TAXON, environment_variable=VARIABLE, point_limit=9)]
+    rows = [a.extra["pages"].withColumn("call", F.lit(i)) for i, a in enumerate(answers)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def association_warnings(b):
     return Analysis(b).environment_association(
