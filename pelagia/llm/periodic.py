@@ -1,7 +1,7 @@
 """Periodic runs of words, found on a grammar of the texts.
 
 Words are `[^\\x20\\x09-\\x0D]+`, numbered from 0. A run is a stretch with smallest period q, of at least
-``max(least, power * q)`` words (``power`` is 4 at least), that no neighbouring word extends keeping period q.
+``max(least, power * q)`` words (``power`` is 4 at least, ``least`` 6), that no neighbouring word extends keeping period q.
 
 **Re-Pair.** The texts of a slice share one grammar. In rounds, pairs of neighbouring symbols of one text are counted without
 overlaps; every occurrence whose pair is more frequent than both pairs that overlap it becomes a new nonterminal, until no
@@ -290,8 +290,8 @@ def merged(text, start, end, period):
 
 def word_runs(ids: np.ndarray, pointer: np.ndarray, words: int, least: int = 6, power: int = 4):
     """(text, start, end, period) of all runs of several texts, places counted over all words of the slice."""
-    if power < 4:
-        raise ValueError("runs of fewer than four periods need not repeat beside a boundary")
+    if power < 4 or least < 6:
+        raise ValueError("runs of fewer than four periods or six words need not repeat beside a boundary")
     texts = np.flatnonzero(np.diff(pointer))
     if not len(texts) or len(ids) < 2:
         return [np.zeros(0, np.int64)] * 4

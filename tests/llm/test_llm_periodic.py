@@ -39,7 +39,7 @@ def made_up(rng):
     return words
 
 
-@pytest.mark.parametrize("least, power", [(6, 4), (2, 4), (9, 5)])
+@pytest.mark.parametrize("least, power", [(6, 4), (7, 4), (9, 5)])
 def test_word_runs(least, power):
     rng = random.Random(least)
     for _ in range(400):
@@ -104,6 +104,8 @@ def test_texts_of_all_kinds(spark):
     assert periodic.periodic_runs(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         periodic.word_runs(np.arange(9), np.array([0, 9]), 9, power=3)
+    with pytest.raises(ValueError):
+        periodic.word_runs(np.arange(9), np.array([0, 9]), 9, least=5)
 
 
 def test_query_against_its_definition(spark):
