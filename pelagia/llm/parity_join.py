@@ -216,7 +216,8 @@ def verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, n: int, pe
         give_back()
         return out
 
-    near = pairs.join(one, "a").join(two, "b").withColumn("apart", apart("size_a", "fold_a", "size_b", "fold_b")).where("apart is not null")
+    width = FOLD_BITS // 8 + 48
+    near = pairs.join(small_side(one, width), "a").join(small_side(two, width), "b").withColumn("apart", apart("size_a", "fold_a", "size_b", "fold_b")).where("apart is not null")
     if best:
         near = near.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
     near = stored(near.select("a", "b"), "near-pairs")
