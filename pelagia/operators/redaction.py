@@ -6,10 +6,13 @@ import json
 import math
 import re
 import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +47,11 @@ PAGE_FIELDS = ("page", "asv_page", "sample_page", "point_page")
 COMPACT_ITEMS = 20
 COMPACT_TEXT = 300
 # --- end of fixed values ----------------------------------------------------------------------
+#: Characters of JSON that a task holds parsed at a time, whatever the size of its batches.
+PIECE_CHARACTERS = 1 << 20
+PIECE_TEXTS = 1 << 14
+#: Short texts that are parsed as one.
+JOINED_TEXTS = 1 << 8
 
 
 @dataclass(frozen=True)
@@ -54,6 +62,11 @@ class Limits:
     values: int = 2_000
     characters: int = 100_000
 
+    def shortest(self) -> int:
+        """JSON texts of so many characters reach none of the limits but that of depth: a value takes two of them
+        or more, and a secret becomes at most 11 times as long."""
+        return min(2 * self.items, 2 * self.values - 1, self.text // 11, self.characters // 11, KEY_LENGTH)
+
 
 def names_secret(key: str) -> bool:
     """Whether a key, letters and digits only, is that of a secret."""
@@ -66,6 +79,8 @@ _RULES = [(re.compile(pattern, re.I), re.sub(r"\$(\d)", r"\\\1", to)) for patter
 
 
 def redact_string(value: str) -> str:
+    if ":" not in value and "=" not in value and "bearer" not in value.lower():
+        return value  # each pattern needs one of them
     for pattern, to in _RULES:
         value = pattern.sub(to, value)
     return value
@@ -183,17 +198,116 @@ def _parsed(text: str):
         return text
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
+#: Keys seen, which are few beside values, and whether they name secrets.
+_SEEN_KEYS: dict[str, bool] = {}
+
+
+def _seen_secret(key: str) -> bool:
+    known = _SEEN_KEYS.get(key)
+    if known is None:
+        if len(_SEEN_KEYS) >= PIECE_TEXTS:
+            _SEEN_KEYS.clear()
+        known = _SEEN_KEYS[key] = names_secret(key)
+    return known
+
+
+def _redacted(node):
+    """A value that reaches no limit, without its secrets; containers are changed in place."""
+    kind = type(node)
+    if kind is str:
+        return redact_string(node)
+    if kind is dict:
+        for key, value in node.items():
+            node[key] = REDACTED if _seen_secret(key) else value if type(value) is int else _redacted(value)
+    elif kind is list:
+        node[:] = map(_redacted, node)
+    elif kind is float and not math.isfinite(node):
+        return str(node)
+    return node
+
+
+def safe_forms(texts: Iterable[str | None], limits: Limits = Limits()) -> Iterator[dict | None]:
+    """The safe form of each JSON text in turn, None for null and JSON's null.
+
+    Short texts, which reach no limit, need no budgets. The others are flattened some at a time.
+    """
+    short, held, long, size = limits.shortest(), [], [], 0
+
+    def ready():
+        for place, safe in zip(long, sanitize_batch([held[i] for i in long], limits) if long else ()):
+            held[place] = safe
+        return held
+
+    for text in texts:
+        payload = None if text is None else _parsed(text)
+        if payload is None:
+            held.append(None)
+        elif len(text) <= short and text.count("{") + text.count("[") <= limits.depth:
+            safe = _redacted(payload)
+            held.append(safe if type(safe) is dict else {"value": safe})
+        else:
+            long.append(len(held))
+            held.append(payload)
+        size += len(text or "")
+        if size >= PIECE_CHARACTERS or len(held) >= PIECE_TEXTS:
+            yield from ready()
+            held, long, size = [], [], 0
+    yield from ready()
+
+
+def _together(texts: list[str | None], limits: Limits) -> list[str] | None:
+    """The safe forms of short objects without objects in them, parsed and written as one list; None for other texts.
+
+    With as many braces as texts, one at each end of a text, a list of as many objects has used each of them, so it
+    holds what each text alone would be parsed to.
+    """
+    if None in texts or max(map(len, texts)) > limits.shortest():
+        return None
+    joined, many = ",".join(texts), len(texts)
+    if joined.count("[") >= limits.depth or not joined.count("{") == joined.count("}") == many:
+        return None
+    if joined[0] != "{" or joined[-1] != "}" or [len(t) + 2 for t in joined[1:-1].split("},{")] != [*map(len, texts)]:
+        return None
+    found = _parsed(f"[{joined}]")
+    if type(found) is not list or len(found) != many or {*map(type, found)} != {dict}:
+        return None
+    safe = _encode([*map(_redacted, found)])
+    if not safe.count("{") == safe.count("}") == many:
+        return None  # a brace came out of an escape
+    return [f"{{{t}}}" for t in safe[2:-2].split("},{")]
+
+
+def safe_texts(texts: Iterable[str | None], limits: Limits = Limits()) -> Iterator[str]:
+    """``safe_forms`` as JSON texts."""
+    texts = iter(texts)
+    while piece := list(islice(texts, JOINED_TEXTS)):
+        yield from _together(piece, limits) or map(_encode, safe_forms(piece, limits))
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """A column's texts, of which few are Python's at a time."""
+    for at in range(0, len(column), PIECE_TEXTS):
+        yield from column.slice(at, PIECE_TEXTS).to_pylist()
+
+
+def _in_pieces(texts: Iterable[str | None]) -> pa.Array:
+    """The texts as a column, which is built a piece at a time."""
+    texts, done = iter(texts), []
+    while piece := list(islice(texts, PIECE_TEXTS)):
+        done.append(pa.array(piece, pa.string()))
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
 def sanitizer(limits: Limits = Limits()):
-    """A column function over JSON texts; a batch of payloads is flattened together."""
-    @F.pandas_udf(T.StringType())
-    def sanitize_json(payloads: pd.Series) -> pd.Series:
-        given = payloads.dropna()
-        payload = [_parsed(t) for t in given]
-        # JSON's null stays null.
-        live = [i for i, p in enumerate(payload) if p is not None]
-        safe = dict(zip(live, sanitize_batch([payload[i] for i in live], limits)))
-        out = [json.dumps(safe.get(i), ensure_ascii=False, separators=(",", ":")) for i in range(len(payload))]
-        return pd.Series(out, index=given.index, dtype=object).reindex(payloads.index)
+    """A column function over JSON texts."""
+    @F.arrow_udf(T.StringType())
+    def sanitize_json(payloads: pa.Array) -> pa.Array:
+        given = payloads.is_valid()  # JSON's null stays null
+        safe = _in_pieces(safe_texts(_texts(payloads), limits))
+        return pc.if_else(given, safe, pa.scalar(None, pa.string()))
     return sanitize_json
 
 
@@ -218,33 +332,28 @@ OMITTED_IDS = "sample_ids_omitted"
 
 def list_sanitizer(limits: Limits = Limits()):
     """A column function over arrays of JSON texts; what is null or JSON's null becomes an empty object."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def sanitize_list(lists: pd.Series) -> pd.Series:
-        given = [None if v is None else [{} if t is None else _parsed(t) for t in v] for v in lists]
-        flat = [{} if p is None else p for v in given if v is not None for p in v]
-        safe = iter(sanitize_batch(flat, limits) if flat else [])
-        return pd.Series([None if v is None else [_compact(next(safe)) for _ in v] for v in given], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def sanitize_list(lists: pa.Array) -> pa.Array:
+        safe = _in_pieces("{}" if text == "null" else text for text in safe_texts(_texts(lists.flatten()), limits))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, safe, mask=lists.is_null())
     return sanitize_list
 
 
 def attribute_sanitizer(limits: Limits = Limits()):
     """A column function over attributes as JSON text and the number of ids left out, which is added to them."""
-    @F.pandas_udf(T.StringType())
-    def sanitize_attributes(payloads: pd.Series, omitted: pd.Series) -> pd.Series:
-        out = []
-        for text, more in zip(payloads, omitted):
-            safe = sanitize_mapping(None if text is None else _parsed(text), limits)
-            if not pd.isna(more):
-                safe = {**(safe or {}), OMITTED_IDS: int(more)}
-            out.append(None if safe is None else _compact(safe))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(T.StringType())
+    def sanitize_attributes(payloads: pa.Array, omitted: pa.Array) -> pa.Array:
+        def told():
+            for safe, more in zip(safe_forms(_texts(payloads), limits), _texts(omitted)):
+                if more is not None:
+                    safe = {**(safe or {}), OMITTED_IDS: more}
+                yield None if safe is None else _encode(safe)
+        return _in_pieces(told())
     return sanitize_attributes
 
 
-def _compact(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-
 def sanitize_updates(updates: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Updates of spans as they may be stored; of the columns below, those that there are.
 

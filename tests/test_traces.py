@@ -374,3 +374,37 @@ def test_sessions_are_erased_with_what_hangs_on_them_and_a_stopped_run_can_be_re
     for t in (sessions, messages, traces_, spans_):
         t.rewrite()
     assert [t.read().count() for t in (sessions, messages, traces_, spans_)] == counts
+
+
+def test_short_payloads_keep_their_safe_form_when_parsed_together():
+    texts = ['{"token":1,"at":2}', '{"a":"secret=2"}', '{"a":1},{"b":2', '"c":3}', '{"a":"x}', '{","b":1}', '{"a":"\\u007b"}', '{"k":NaN}', "null", None,
+             ' {"a":[1]}', '{"t":[1,"Bearer q"]}', "no json", "[" * 9 + "]" * 9, '{"n":[' + "1," * 200 + "1]}", '{"s":"' + "x" * 300 + '"}']
+
+    def alone(text, limits):
+        return json.dumps(None if text is None else sanitize_mapping(redaction._parsed(text), limits), ensure_ascii=False, separators=(",", ":"))
+
+    for limits in (Limits(), Limits(2, 3, 5, 20, 40)):
+        for first in range(len(texts)):
+            for given in (texts[first:], texts[first:first + 1], texts[:first + 1] * 3, texts[first:first + 2] * 200):
+                assert list(redaction.safe_texts(given, limits)) == [alone(t, limits) for t in given]
+
+
+def test_a_task_holds_few_payloads_parsed(monkeypatch):
+    sizes, whole = [], redaction.sanitize_batch
+    monkeypatch.setattr(redaction, "sanitize_batch", lambda payloads, limits: sizes.append(len(payloads)) or whole(payloads, limits))
+    text = json.dumps({"n": list(range(50)), "s": "x" * 20_000})
+    assert list(redaction.safe_texts([text] * 1000)) == [json.dumps(json.loads(text), separators=(",", ":"))] * 1000
+    assert max(sizes) * len(text) <= 2 * redaction.PIECE_CHARACTERS
+
+
+def test_updates_of_one_file_are_made_safe_in_many_tasks(spark, tmp_path):
+    from pelagia.plans.queries import QUERIES
+    from pelagia.sources.binding import TABLES
+    for name in TABLES:
+        if name != "events":
+            (tmp_path / f"{name}.parquet").mkdir()
+    spark.sql("select id as event_id, timestamp_ntz'2024-01-01 00:00:00' as ts, id as user_id, 'view' as event_type, 1D as value, '{}' as props from range(50)") \
+        .coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    safe = QUERIES["sanitize_update"](spark, str(tmp_path))
+    assert safe.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert safe.filter("password = '[REDACTED]' and n = event_id and sources = least(100, 95 + event_id % 11)").count() == 50
