@@ -72,7 +72,6 @@ _CUT = re.compile(r"\n+|(?<=[.!?;:])[ \t]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _STOP = re.compile(r"[.!?;:]\s*\Z")
 _TALKS = re.compile(r"licen[cs]e|\bspdx\b|permission|redistribut|warrant|free software|unencumbered|neither the name of|compliance with", re.I)
-_ANCHORS = ("licen", "spdx", "permission", "redistribut", "warrant", "free software", "unencumbered", "neither the name of", "compliance with")
 _GRANT = re.compile(r"^(?:(?:this|the|our|all) )?(?:[a-z]+ ){0,2}?(?:is |are )?(?:also |dual )?(?:licensed|released|distributed|available|published|provided)(?: only)? under (?:the )?(?:terms of (?:the )?)?(?:conditions of (?:the )?)?(.+)$")
 _SPDX = re.compile(r"^spdx-license-identifier (.+)$")
 _DEFINED = re.compile(r" (?:the|this) license$")
@@ -186,9 +185,6 @@ def identified(text: str) -> tuple[list[tuple[int, int, int, int, str]], int]:
 
 def licences(text: str, gap: int = GAP) -> tuple[list[tuple[str, int, int, list[str]]], int]:
     """(licence, begin, end, identifiers) of each match in order, and the number of unknown licence sentences."""
-    small = text.lower()
-    if not any(anchor in small for anchor in _ANCHORS):
-        return [], 0
     known, unknown = identified(text)
     used: set[int] = set()
     found = []

@@ -90,6 +90,13 @@ copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'''
 
 
+@pytest.mark.parametrize("text, name", [
+    ("Words.\nReleased under CC BY 4.0.", "CC-BY-4.0"), ("The data is available under the MIT.", "MIT"), ("published under the GPL\nversion 3", "GPL-3.0"),
+    ("This is free\nand  unencumbered\nsoftware released into the public domain", "Unlicense")])
+def test_every_text_is_read_whatever_words_it_holds(text, name):
+    assert [m[0] for m in licences.licences(text)[0]] == [name]
+
+
 def test_rules_need_their_order_and_nearness():
     grant, notice, warranty = MIT.split("\n\n")
     names = lambda text: [(m[0], m[3]) for m in licences.licences(text)[0]]
