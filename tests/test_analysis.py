@@ -313,3 +313,23 @@ def test_answers_are_the_same_with_and_without_the_index(store):
             one, two = (getattr(Analysis(t), call)(**request) for t in (store, Bare()))
             for part in ("items", "summary", "warnings"):
                 assert [str(r) for r in getattr(one, part).collect()] == [str(r) for r in getattr(two, part).collect()]
+
+
+def test_matrix_counts_need_one_shuffle_of_their_own(spark):
+    from pelagia.sources.binding import Binding
+    b = Binding(spark, "/root/testdata/sf0.001")
+    owners = b.raw("orders").selectExpr("o_orderkey", "cast(o_custkey % 3 as int) as place")
+    rows = b._matrix_rows(owners)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(marker") == 1 and "place" not in "".join(line for line in plan.splitlines() if "hashpartitioning(marker" in line).split("hashpartitioning(")[1].split(")")[0]
+    lines = b.raw("lineitem").join(owners, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_linestatus = 'O'")
+    assert rows.filter("marker = 'v4'").agg(F.sum("total")).first() == lines.agg(F.sum(F.col("l_quantity").cast("long"))).first()
+
+
+def test_counts_are_added_up_once(spark):
+    """The bounds of the stored ranges are sampled from added-up counts on disk, not from the join."""
+    from pelagia.sources.binding import Binding
+    frame, _, _ = Binding(spark, "/root/testdata/sf0.001")._build_counts()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert frame.groupBy("marker", "amplicon", "sample_id").count().filter("count > 1").isEmpty()
