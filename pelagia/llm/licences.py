@@ -72,6 +72,8 @@ _CUT = re.compile(r"\n+|(?<=[.!?;:])[ \t]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _STOP = re.compile(r"[.!?;:]\s*\Z")
 _TALKS = re.compile(r"licen[cs]e|\bspdx\b|permission|redistribut|warrant|free software|unencumbered|neither the name of|compliance with", re.I)
+#: One of these, in small letters, is in every ASCII text that the pattern above is found in.
+_ANCHORS = ("licen", "spdx", "permission", "redistribut", "warrant", "free software", "unencumbered", "neither the name of", "compliance with")
 _GRANT = re.compile(r"^(?:(?:this|the|our|all) )?(?:[a-z]+ ){0,2}?(?:is |are )?(?:also |dual )?(?:licensed|released|distributed|available|published|provided)(?: only)? under (?:the )?(?:terms of (?:the )?)?(?:conditions of (?:the )?)?(.+)$")
 _SPDX = re.compile(r"^spdx-license-identifier (.+)$")
 _DEFINED = re.compile(r" (?:the|this) license$")
@@ -88,10 +90,19 @@ LONGEST_NAME = max(len(name.split()) for name in NAMES)
 _LATER = re.compile(r" (?:only|or (?:at your option )?(?:any )?later(?: version)?)$")
 
 
+_NO_WORD = re.compile(r"[^\w./+-]+")
+_LOOSE = re.compile(r"(?<![0-9])[.](?![0-9])|[.](?![0-9])|\B[/+-]|[/+-]\B")
+#: The known sentences by their first words.
+BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _known, _name in SENTENCES.items():
+    BY_FIRST.setdefault(_known.split(" ", 1)[0], []).append((_known, _name))
+
+
 def normal_form(sentence: str) -> str:
     text = sentence.lower().replace("licence", "license")
-    text = re.sub(r"[^\w./+-]+", " ", text)
-    text = re.sub(r"(?<![0-9])[.](?![0-9])|[.](?![0-9])|\B[/+-]|[/+-]\B", " ", text)
+    text = _NO_WORD.sub(" ", text).rstrip(" .")
+    if "." in text or "/" in text or "+" in text or "-" in text:
+        text = _LOOSE.sub(" ", text)
     return " ".join(text.split())
 
 
@@ -114,12 +125,12 @@ def licence_name(words: str) -> str | None:
 
 def identifier(form: str) -> str | None:
     """The known licence sentence that a normalised sentence is."""
-    named = _SPDX.match(form) or _GRANT.match(form)
+    named = _SPDX.match(form) or " under " in form and _GRANT.match(form)
     if named:
         name = licence_name(named[1])
         if name:
             return f"named:{name}"
-    for known, name in SENTENCES.items():
+    for known, name in BY_FIRST.get(form.split(" ", 1)[0], ()):
         if form == known or form.startswith(known + " "):
             return name
     return None
@@ -163,6 +174,8 @@ def identified(text: str) -> tuple[list[tuple[int, int, int, int, str]], int]:
     spans = sentences(text)
     forms = [normal_form(text[a:b]) for a, b in spans]
     numbers = whole_sentences(text, spans, forms)
+    small = text.lower()
+    may_talk = not text.isascii() or any(anchor in small for anchor in _ANCHORS)
     found, unknown, i = [], 0, 0
     while i < len(spans):
         begin, end = spans[i]
@@ -178,7 +191,7 @@ def identified(text: str) -> tuple[list[tuple[int, int, int, int, str]], int]:
             found.append((numbers[i], numbers[i + many - 1], begin, end, name))
             i += many
         else:
-            unknown += bool(_TALKS.search(text, *spans[i]))
+            unknown += may_talk and bool(_TALKS.search(text, *spans[i]))
             i += 1
     return found, unknown
 
