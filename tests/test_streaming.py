@@ -1,6 +1,8 @@
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 from pelagia.operators import traces
+from pelagia.plans.queries import in_batches
 from pelagia.streaming import spans as streams
 from pelagia.streaming.log import LevelLog
 
@@ -214,3 +216,13 @@ def test_payloads_are_safe_before_they_are_stored(spark, tmp_path):
     source = feed(spark, tmp_path / "in", [[('{"password":"x"}',)], [('{"q":"secret=1"}',)]], "payload string")
     rows = streams.run_available(streams.safe_stream(source, ["payload"]), "s")
     assert sorted(r.payload for r in rows.collect()) == ['{"password":"[REDACTED]"}', '{"q":"secret=[REDACTED]"}']
+
+
+def test_a_part_of_many_files_is_one_batch(spark, tmp_path):
+    """A large file is written by several tasks, whose files of one part come together."""
+    spark.range(3000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    table = SimpleNamespace(spark=spark, raw=lambda name: spark.read.parquet(str(tmp_path / name)).repartition(8))
+    seen = []
+    streams.take_in(in_batches(table, "one", "id long", "id"), lambda batch, i: seen.append({r.id for r in batch.collect()}), str(tmp_path / "progress"))
+    assert len(seen) == 3 and set.union(*seen) == set(range(3000))
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]))
