@@ -70,7 +70,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int)
                     [names.take(pa.array(owner + texts.first)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), lists,
                      pa.array(crc), pa.array(np.full(len(owner), part, np.int32)), pa.array(nth)],
                     names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "nth"])
-    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, PIECES)
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, PIECES, tidy=True, encodes=True)
 
 
 @dataclass

@@ -121,7 +121,7 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, bits: int) -> DataFrame:
                     crcs.append(zlib.crc32(own))
                 yield pa.RecordBatch.from_arrays([names.slice(texts.first, len(texts)), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(rows, pa.binary())],
                                                  names=["doc_id", "n", "crc", "packed"])
-    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n long, crc long, packed binary")
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n long, crc long, packed binary", tidy=True, encodes=True)
 
 
 def bucket_of(value: Column, limits: Column) -> Column:
