@@ -5,12 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from pelagia.cluster import scratch_path
-from pelagia.llm import packing, token_files
+from pelagia.llm import lm, packing, token_files
 from pelagia.llm.queries import BYTE_IDS, BYTE_VOCABULARY, WORD_VOCABULARY
+from pelagia.llm.tables import arrow
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, length string, part long, ids string"
@@ -123,3 +125,23 @@ def test_added_tokens_have_their_own_ids(spark, vocabulary):
         found = token_files.round_trip(docs, vocabulary, BYTE_IDS, end=1, with_ids=False).collect()
         starts = np.cumsum([0, *map(len, wanted)])
         assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == [(i, starts[i], len(w), crc(w)) for i, w in enumerate(wanted)]
+
+
+def test_encoders_stay_for_steps_that_encode_only(spark):
+    """A worker that encoded for one step doesn't carry its tables through the others."""
+    rows = spark.createDataFrame([(1, "some words", 1, False)], "doc_id long, text string, digest long, held_out boolean").coalesce(1)
+
+    def work(batches):
+        import os
+        import sys
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * len(batch)), pa.array(["_pelagia_encoders" in sys.modules] * len(batch))], names=["pid", "held"])
+
+    def after_encoding(**how):
+        lm.id_rows(rows, BYTE_VOCABULARY, BYTE_IDS - 1).collect()
+        found = [arrow(rows.select("text"), work, "pid long, held boolean", **how).collect()[0] for _ in range(12)]  # idle workers take turns
+        return any(r.held for r in found)
+
+    assert after_encoding(encodes=True)
+    assert not after_encoding()
+    assert not after_encoding(tidy=True)
