@@ -181,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     width = 2 * DIMENSIONS + 2
     rows = found["features"].combine_chunks().flatten().to_numpy().reshape(-1, width).astype(float) if found.num_rows else np.zeros((0, width))
     truth = np.array([int(p.rsplit(" ", 1)[1]) for p in found["pair"].to_pylist()], int)
-    return vectors, train(rows, truth)
+    model = train(rows, truth)
+    del found, rows
+    give_back()  # the driver's own Python goes on through all later steps
+    return vectors, model
 
 
 def scorer(docs: DataFrame, vectors: np.ndarray, model: dict[str, np.ndarray]):

@@ -202,6 +202,40 @@ def test_wide_blocks_are_cut_and_lose_no_link(spark):
     assert parity_join.cut_by_prefix(one_block.withColumn("label", F.col("a")).withColumn("n", F.lit(210)), texts, 1, 90).select("a").distinct().count() < 60
 
 
+def test_keys_are_grouped_in_slices(spark, monkeypatch):
+    """No grouping shuffles all keys at once, and what it leaves open to send is a part of the keys."""
+    rows = spark.range(4000).select(F.xxhash64(F.col("id") % 1000).alias("key"), F.col("id").alias("a"))
+    labels = spark.range(0, 4000, 2).select(F.col("id").alias("node"), (F.col("id") % 1000).alias("label"))
+    sizes = []
+
+    def noted(frame, label):
+        if label == "open-keys":
+            sizes.append(frame.count())
+        return frame.localCheckpoint()
+    monkeypatch.setattr(parity_join, "stored", noted)
+    found = parity_join.open_in_slices(rows.unionByName(rows), labels)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, parity_join.open_members(rows, labels).collect()))
+    assert len(sizes[:-1]) == parity_join.SLICES and max(sizes[:-1]) < 0.4 * sizes[-1]
+
+
+def test_large_sketches_and_texts_are_not_broadcast(spark):
+    rows = [(i, " ".join(f"t{i // 2}x{j}" for j in range(60)) + i % 2 * " more") for i in range(60)]
+    docs = with_odd_rows(spark, rows).select("doc_id", "text")
+    sets, _, seed = parity_join.set_classes(docs, 1, lambda found: [parity_join.block_keys(s, 90) for s in found])
+    vertices = sets.select("a", F.col("doc_id").alias("first"), "size", "fold")
+    texts = parity_join.texts_for(docs, vertices, 1, seed)
+    ids = {r.a: r.doc_id for r in sets.collect()}
+    pairs = vertices.select("a").crossJoin(vertices.select(F.col("a").alias("b"))).where("a < b")
+    for payload in (0, parity_join.PAYLOAD_BYTES):
+        one, two = parity_join.sketch_sides(vertices, payload)
+        plan = one.join(two, F.col("id_a") == F.col("id_b"))._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (payload > 0)
+        found = parity_join.verified(pairs, vertices, texts, 1, 90, best=False, payload=payload).collect()
+        assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in found} == {(i, i + 1) for i in range(0, 60, 2)}
+        best = parity_join.verified(pairs, vertices, texts, 1, 90, best=True, payload=payload).collect()
+        assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in best} == {(i, i + 1) for i in range(0, 60, 2)}
+
+
 def test_one_row_of_each_component_stays(spark):
     """Ids that are null, repeated, or of two different texts."""
     base = " ".join(f"w{i}" for i in range(60))
