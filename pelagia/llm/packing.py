@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.tables import arrow, stored
+from pelagia.llm.tables import arrow, forget_encoders, stored
 from pelagia.llm.tokens import encoder
 from pelagia.llm.words import texts_of
 
@@ -196,6 +196,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = 4096) -
 
     @F.arrow_udf("struct<sequence_id: bigint, offset: bigint>")
     def placed(length: pa.Array, number: pa.Array) -> pa.Array:
+        forget_encoders()  # of the step that made the pieces
         sequence, offset = place(plan.value, length.to_numpy(), number.to_numpy())
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
 

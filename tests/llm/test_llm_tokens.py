@@ -10,9 +10,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from pelagia.cluster import scratch_path
-from pelagia.llm import lm, packing, token_files
+from pelagia.llm import lm, packing, token_files, tokens, words
 from pelagia.llm.queries import BYTE_IDS, BYTE_VOCABULARY, WORD_VOCABULARY
 from pelagia.llm.tables import arrow
+from pelagia.llm.words import texts_of
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, length string, part long, ids string"
@@ -127,21 +128,55 @@ def test_added_tokens_have_their_own_ids(spark, vocabulary):
         assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == [(i, starts[i], len(w), crc(w)) for i, w in enumerate(wanted)]
 
 
-def test_encoders_stay_for_steps_that_encode_only(spark):
-    """A worker that encoded for one step doesn't carry its tables through the others."""
-    rows = spark.createDataFrame([(1, "some words", 1, False)], "doc_id long, text string, digest long, held_out boolean").coalesce(1)
-
+def encoders_held(rows, **how):
+    """Whether a worker comes to a step with encoders of earlier ones."""
     def work(batches):
-        import os
         import sys
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * len(batch)), pa.array(["_pelagia_encoders" in sys.modules] * len(batch))], names=["pid", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(["_pelagia_encoders" in sys.modules] * len(batch))], names=["held"])
+
+    return any(arrow(rows.select("text"), work, "held boolean", **how).collect()[0].held for _ in range(12))  # idle workers take turns
+
+
+def test_encoders_stay_for_steps_that_encode_only(spark):
+    """A worker that encoded for one step doesn't carry its tables through the others."""
+    rows = spark.createDataFrame([(1, "some words", 1, False)], "doc_id long, text string, digest long, held_out boolean").coalesce(1)
 
     def after_encoding(**how):
         lm.id_rows(rows, BYTE_VOCABULARY, BYTE_IDS - 1).collect()
-        found = [arrow(rows.select("text"), work, "pid long, held boolean", **how).collect()[0] for _ in range(12)]  # idle workers take turns
-        return any(r.held for r in found)
+        return encoders_held(rows, **how)
 
     assert after_encoding(encodes=True)
     assert not after_encoding()
     assert not after_encoding(tidy=True)
+
+
+def test_placing_drops_the_encoders_of_the_pieces(spark):
+    rows = spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1)
+    packed = packing.pack(rows, WORD_VOCABULARY)
+    assert [len(packed.collect()) for _ in range(12)] == [1] * 12
+    assert not encoders_held(rows, encodes=True)
+
+
+@pytest.mark.parametrize("vocabulary", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_the_library_gets_few_pieces_at_a_time(monkeypatch, vocabulary):
+    found = ["Many words, 7 and 77;\nit's 3 %% signs " + " ".join(f"w{i}x{i * i}" for i in range(k, k + 60)) for k in range(0, 90, 30)] + ["", "7 7\n7"]
+    library, sizes = Tokenizer.from_file(vocabulary), []
+    whole = tokens.Encoder.whole
+    monkeypatch.setattr(tokens, "PIECES", 8)
+    encoder = tokens.Encoder(vocabulary, bits=12)
+    monkeypatch.setattr(tokens.Encoder, "whole", lambda self, texts: sizes.append(max(len(t) for t in texts) if texts else 0) or whole(self, texts))
+    for _ in range(2):
+        for texts in texts_of(pa.array(found)):
+            ids, begin = encoder.encode(texts)
+            assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [library.encode(t, add_special_tokens=False).ids for t in found]
+    assert max(sizes) < 100  # eight short pieces; all of them have over a thousand characters
+
+
+def test_long_texts_are_hashed_with_short_tables(monkeypatch):
+    monkeypatch.setattr(words, "_POWERS", {})
+    texts = next(texts_of(pa.array([" ".join(f"word{i}" for i in range(80_000))])))
+    found = words.find_words(texts, words.NOT_WHITE)
+    hashes = found.hashes()
+    assert max(len(up) for up, _ in words._POWERS.values()) <= 1 << 18 < len(texts.data)
+    assert np.array_equal(hashes, words.hash_spans(found.data, found.starts, found.ends, limit=len(texts.data)))
