@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelagia.llm.tables import stored
+from pelagia.llm.tables import give_back, stored
 from pelagia.llm.words import ALNUM, Texts, Words, find_words, grams, texts_of
 
 WINDOW, GRAM = 10, 5
@@ -175,6 +175,7 @@ def scanner(block: DataFrame):
             starts += [[a for a, _ in s] for s in spans]
             ends += [[b for _, b in s] for s in spans]
             items += listed
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
             names=["n_words", "starts", "ends", "items"])
