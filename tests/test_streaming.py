@@ -226,3 +226,38 @@ def test_a_part_of_many_files_is_one_batch(spark, tmp_path):
     streams.take_in(in_batches(table, "one", "id long", "id"), lambda batch, i: seen.append({r.id for r in batch.collect()}), str(tmp_path / "progress"))
     assert len(seen) == 3 and set.union(*seen) == set(range(3000))
     assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]))
+
+
+def test_spans_are_kept_once_in_the_log(spark, tmp_path, monkeypatch):
+    """No state store holds the log's values again, and the shuffles of a segment go as soon as it is written."""
+    import time
+    from pyspark.sql import DataFrameWriter
+    left = []
+
+    def write(writer, path, *rest, real=DataFrameWriter.parquet):
+        before = shuffle_bytes(spark)
+        real(writer, path, *rest)
+        for _ in range(50):  # files are removed beside the query
+            if shuffle_bytes(spark) <= before:
+                break
+            time.sleep(0.1)
+        left.append(max(0, shuffle_bytes(spark) - before))
+
+    batches = [BRANCHES[:4], BRANCHES[4:7], BRANCHES[7:]]
+    source = feed(spark, tmp_path / "in", batches, EVENT)
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    log = streams.SpanLog(str(tmp_path / "log"))
+    query = log.run(source, str(tmp_path / "progress"))
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [4, 3, 3]
+    assert all(not p["stateOperators"] for p in query.recentProgress) and not (tmp_path / "progress" / "state").exists()
+    assert len(left) == 4 and not any(left)
+    assert len(log.log.segments(spark)[0]) == 2
+    want = {r.span_id: r for r in traces.span_fold(spark.createDataFrame(BRANCHES, EVENT)).collect()}
+    assert {r.span_id: r for r in log.spans(spark).collect()} == want
+
+
+def shuffle_bytes(spark):
+    """Bytes of all shuffle files that the session has at present."""
+    from pathlib import Path
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(f.stat().st_size for d in manager.localDirs() for f in Path(d.toString()).rglob("shuffle_*"))
