@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pelagia.cluster import shared_folder
 from pelagia.llm import decontaminate, exact_dedup, minhash, parity_join
 from pelagia.llm.components import components
+from pelagia.sources.storage import children, exists
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, lang string, digest string, key long, first int"
@@ -290,3 +292,34 @@ def test_contamination(spark, documents, chars):
     clean = decontaminate.without_hits(docs, bench, chars)
     assert clean.columns == docs.columns
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((w[0] for w in hits_brute(rows, items) if not w[2]), key=repr)
+
+
+def test_the_join_leaves_no_steps_behind(spark):
+    """What nothing reads any more is removed, and what the result reads stays."""
+    rows = [(i, " ".join(f"t{i // 3}x{j}" for j in range(60)) + i % 3 * " more") for i in range(60)]
+    docs = with_odd_rows(spark, rows)
+    folder, before = shared_folder(spark), steps(spark)
+    kept = parity_join.keep_one(docs)
+    assert {s.rsplit("-", 1)[0] for s in steps(spark) - before} == {"row-kinds"}
+    assert {r.doc_id for r in kept.collect()} >= set(range(0, 60, 3)) and not {r.doc_id for r in kept.collect()} & {1, 2, 4, 5, 58, 59}
+    assert all(exists(spark, f"{folder}/{s}") for s in before)
+
+
+def steps(spark):
+    return {f.name for f in children(spark, shared_folder(spark)) if f.folder}
+
+
+def test_blocks_meet_in_slices(spark, monkeypatch):
+    """Blocks beyond the limit are worked on in slices, which give the pairs that all at once give."""
+    rows = [(i, " ".join(f"t{i % 40}x{j}" for j in range(60)) + " one two"[:i // 40 * 4]) for i in range(120)]
+    docs = with_odd_rows(spark, rows).select("doc_id", "text")
+    sets, _, seed = parity_join.set_classes(docs, 1, lambda found: [parity_join.block_keys(s, 90) for s in found])
+    vertices = sets.select("a", F.col("doc_id").alias("first"), "size", "fold")
+    texts = parity_join.texts_for(docs, vertices, 1, seed)
+    members = sets.select(F.explode("keys").alias("key"), "a").distinct()
+    nothing = spark.createDataFrame([], "node long, label long")
+    labels, stored = [], parity_join.stored
+    monkeypatch.setattr(parity_join, "stored", lambda frame, label: (labels.append(label), stored(frame, label))[1])
+    one, many = (sorted(map(tuple, parity_join.cross_pairs(members, nothing, vertices, texts, 1, 90, limit=limit).collect())) for limit in (1 << 30, 0))
+    assert one == many and len(one) >= 120
+    assert labels.count("block-pairs") == parity_join.SLICES
