@@ -287,6 +287,88 @@ def safe_texts(texts: Iterable[str | None], limits: Limits = Limits()) -> Iterat
         yield from _together(piece, limits) or map(_encode, safe_forms(piece, limits))
 
 
+# A flat object as it is written here: in its keys and texts no sign that divides its parts, asks for an escape or stands
+# in a credential. Of such objects every brace, colon and comma is a part's end.
+_KEY, _TEXT = r'"[ !#-+\--9;-Z^-z|~]*"', r'"[ !#-+\--9;<>-Z^-z|~]*"'
+_PAIR = rf"{_KEY}:(?:{_TEXT}|-?[1-9][0-9]{{0,17}}|0|true|false|null)"
+FLAT = rf"^\{{{_PAIR}(?:,{_PAIR})*\}}$"
+_REPLACED = np.frombuffer(_encode(REDACTED).encode(), np.uint8)
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text ends, and the bytes of all."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]
+    return ends[1:] - ends[0], data
+
+
+def _flat(texts: pa.Array, limits: Limits) -> pa.Array:
+    """Whether each text is a short flat object that changes in the values of secret keys only, repeated keys aside."""
+    short = pc.less_equal(pc.binary_length(texts), limits.shortest() if limits.depth > 0 else -1)
+    flat = pc.fill_null(pc.and_(short, pc.match_substring_regex(texts, FLAT)), False)
+    if b"bearer" in _bytes(texts)[1].tobytes().lower():
+        flat = pc.and_(flat, pc.invert(pc.fill_null(pc.match_substring(texts, "bearer", ignore_case=True), False)))
+    return flat
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which bytes lie in the spans, which are in order and apart."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
+def _strings(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _flat_safe(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The safe forms of flat objects, all at once over their bytes, and which of them have a key twice."""
+    ends, data = _bytes(texts)
+    comma = data == ord(",")
+    heads, colons = np.flatnonzero(comma | (data == ord("{"))) + 1, np.flatnonzero(data == ord(":"))
+    tails = np.flatnonzero(comma | (data == ord("}")))
+    keys = _strings(np.cumsum(colons - heads), data[_spans(data, heads, colons)]).dictionary_encode()
+    code, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+    owner = np.searchsorted(ends, heads, side="right")
+    place = np.sort(owner * len(names) + code)
+    twice = np.zeros(len(texts), bool)
+    twice[place[1:][place[1:] == place[:-1]] // len(names)] = True
+    secret = np.array([_seen_secret(name[1:-1]) for name in names])[code]
+    if not secret.any():
+        return texts, twice
+    start, stop, size = colons[secret] + 1, tails[secret], len(_REPLACED)
+    grown = np.cumsum(size - (stop - start))
+    out = np.empty(len(data) + int(grown[-1]), np.uint8)
+    at = start + np.concatenate([[0], grown[:-1]])
+    new = _spans(out, at, at + size)
+    out[~new] = data[~_spans(data, start, stop)]
+    out[new] = np.tile(_REPLACED, len(at))
+    return _strings(ends + np.concatenate([[0], grown])[np.searchsorted(owner[secret], np.arange(len(texts)), side="right")], out), twice
+
+
+def safe_column(column: pa.Array, limits: Limits = Limits()) -> pa.Array:
+    """``safe_texts`` of a column. Short flat objects are worked on together as bytes, all other texts one by one."""
+    done = []
+    for at in range(0, len(column), PIECE_TEXTS):
+        texts = column.slice(at, PIECE_TEXTS).cast(pa.string())
+        flat = _flat(texts, limits).to_numpy(zero_copy_only=False)
+        if flat.any():
+            safe, twice = _flat_safe(texts.filter(pa.array(flat)))
+            if twice.any():
+                safe = safe.filter(pa.array(~twice))
+                flat[np.flatnonzero(flat)[twice]] = False
+            texts = pc.replace_with_mask(texts, pa.array(flat), safe)
+        if not flat.all():
+            rest = pa.array(~flat)
+            texts = pc.replace_with_mask(texts, rest, _in_pieces(safe_texts(_texts(texts.filter(rest)), limits)))
+        done.append(texts)
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
 def _texts(column: pa.Array) -> Iterator[str | None]:
     """A column's texts, of which few are Python's at a time."""
     for at in range(0, len(column), PIECE_TEXTS):
@@ -306,7 +388,7 @@ def sanitizer(limits: Limits = Limits()):
     @F.arrow_udf(T.StringType())
     def sanitize_json(payloads: pa.Array) -> pa.Array:
         given = payloads.is_valid()  # JSON's null stays null
-        safe = _in_pieces(safe_texts(_texts(payloads), limits))
+        safe = safe_column(payloads, limits)
         return pc.if_else(given, safe, pa.scalar(None, pa.string()))
     return sanitize_json
 
@@ -334,7 +416,8 @@ def list_sanitizer(limits: Limits = Limits()):
     """A column function over arrays of JSON texts; what is null or JSON's null becomes an empty object."""
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def sanitize_list(lists: pa.Array) -> pa.Array:
-        safe = _in_pieces("{}" if text == "null" else text for text in safe_texts(_texts(lists.flatten()), limits))
+        safe = safe_column(lists.flatten(), limits)
+        safe = pc.if_else(pc.equal(safe, "null"), "{}", safe)
         ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
         offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
         return pa.ListArray.from_arrays(offsets, safe, mask=lists.is_null())

@@ -408,3 +408,24 @@ def test_updates_of_one_file_are_made_safe_in_many_tasks(spark, tmp_path):
     safe = QUERIES["sanitize_update"](spark, str(tmp_path))
     assert safe.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert safe.filter("password = '[REDACTED]' and n = event_id and sources = least(100, 95 + event_id % 11)").count() == 50
+
+
+def test_flat_objects_are_made_safe_together(monkeypatch):
+    """Flat objects are never parsed; whatever else stands between them, each has the safe form that it has alone."""
+    import random
+    import pyarrow as pa
+    keys = ["token", "at", "", "API-Key", "pass word", "k:x", "k,y", "q[", "tok\\u0065n", "bearer", "my.secret"]
+    values = ["1", "0", "-0", "-5", "1.0", "null", '""', '"x y"', '"a:b"', '"secret=1"', '"Bearer abc"', '"a,b"', '"a}b"', '"é"', "01", "[1]",
+              '{"token":1}', "NaN", " 1", "1234567890123456789", f'"{"z" * 190}"']
+    odd = [None, "null", "[]", "{}", "", "x", '{"a":1}\n', '{"a":1},{"b":2}', '{"a":1,"a":2}', '{"token":1,"at":2,"token":3}']
+    chance = random.Random(3)
+    made = ["{" + ",".join(f'"{chance.choice(keys)}":{chance.choice(values)}' for _ in range(chance.choice([1, 2, 3]))) + "}" for _ in range(4000)]
+    texts = [t for pair in zip(made, odd * 400) for t in pair]
+    for limits in (redaction.Limits(), redaction.Limits(depth=0), redaction.Limits(items=2)):
+        wanted = [text for t in texts for text in redaction.safe_texts([t], limits)]
+        assert redaction.safe_column(pa.array([None, *texts], pa.string()).slice(1), limits).to_pylist() == wanted
+    parsed = []
+    monkeypatch.setattr(redaction, "_parsed", lambda text: parsed.append(text))
+    flat = pa.array([f'{{"token":"{i}","at":{i},"to":null}}' for i in range(40_000)])
+    assert redaction.safe_column(flat).to_pylist() == [f'{{"token":"[REDACTED]","at":{i},"to":null}}' for i in range(40_000)]
+    assert not parsed
